@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, token_files
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources, taken_words
@@ -21,6 +22,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("full_hash", "text_sha256")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.new_folder(spark)
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
+    return token_files.token_table(spark, path)
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = taken_words(*mix_sources(_table(spark, sf_dir, "documents")))
     return out.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -32,10 +45,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs, host="source").select("doc_id", "source", "n_lines", "n_dropped", F.col("text").alias("clean_text"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path())
+    out = bpe.decode(ids, tokenizer_path())
+    n = (F.octet_length("ids") / 4).cast("long")
+    return out.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op7_token_files": op7_token_files,
     "op8_mix": op8_mix,
     "op9_line_dedup": op9_line_dedup,
+    "op10_bpe": op10_bpe,
 }
 
 _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
