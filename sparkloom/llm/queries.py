@@ -11,6 +11,7 @@ from . import bpe, token_files
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources, taken_words
+from .near_dedup import near_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("full_hash", "text_sha256")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), words=4, share=80)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -54,6 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_near_dedup": op3_near_dedup,
     "op7_token_files": op7_token_files,
     "op8_mix": op8_mix,
     "op9_line_dedup": op9_line_dedup,
