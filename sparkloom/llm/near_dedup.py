@@ -15,6 +15,8 @@ from .common import flat, materialize, prepare_workers, salted_join, slices
 #: Bins of the one-permutation sketch, and bins of a band.  32 bands of 4: a pair at the threshold of 0.8 shares no
 #: band with probability (1 - 0.8**4)**32, below 1e-7.
 BINS, ROWS = 128, 4
+#: Stars that later rounds draw in a bucket, and rounds without a new link after which the search ends.
+STARS, IDLE_ROUNDS = 3, 2
 _BITS = BINS.bit_length() - 1
 
 
@@ -92,17 +94,18 @@ def full_sets(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, "_id long, _shingles array<long>")
 
 
-def star_edges(places: DataFrame, used: DataFrame | None, share: int) -> tuple[DataFrame, DataFrame]:
+def star_edges(places: DataFrame, used: DataFrame | None, share: int, stars: int) -> tuple[DataFrame, DataFrame]:
     """Candidate edges (_a, _b) of one round, and the centres it chose.
 
-    ``places``: (_band, _id, _n, _weight, _root).  In each bucket the centre is the document that shares most bucket
-    places with others and was not its centre before; every other document that isn't yet in the centre's component
-    gets one edge to it.  So a bucket of m documents gives m - 1 edges at most.  Edges whose set sizes alone rule out
-    the threshold go.
+    ``places``: (_band, _id, _n, _root, _rank, _tie).  In each bucket the centre is the document of the least rank that
+    was not its centre before (of ``stars`` parts of the bucket, one each); every other document that isn't yet in the
+    centre's component gets one edge to it.  So a bucket of m documents gives less than ``stars`` * m edges.  Edges
+    whose set sizes alone rule out the threshold go.
     """
     free = places if used is None else places.join(used.withColumnRenamed("_centre", "_id"), ["_band", "_id"], "left_anti")
-    best = F.max_by(F.struct(F.col("_id").alias("_centre"), F.col("_n").alias("_cn"), F.col("_root").alias("_croot")), F.struct("_weight", -F.col("_id"))).alias("_best")
-    centres = free.groupBy("_band").agg(best).select("_band", "_best.*")
+    best = F.min_by(F.struct(F.col("_id").alias("_centre"), F.col("_n").alias("_cn"), F.col("_root").alias("_croot")), F.struct("_rank", "_tie")).alias("_best")
+    part = F.pmod(F.xxhash64("_id"), F.lit(stars)).alias("_part")
+    centres = free.groupBy("_band", part).agg(best).select("_band", "_best.*")
     pairs = salted_join(places, centres, ["_band"], "_id").filter((F.col("_id") != F.col("_centre")) & (F.col("_root") != F.col("_croot")))
     pairs = pairs.filter(100 * F.least("_n", "_cn") >= share * F.greatest("_n", "_cn"))
     edges = pairs.select(F.col("_centre").alias("_a"), F.col("_id").alias("_b")).distinct()
@@ -151,8 +154,10 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     without words, or null, has none and is linked with nothing.
 
     Equal sets are one class, and only the smallest id of each goes on.  Classes meet in the banded buckets of their
-    sketches.  Each round draws stars in the buckets (see ``star_edges``) and confirms them on the full sets; the next
-    round takes other centres and only edges between different components.  It ends when a round links nothing new.
+    sketches.  Each round draws stars in the buckets (see ``star_edges``) and confirms them on the full sets.  The first
+    centres are the documents that share most bucket places with others; later ones come from the component with the
+    fewest members in a bucket, so that those left aside meet all the others there, and only buckets that hold more
+    than one component take part.  It ends when ``IDLE_ROUNDS`` rounds running link nothing new.
     Rows that repeat an id belong to the class of each of their texts; a null id is linked with nothing and kept.
     Other columns are ignored; an empty table gives an empty result.
     """
@@ -165,24 +170,30 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     buckets = banded.groupBy("_band").agg(F.count("*").alias("_size")).filter("_size > 1")
     shared = materialize(salted_join(banded, buckets, ["_band"], "_id"), "buckets")
     weights = shared.groupBy("_id").agg(F.sum("_size").alias("_weight"))
-    places = materialize(salted_join(shared.drop("_size"), weights, ["_id"], "_band").withColumn("_root", F.col("_id")), "places")
+    places = materialize(salted_join(shared.drop("_size"), weights, ["_id"], "_band").select("_band", "_id", "_n", F.col("_id").alias("_root"), (-F.col("_weight")).alias("_rank"), F.col("_id").alias("_tie")), "places")
     candidates = places.select("_id").distinct()
     links = used = None
     sets = None
+    idle = 0
     while True:
-        edges, centres = star_edges(places, used, share)
+        edges, centres = star_edges(places, used, share, 1 if used is None else STARS)
         edges = materialize(edges, "stars")
         if sets is None:
             sets = materialize(full_sets(docs.join(candidates.withColumnRenamed("_id", id), id, "left_semi"), id, text, words).dropDuplicates(["_id"]), "sets")
         found = materialize(confirmed(edges, sets, share), "links")
-        if found.limit(1).count() == 0:
+        idle = 0 if found.limit(1).count() else idle + 1
+        if idle == IDLE_ROUNDS or links is None and idle:
             break
-        links = found if links is None else materialize(links.unionByName(found), "links")
         used = materialize(centres if used is None else used.unionByName(centres), "centres")
+        if idle:
+            continue
+        links = found if links is None else materialize(links.unionByName(found), "links")
         roots = components(candidates, links)
-        labelled = salted_join(places.drop("_root"), roots, ["_id"], "_band")
-        mixed = labelled.groupBy("_band").agg(F.min("_root").alias("_least"), F.max("_root").alias("_most")).filter("_least != _most").select("_band")
-        places = materialize(salted_join(labelled, mixed, ["_band"], "_id"), "places")
+        labelled = materialize(salted_join(places.drop("_root", "_rank", "_tie"), roots, ["_id"], "_band"), "labelled")
+        members = labelled.groupBy("_band", "_root").agg(F.count("*").cast("long").alias("_rank"))
+        mixed = members.groupBy("_band").agg(F.count("*").alias("_roots")).filter("_roots > 1").select("_band")
+        open_ = salted_join(salted_join(labelled, mixed, ["_band"], "_id"), members, ["_band", "_root"], "_id")
+        places = materialize(open_.withColumn("_tie", F.xxhash64("_band", "_id")), "places")
     if links is None:
         final = classes.withColumn("_root", F.col("_rep"))
     else:
