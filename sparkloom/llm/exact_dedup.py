@@ -7,20 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize, salted_join, text_or_empty
 
-#: Bits of the filter that tells which groups survive: 256 bitmaps of 4 KB, so 1 MB whatever the input.
-FILTER_BITS = 1 << 23
-
-
-def _survives(groups: DataFrame, rows: DataFrame) -> DataFrame:
-    """Marks the rows whose (length, prefix hash) occurs more than once, by a broadcast filter of fixed size.  A row
-    may be marked without need (a bit shared by chance), never the other way round."""
-    place = F.pmod(F.xxhash64("_length", "_prefix"), F.lit(FILTER_BITS)) + 1
-    bitmaps = groups.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
-    rows = rows.withColumn("_place", place).withColumn("_bucket", F.bitmap_bucket_number("_place")).withColumn("_bit", F.bitmap_bit_position("_place"))
-    byte = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int"))
-    return rows.join(F.broadcast(bitmaps), "_bucket", "left").withColumn("_survives", F.coalesce(bit != 0, F.lit(False))).drop("_bits", "_place", "_bucket", "_bit")
-
 
 def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix: int = 64, normalise: Column | None = None, all_digests: bool = False) -> DataFrame:
     """One row per document: ``id``, keep_id, group_size, kept, full_hash.
@@ -38,9 +24,9 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix:
     rows = docs.select(F.col(id).alias("_id"), content.alias("_text")).withColumn("_length", F.octet_length("_text")).withColumn("_prefix", F.xxhash64(F.substring("_text", 1, prefix)))
     groups = rows.groupBy("_length", "_prefix").agg(F.count("*").alias("_n")).filter("_n > 1")
     full = F.sha2(F.col("_text").cast("binary"), 256)
-    marked = _survives(groups, rows)
-    keys = marked.select("_id", "_length", "_survives", (full if all_digests else F.when(F.col("_survives"), full)).alias("full_hash"))
-    keys = materialize(keys.withColumn("_full", F.when(F.col("_survives"), F.col("full_hash"))).drop("_survives"), "exact")
+    marked = maybe_among(rows, groups, ["_length", "_prefix"])
+    keys = marked.select("_id", "_length", "_maybe", (full if all_digests else F.when(F.col("_maybe"), full)).alias("full_hash"))
+    keys = materialize(keys.withColumn("_full", F.when(F.col("_maybe"), F.col("full_hash"))).drop("_maybe"), "exact")
     same = keys.filter("_full IS NOT NULL").groupBy("_full", "_length").agg(F.count("*").alias("_n"), F.max("_id").alias("_keep")).filter("_n > 1")
     out = salted_join(keys, same, ["_full", "_length"], "_id", "left")
     keep = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep"))

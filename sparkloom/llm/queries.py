@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources, taken_words
 from .near_dedup import near_dedup
+from .quality import classify
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,15 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), words=4, share=80)
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose label says that they are of good quality and not toxic."""
+    return _table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("_id"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -60,6 +70,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_near_dedup": op3_near_dedup,
+    "op4_quality": op4_quality,
     "op7_token_files": op7_token_files,
     "op8_mix": op8_mix,
     "op9_line_dedup": op9_line_dedup,
