@@ -25,6 +25,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _BASE)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All but ASCII letters and digits and the bytes of other characters.
+MARKS = np.ones(256, dtype=bool)
+MARKS[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -46,10 +49,10 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[have]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums from which ``range_hash`` takes the hash of any range of bytes."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE[data] * _power(len(data) + 1)[0][: len(data)], out=out[1:])
+def prefix_hash(values: np.ndarray) -> np.ndarray:
+    """Sums from which ``range_hash`` takes the hash of any range; a random 64-bit number stands for each symbol."""
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _power(len(values) + 1)[0][: len(values)], out=out[1:])
     return out
 
 
@@ -59,9 +62,10 @@ def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _M2)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and for each text the number of words before it."""
-    solid = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes outside ``space`` (by default the words ``[^\\x20\\x09-\\x0D]+``), and for
+    each text the number of words before it."""
+    solid = ~space[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before, after = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
@@ -72,11 +76,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word (A-Z lower-cased first, if asked), and for each text the number of words before it."""
     data = LOWER[data] if lower else data
-    starts, ends, first = words(data, offsets)
-    return range_hash(prefix_hash(data), starts, ends), first
+    starts, ends, first = words(data, offsets, space)
+    return range_hash(prefix_hash(BYTE[data]), starts, ends), first
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -13,6 +13,7 @@ from .line_dedup import line_dedup
 from .mixing import mix_sources, taken_words
 from .near_dedup import near_dedup
 from .quality import classify
+from .toxicity import score, train_chain
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain: low quality, then toxic."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return score(docs, train_chain(docs, labels, ["low_quality", "toxic"])).drop("text")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -71,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op7_token_files": op7_token_files,
     "op8_mix": op8_mix,
     "op9_line_dedup": op9_line_dedup,
