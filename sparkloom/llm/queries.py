@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, token_files
 from .exact_dedup import exact_dedup
+from .fingerprints import edited_by_next
 from .line_dedup import line_dedup
 from .mixing import mix_sources, taken_words
 from .near_dedup import near_dedup
@@ -45,6 +46,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train_chain(docs, labels, ["low_quality", "toxic"])).drop("text")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_by_next(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
+    "op6_fingerprints": op6_fingerprints,
     "op7_token_files": op7_token_files,
     "op8_mix": op8_mix,
     "op9_line_dedup": op9_line_dedup,
