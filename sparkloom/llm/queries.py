@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import bpe, token_files
 from .exact_dedup import exact_dedup
 from .fingerprints import edited_by_next
+from .html_wrappers import extract_text
 from .line_dedup import line_dedup
 from .mixing import mix_sources, taken_words
 from .near_dedup import near_dedup
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(_table(spark, sf_dir, "documents"), all_digests=True)
     return out.withColumnRenamed("full_hash", "text_sha256")
@@ -81,6 +86,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality": op4_quality,
