@@ -100,6 +100,18 @@ def salted_join(left: DataFrame, right: DataFrame, key: list[str], salt_from: st
     return salted.join(copies, [*key, "_salt"], how).drop("_salt")
 
 
+#: Rows up to which a narrow table (a few numbers a row) is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def keyed_join(left: DataFrame, right: DataFrame, key: list[str], salt_from: str, how: str = "inner") -> DataFrame:
+    """A salted join, unless ``right`` - a materialized narrow table, so that counting it only reads file footers - is
+    small: then a broadcast saves the shuffles."""
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, how)
+    return salted_join(left, right, key, salt_from, how)
+
+
 #: Bits of the membership filter: 256 bitmaps of 4 KB, so 1 MB whatever the input.
 FILTER_BITS = 1 << 23
 
@@ -115,6 +127,16 @@ def maybe_among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(F.broadcast(bitmaps), "_bucket", "left").withColumn("_maybe", F.coalesce(bit != 0, F.lit(False))).drop("_bits", "_place", "_bucket", "_bit")
 
 
+def without(docs: DataFrame, dropped: DataFrame, id: str) -> DataFrame:
+    """``docs`` without the rows whose id is in ``dropped`` (a materialized table of one column, ``id``).  Rows that the
+    membership filter clears stay where they are; only the doubtful ones are shuffled for the exact test."""
+    key = F.col(id).cast("long").alias("_key")
+    gone = dropped.select(key).filter("_key IS NOT NULL").distinct()
+    marked = maybe_among(docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), key), gone, ["_key"])
+    doubtful = marked.filter("_maybe").join(gone, "_key", "left_anti")
+    return marked.filter("NOT _maybe").select("_row.*").unionByName(doubtful.select("_row.*"))
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_join, text_or_empty
+from .common import materialize, maybe_among, salted_join, text_or_empty
 
 
 def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix: int = 64, normalise: Column | None = None, all_digests: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_or_empty
+from .common import WORD, keyed_join, materialize, text_or_empty
 
 #: Parts into which prefix sums and ranks are cut, so that no window holds a whole source.
 PARTS = 1024
@@ -113,3 +113,15 @@ def taken_words(positions: DataFrame, pieces: DataFrame) -> DataFrame:
     sums = pieces.groupBy(_KEY, "_start").agg(F.sum("n_words").alias("_taken"))
     out = positions.join(sums, [_KEY, "_start"], "left")
     return out.withColumn("taken", F.when(F.col("size") > 0, F.coalesce("_taken", F.lit(0))).otherwise(0).cast("long")).drop("_taken")
+
+
+def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """``docs`` as the mix has them: a document is there as often as the mix takes its words, to the nearest whole
+    number (only the last document that a source brings can be cut, so sources stay near their targets).  A document
+    without words stays once.  Rows that repeat an id share what the mix takes of them."""
+    taken = taken_words(*mix_sources(docs, id, text, source, **options))
+    times = F.when(F.sum("size") > 0, F.round(F.sum("taken") / F.sum("size"))).otherwise(1).cast("int")
+    copies = materialize(taken.filter("_id IS NOT NULL").groupBy("_id").agg(times.alias("_times")).filter("_times != 1"), "copies")
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(id).alias("_id"))
+    joined = keyed_join(rows, copies, ["_id"], "_id", "left").withColumn("_times", F.coalesce("_times", F.lit(1)))
+    return joined.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select("_row.*")

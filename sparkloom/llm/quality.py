@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_among, prepare_workers, slices
+from .common import keyed_join, materialize, maybe_among, prepare_workers, slices
 
 #: Symbols of the model and length of its n-grams: it has SYMBOLS**ORDER n-grams at most, whatever the corpus.
 SYMBOLS, ORDER = 48, 4
@@ -197,13 +197,34 @@ def classify(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str
     A null or empty text has no perplexity and goes; without any trusted text nothing can be told, so all texts stay.
     A null language is a language of its own.  Repeated rows are scored each; an empty table gives an empty result.
     """
+    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), _language(lang), F.col(lang).alias("_given"))
+    scored = materialize(perplexities(rows, train(docs, trusted, id, text), "_text").drop("_text"), "perplexities")
+    out = _judged(scored, *_limits(scored, trusted, rejected), slack)
+    return out.select(F.col("_id").alias(id), F.col("_given").alias(lang), "perplexity", "threshold", "kept")
+
+
+def keep_good(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rejected: float = REJECTED, slack: float = SLACK) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with their columns.  Texts are scored twice - once for the limits
+    of the languages, once in the pass that filters - and in return don't enter a shuffle."""
     model = train(docs, trusted, id, text)
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang"), F.col(lang).alias("_given"))
-    scored = materialize(perplexities(rows, model, "_text", "perplexity").drop("_text"), "perplexities")
-    known = scored.join(trusted.select("_id").distinct(), "_id", "left_semi").filter("perplexity IS NOT NULL")
-    quantile = lambda: F.percentile_approx("perplexity", 1 - rejected, ACCURACY)
-    limits = known.groupBy("_lang").agg(quantile().alias("_limit"))
-    overall = known.agg(quantile()).first()[0]
-    out = scored.join(limits, "_lang", "left").withColumn("threshold", F.coalesce("_limit", F.lit(overall).cast("double")) * slack)
-    kept = F.coalesce(F.col("perplexity_low") <= F.col("threshold"), F.col("perplexity").isNotNull())
-    return out.select(F.col("_id").alias(id), F.col("_given").alias(lang), "perplexity", "threshold", kept.alias("kept"))
+    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), _language(lang))
+    known = maybe_among(rows, trusted, ["_id"]).filter("_maybe").select("_id", "_text", "_lang")
+    limits = _limits(perplexities(known, model, "_text").drop("_text"), trusted, rejected)
+    given = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(id).alias("_id"), F.col(text).alias("_text"), _language(lang))
+    return _judged(perplexities(given, model, "_text"), *limits, slack).filter("kept").select("_row.*")
+
+
+def _language(lang: str) -> Column:
+    return F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang")
+
+
+def _limits(scored: DataFrame, trusted: DataFrame, rejected: float) -> tuple[DataFrame, float | None]:
+    """(_lang, _limit): the quantiles of the trusted documents by language, and the quantile of all of them."""
+    known = materialize(scored.join(trusted.select("_id").distinct(), "_id", "left_semi").filter("perplexity IS NOT NULL").select("_lang", "perplexity"), "trusted")
+    quantile = F.percentile_approx("perplexity", 1 - rejected, ACCURACY)
+    return materialize(known.groupBy("_lang").agg(quantile.alias("_limit")), "limits"), known.agg(quantile).first()[0]
+
+
+def _judged(scored: DataFrame, limits: DataFrame, overall: float | None, slack: float) -> DataFrame:
+    out = keyed_join(scored, limits, ["_lang"], "_id", "left").withColumn("threshold", F.coalesce("_limit", F.lit(overall).cast("double")) * slack)
+    return out.withColumn("kept", F.coalesce(F.col("perplexity_low") <= F.col("threshold"), F.col("perplexity").isNotNull()))

@@ -78,11 +78,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs, host="source").select("doc_id", "source", "n_lines", "n_dropped", F.col("text").alias("clean_text"))
 
 
+def digests(decoded: DataFrame) -> DataFrame:
+    n = (F.octet_length("ids") / 4).cast("long")
+    return decoded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path())
-    out = bpe.decode(ids, tokenizer_path())
-    n = (F.octet_length("ids") / 4).cast("long")
-    return out.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return digests(bpe.decode(ids, tokenizer_path()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
