@@ -1,8 +1,61 @@
-"""Corpus pipeline (stages follow as the operators land)."""
+"""Corpus pipeline: quality, exact dedup, near-dedup, source mixing, tokenization.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sparkloom.llm import bpe, queries
+from sparkloom.llm.common import materialize, without
+from sparkloom.llm.exact_dedup import exact_dedup
+from sparkloom.llm.mixing import mixed_documents
+from sparkloom.llm.near_dedup import near_dedup
+from sparkloom.llm.quality import keep_good
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs, queries.trusted_ids(spark, sf_dir))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the largest doc_id stays."""
+    dropped = exact_dedup(docs).filter("NOT kept").select("doc_id")
+    return without(docs, materialize(dropped, "dropped"), "doc_id")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates (five-word shingles, similarity 0.8), the smallest doc_id of each group stays."""
+    dropped = near_dedup(docs).filter("NOT kept").select("doc_id")
+    return without(docs, materialize(dropped, "dropped"), "doc_id")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixed_documents(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text that the mix has, and the digest of what they decode to."""
+    path = queries.tokenizer_path()
+    out = bpe.decode(bpe.encode(docs, path), path)
+    return queries.digests(out)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("bpe", tokenize)]
+
+#: The stages can't be said in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
