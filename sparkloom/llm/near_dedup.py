@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import flat, materialize, prepare_workers, salted_join, slices
+from .common import flat, keyed_join, materialize, prepare_workers, salted_join, slices
 
 #: Bins of the one-permutation sketch, and bins of a band.  32 bands of 4: a pair at the threshold of 0.8 shares no
 #: band with probability (1 - 0.8**4)**32, below 1e-7.
 BINS, ROWS = 128, 4
-#: Stars that later rounds draw in a bucket, and rounds without a new link after which the search ends.
-STARS, IDLE_ROUNDS = 3, 2
+#: Stars that later rounds draw in a bucket, and rounds running without a new link after which the search ends.
+STARS, IDLE_ROUNDS = 1, 1
 _BITS = BINS.bit_length() - 1
 
 
@@ -105,8 +105,8 @@ def star_edges(places: DataFrame, used: DataFrame | None, share: int, stars: int
     free = places if used is None else places.join(used.withColumnRenamed("_centre", "_id"), ["_band", "_id"], "left_anti")
     best = F.min_by(F.struct(F.col("_id").alias("_centre"), F.col("_n").alias("_cn"), F.col("_root").alias("_croot")), F.struct("_rank", "_tie")).alias("_best")
     part = F.pmod(F.xxhash64("_id"), F.lit(stars)).alias("_part")
-    centres = free.groupBy("_band", part).agg(best).select("_band", "_best.*")
-    pairs = salted_join(places, centres, ["_band"], "_id").filter((F.col("_id") != F.col("_centre")) & (F.col("_root") != F.col("_croot")))
+    centres = materialize(free.groupBy("_band", part).agg(best).select("_band", "_best.*"), "centres")
+    pairs = keyed_join(places, centres, ["_band"], "_id").filter((F.col("_id") != F.col("_centre")) & (F.col("_root") != F.col("_croot")))
     pairs = pairs.filter(100 * F.least("_n", "_cn") >= share * F.greatest("_n", "_cn"))
     edges = pairs.select(F.col("_centre").alias("_a"), F.col("_id").alias("_b")).distinct()
     return edges, centres.select("_band", "_centre")
@@ -130,16 +130,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = materialize(edges.select("_a", "_b").unionByName(edges.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct(), "edges")
     labels = materialize(both.select(F.col("_a").alias("_id")).distinct().withColumn("_root", F.col("_id")), "labels")
     while True:
-        # least root among the neighbours of every node
-        near = salted_join(both, labels.select(F.col("_id").alias("_a"), F.col("_root").alias("_r")), ["_a"], "_b").groupBy("_b").agg(F.min("_r").alias("_r"))
-        seen = labels.join(near, labels["_id"] == near["_b"]).select("_id", "_root", F.least("_root", "_r").alias("_new"))
+        # the least root among a node and its neighbours
+        near = keyed_join(both, labels.select(F.col("_id").alias("_a"), F.col("_root").alias("_r")), ["_a"], "_b").groupBy(F.col("_b").alias("_id")).agg(F.min("_r").alias("_r"))
+        seen = materialize(keyed_join(near, labels, ["_id"], "_id").select("_id", "_root", F.least("_root", "_r").alias("_new")), "seen")
         # hook: a root takes the least root that any member of its tree has seen
-        hooks = seen.groupBy("_root").agg(F.min("_new").alias("_h"))
-        hooked = salted_join(seen, hooks, ["_root"], "_id").select("_id", F.col("_root").alias("_old"), F.least("_new", "_h").alias("_root"))
+        hooks = materialize(seen.groupBy("_root").agg(F.min("_new").alias("_h")), "hooks")
+        hooked = materialize(keyed_join(seen, hooks, ["_root"], "_id").select("_id", F.col("_root").alias("_old"), F.least("_new", "_h").alias("_root")), "hooked")
         # jump: the root's root
-        hooked = materialize(hooked, "hooked")
         parents = hooked.select(F.col("_id").alias("_root"), F.col("_root").alias("_up"))
-        after = materialize(salted_join(hooked, parents, ["_root"], "_id", "left").select("_id", "_old", F.least("_root", F.coalesce("_up", "_root")).alias("_root")), "labels")
+        after = materialize(keyed_join(hooked, parents, ["_root"], "_id", "left").select("_id", "_old", F.least("_root", F.coalesce("_up", "_root")).alias("_root")), "labels")
         changed = after.filter("_root != _old").limit(1).count()
         labels = after.select("_id", "_root")
         if not changed:
@@ -170,7 +169,7 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     buckets = banded.groupBy("_band").agg(F.count("*").alias("_size")).filter("_size > 1")
     shared = materialize(salted_join(banded, buckets, ["_band"], "_id"), "buckets")
     weights = shared.groupBy("_id").agg(F.sum("_size").alias("_weight"))
-    places = materialize(salted_join(shared.drop("_size"), weights, ["_id"], "_band").select("_band", "_id", "_n", F.col("_id").alias("_root"), (-F.col("_weight")).alias("_rank"), F.col("_id").alias("_tie")), "places")
+    places = materialize(salted_join(shared.drop("_size"), weights, ["_id"], "_band").select("_band", "_id", "_n", F.col("_id").alias("_root"), (-F.col("_weight")).alias("_rank"), F.col("_id").alias("_tie"), "_weight"), "places")
     candidates = places.select("_id").distinct()
     links = used = None
     sets = None
@@ -189,11 +188,11 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
             continue
         links = found if links is None else materialize(links.unionByName(found), "links")
         roots = components(candidates, links)
-        labelled = materialize(salted_join(places.drop("_root", "_rank", "_tie"), roots, ["_id"], "_band"), "labelled")
-        members = labelled.groupBy("_band", "_root").agg(F.count("*").cast("long").alias("_rank"))
-        mixed = members.groupBy("_band").agg(F.count("*").alias("_roots")).filter("_roots > 1").select("_band")
-        open_ = salted_join(salted_join(labelled, mixed, ["_band"], "_id"), members, ["_band", "_root"], "_id")
-        places = materialize(open_.withColumn("_tie", F.xxhash64("_band", "_id")), "places")
+        labelled = materialize(keyed_join(places.drop("_root", "_rank", "_tie"), materialize(roots, "roots"), ["_id"], "_band"), "labelled")
+        members = materialize(labelled.groupBy("_band", "_root").agg(F.count("*").cast("long").alias("_rank")), "members")
+        mixed = materialize(members.groupBy("_band").agg(F.count("*").alias("_roots")).filter("_roots > 1").select("_band"), "mixed")
+        open_ = keyed_join(keyed_join(labelled, mixed, ["_band"], "_id"), members, ["_band", "_root"], "_id")
+        places = materialize(open_.withColumn("_tie", -F.col("_weight")), "places")
     if links is None:
         final = classes.withColumn("_root", F.col("_rep"))
     else:
