@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,10 +13,11 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import prepare_workers
+from . import kernels
+from .common import KERNEL_BYTES, prepare_workers
 
 #: Words whose ids a worker keeps; beyond, it starts anew, so memory is bounded whatever the vocabulary of the texts.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 _SHIFT = 32
 _NONE = np.int64(1 << 40)
 
@@ -28,30 +30,71 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+#: The pattern whose words ``Splitter`` finds; contractions, runs of letters, single numbers, runs of other characters.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+def _classes() -> np.ndarray:
+    import regex
+
+    every = "".join(map(chr, range(0xD800))) + " " * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+    out = np.full(0x110000, _OTHER, dtype=np.uint8)
+    for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
 class Splitter:
-    """What comes before BPE, as the vocabulary file says: special tokens, NFC, one blank for white space, lower case
-    by character, and the file's pattern."""
+    """The steps before BPE that the vocabulary file names: special tokens, NFC, one blank for white space, lower case
+    by character, and the words of ``PATTERN``, all found at once over flat code points."""
 
     def __init__(self, spec: dict) -> None:
-        import regex
-
-        steps = [x["type"] for x in spec["normalizer"]["normalizers"]]
-        if steps != ["NFC", "Replace", "Lowercase"] or spec["pre_tokenizer"]["pretokenizers"][0]["type"] != "Split":
+        steps, cut = spec["normalizer"]["normalizers"], spec["pre_tokenizer"]["pretokenizers"]
+        if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or cut[0]["pattern"] != {"Regex": PATTERN}:
             raise ValueError("the vocabulary file asks for steps that are not supported")
-        self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
-
-    def __call__(self, text: str) -> list[tuple[str | None, list[str]]]:
-        """Runs of words, each with the special token that follows it, or None."""
-        if not any(x in text for x in self.special):
-            return [(None, self.words(text))]
-        parts = self.cut(text)
-        return [(parts[i + 1] if i + 1 < len(parts) else None, self.words(parts[i])) for i in range(0, len(parts), 2)]
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
+        self.kind = _classes()
+        self.symbol = kernels.mix(np.arange(0x110000, dtype=np.uint64) + np.uint64(1))
 
-    def words(self, text: str) -> list[str]:
+    @staticmethod
+    def normalize(text: str) -> str:
         # the capital sigma has one lower-case form when characters are taken one by one
-        return self.find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def words(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """All texts in one string, the starts and ends of its words, and the number of words before each text."""
+        joined = "".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        n = len(points)
+        offsets = np.r_[0, np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))]
+        kind = np.r_[self.kind[points], np.zeros(3, dtype=np.uint8)]
+        edge = np.zeros(n + 3, dtype=bool)
+        edge[offsets] = True
+        new = edge[:n].copy()
+        new[0:1] = True
+        new[1:] |= kind[1:n] != kind[: n - 1]
+        new |= kind[:n] == _NUMBER
+        at = np.flatnonzero((points == ord("'")) & new)
+        at = at[(kind[at + 1] == _LETTER) & ~edge[at + 1]]
+        if len(at):
+            padded = np.r_[points, np.zeros(3, dtype=points.dtype)]
+            one, two = padded[at + 1], np.where(edge[at + 2], 0, padded[at + 2])
+            short = np.isin(one, [ord(c) for c in "stmd"])
+            long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+            new[at[short | long] + 1] = False
+            for ends in (at[short] + 2, at[long] + 3):
+                new[ends[ends < n]] = True
+        bounds = np.r_[np.flatnonzero(new), n]
+        solid = kind[bounds[:-1]] != _SPACE
+        starts, ends = bounds[:-1][solid], bounds[1:][solid]
+        return joined, starts, ends, np.searchsorted(starts, offsets)
+
+    def hashes(self, joined: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        return kernels.range_hash(kernels.prefix_hash(self.symbol[points]), starts, ends)
 
 
 class BatchBPE:
@@ -111,22 +154,52 @@ class BatchBPE:
 
 
 class Encoder:
-    """Texts to ids: words that are new are encoded together by ``encode_words``, others come from a bounded cache."""
+    """Texts to ids.  Words are told apart by 64-bit hashes; those that are new are encoded together by
+    ``encode_words``, the others come from a bounded cache, and ids are gathered for all texts at once."""
 
     def __init__(self, spec: dict, encode_words: Callable[[list[str]], list[bytes]]) -> None:
         self.split, self.encode_words = Splitter(spec), encode_words
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[int, bytes] = {}
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        joined, starts, ends, first = self.split.words([self.split.normalize(t) for t in texts])
+        if not len(starts):
+            return [b""] * len(texts)
+        keys, example, which = np.unique(self.split.hashes(joined, starts, ends), return_index=True, return_inverse=True)
+        names = keys.tolist()
+        known = list(map(self.cache.get, names))
+        new = [i for i, x in enumerate(known) if x is None]
+        if new:
+            if len(self.cache) + len(new) > CACHED_WORDS:
+                self.cache.clear()
+            a, b = starts[example[new]].tolist(), ends[example[new]].tolist()
+            for i, ids in zip(new, self.encode_words([joined[x:y] for x, y in zip(a, b, strict=True)]), strict=True):
+                known[i] = self.cache[names[i]] = ids
+        flat = np.frombuffer(b"".join(known), dtype="<u4")
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        of_word, begins = sizes[which], (np.cumsum(sizes) - sizes)[which]
+        upto = np.r_[0, np.cumsum(of_word)]
+        ids = flat[np.repeat(begins - upto[:-1], of_word) + np.arange(upto[-1])].tobytes()
+        bounds = (upto[first] * 4).tolist()
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
-        split = [self.split(t) if t else [] for t in texts]
-        new = set().union(*(w for runs in split for _, w in runs)).difference(self.cache)
-        if len(self.cache) + len(new) > CACHED_WORDS:
-            self.cache.clear()
-            new = set().union(*(w for runs in split for _, w in runs))
-        listed = list(new)
-        self.cache.update(zip(listed, self.encode_words(listed), strict=True))
-        ids, special = self.cache.__getitem__, self.split.special
-        return [b"".join(b"".join(map(ids, w)) + (special[s].to_bytes(4, "little") if s else b"") for s, w in runs) for runs in split]
+        """The ids of each text.  Special tokens in a text count as such; the parts between them are texts of their
+        own.  Texts go in groups of about ``KERNEL_BYTES`` characters."""
+        listed = [t or "" for t in texts]
+        parts = [self.split.cut(t) if "<" in t and any(s in t for s in self.split.special) else [t] for t in listed]
+        runs = [x for p in parts for x in p[::2]]
+        ids: list[bytes] = []
+        group, size = [], 0
+        for run in runs:
+            if group and size + len(run) > KERNEL_BYTES:
+                ids += self._plain(group)
+                group, size = [], 0
+            group.append(run)
+            size += len(run)
+        ids += self._plain(group) if group else []
+        it = iter(ids)
+        return [b"".join(self.split.special[x].to_bytes(4, "little") if i % 2 else next(it) for i, x in enumerate(p)) for p in parts]
 
 
 class Decoder:
