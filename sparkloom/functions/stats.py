@@ -41,7 +41,7 @@ def p_value(t: Column, df: Column) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([math.nan if x is None or y is None else two_sided_p(x, y) for x, y in zip(a.astype("float64"), b.astype("float64"), strict=True)])
 
-    return run(t, df)
+    return F.coalesce(run(t, df), F.lit(math.nan))
 
 
 def t_test(df: DataFrame, group: str, value: str, first, second) -> DataFrame:

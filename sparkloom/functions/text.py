@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 ColumnOrName = Column | str
 #: Values of parsed parameters that are shorter than this are dropped.
 MIN_VALUE = 4
+#: A part of a dotted address: 0 to 255, leading zeros allowed.
+OCTET = "0*([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 
 
 def _c(c: ColumnOrName) -> Column:
@@ -59,9 +61,7 @@ def url_host(c: ColumnOrName) -> Column:
 
 def is_ip(c: ColumnOrName) -> Column:
     """Four parts of digits, each 0 to 255; leading zeros are fine, larger numbers are not."""
-    parts = F.split(_c(c), r"\.", -1)
-    fits = F.forall(parts, lambda p: p.rlike("^[0-9]+$") & F.coalesce(F.try_to_number(F.concat(F.lit("0"), F.regexp_replace(p, "^0+", "")), F.lit("0999")) <= 255, F.lit(False)))
-    return (F.size(parts) == 4) & fits
+    return _c(c).rlike(f"^{OCTET}(\\.{OCTET}){{3}}$")
 
 
 def host_domain(c: ColumnOrName, suffixes: Iterable[str]) -> Column:
@@ -202,8 +202,7 @@ def register(spark: SparkSession, suffixes: Sequence[str] = ()) -> None:
     }
     for name, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(c STRING) RETURNS STRING RETURN {body}")
-    octet = "(0*([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5]))"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION is_ip(c STRING) RETURNS BOOLEAN RETURN c RLIKE '^{octet}(\\\\.{octet}){{3}}$'")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION is_ip(c STRING) RETURNS BOOLEAN RETURN c RLIKE '^{OCTET}([.]{OCTET}){{3}}$'")
 
     @F.pandas_udf("string")
     def url_decode(x: pd.Series) -> pd.Series:

@@ -14,9 +14,13 @@ def combinations(items: Column | str, size: int) -> Column:
     """All sets of ``size`` distinct items, each sorted, as an array of arrays; size 0 gives the empty set.  Built by
     extending sets with later items, inside the JVM."""
     items = F.array_sort(F.array_distinct(items))
+    def extended(s: Column) -> Column:
+        later = F.filter(items, lambda x: (F.size(s) == 0) | (x > F.try_element_at(s, F.lit(-1))))
+        return F.transform(later, lambda x: F.concat(s, F.array(x)))
+
     out = F.array(F.array().cast("array<string>"))
     for _ in range(size):
-        out = F.flatten(F.transform(out, lambda s: F.transform(F.filter(items, lambda x, s=s: (F.size(s) == 0) | (x > F.element_at(s, -1))), lambda x, s=s: F.concat(s, F.array(x)))))
+        out = F.flatten(F.transform(out, extended))
     return out
 
 

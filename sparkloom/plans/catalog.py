@@ -1,6 +1,610 @@
-"""The library's queries over the driver tables, with the SQL that gives the same rows."""
+"""The library's queries over the driver tables, with the SQL that gives the same rows.
+
+Each query runs its operator over whole tables.  Arrays are rendered as text, doubles rounded, ties broken.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import stats, text
+from ..operators import basket, cooccur, graph, joins, ordering, relational, tagging
+from ..sources import io
+from ..streaming import logs, state
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def _add(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream."""
+    schema = _t(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+def _dir(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
+    return f"{base.rstrip('/')}/file-{uuid.uuid4().hex}"
+
+
+# --- projections, filters, views ---
+
+
+@_add("SELECT c_custkey, c_acctbal + 1 AS acctbal_plus, 'Name: ' || c_name AS label FROM customer")
+def select_expr_null_safe(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") + 1).alias("acctbal_plus"), relational.prefixed("c_name").alias("label"))
+
+
+@_add("SELECT p_partkey, p_size FROM part WHERE p_size > 21")
+def filter_gt(spark, d):
+    return _t(spark, d, "part").filter(F.col("p_size") > 21).select("p_partkey", "p_size")
+
+
+@_add("SELECT p_partkey, p_name FROM part WHERE p_size BETWEEN 13 AND 19")
+def filter_between(spark, d):
+    return _t(spark, d, "part").filter(F.col("p_size").between(13, 19)).select("p_partkey", "p_name")
+
+
+@_add("SELECT n_nationkey, upper(n_name) AS name FROM nation")
+def global_view_sql(spark, d):
+    relational.view(_t(spark, d, "nation"), "sparkloom_nation", everywhere=True)
+    return spark.newSession().sql("SELECT n_nationkey, upper(n_name) AS name FROM global_temp.sparkloom_nation")
+
+
+@_add("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal >= 30")
+def temp_view_sql(spark, d):
+    relational.view(_t(spark, d, "supplier"), "sparkloom_supplier")
+    return spark.sql("SELECT s_suppkey, s_acctbal FROM sparkloom_supplier WHERE s_acctbal >= 30")
+
+
+@_add("SELECT r_regionkey, r_name FROM region")
+def file_sql(spark, d):
+    return io.query_file(spark, f"{d}/region.parquet").select("r_regionkey", "r_name")
+
+
+# --- sources and sinks, out and in again ---
+
+
+@_add("SELECT n_name AS name, n_nationkey AS key, n_regionkey AS region FROM nation")
+def json_round_trip(spark, d):
+    path = _dir(spark)
+    io.save_json(_t(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"), F.col("n_regionkey").alias("region")), path)
+    return io.json_lines(spark, path, "name string, key int, region int")
+
+
+@_add("SELECT p_partkey, p_name, p_size FROM part")
+def csv_round_trip(spark, d):
+    path = _dir(spark)
+    io.save(_t(spark, d, "part").select("p_partkey", "p_name", "p_size"), path, "csv", sep=";", header="true")
+    return io.csv(spark, path, schema="p_partkey bigint, p_name string, p_size int")
+
+
+@_add("SELECT '(' || n_name || ',' || n_nationkey || ')' AS line FROM nation UNION ALL SELECT r_name || chr(9) || r_regionkey FROM region")
+def text_round_trip(spark, d):
+    a, b = _dir(spark), _dir(spark)
+    io.save_tuples(_t(spark, d, "nation").select("n_name", "n_nationkey"), a)
+    io.save_tabbed(_t(spark, d, "region").select("r_name", "r_regionkey"), b)
+    return io.lines(spark, f"{a},{b}").withColumnRenamed("value", "line")
+
+
+@_add("SELECT n_name AS key, n_nationkey AS value FROM nation")
+def sequence_round_trip(spark, d):
+    path = _dir(spark)
+    io.write_sequence(_t(spark, d, "nation").select("n_name", F.col("n_nationkey").cast("int")), path)
+    return io.sequence_file(spark, path).select("key", F.col("value").cast("int").alias("value"))
+
+
+@_add("SELECT substr(c_name, 10, 2) AS prefix, count(*) AS n, min(substr(c_name, 10) || chr(9) || c_mktsegment) AS first_line FROM customer GROUP BY 1")
+def prefix_partitioned_output(spark, d):
+    path = _dir(spark)
+    io.save_by_prefix(_t(spark, d, "customer").select(F.substr("c_name", F.lit(10)).alias("k"), "c_mktsegment"), path, "k", "c_mktsegment")
+    back = spark.read.option("basePath", path).schema("value string, prefix string").format("text").load(path)
+    return back.groupBy("prefix").agg(F.count("*").alias("n"), F.min("value").alias("first_line"))
+
+
+# --- aggregates ---
+
+
+@_add("SELECT event_type, count(*) AS count FROM events GROUP BY event_type")
+def group_count(spark, d):
+    return relational.group_count(_t(spark, d, "events"), "event_type")
+
+
+@_add("SELECT o_orderpriority, round(avg(o_totalprice), 4) AS average FROM orders GROUP BY o_orderpriority")
+def avg_typed(spark, d):
+    return _t(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(relational.average("o_totalprice"), 4).alias("average"))
+
+
+@_add("SELECT c_mktsegment, round(avg(CAST(floor(c_acctbal) AS BIGINT)), 4) AS average FROM customer GROUP BY c_mktsegment")
+def avg_udaf_sql(spark, d):
+    relational.register_average(spark)
+    relational.view(_t(spark, d, "customer"), "sparkloom_customer")
+    return spark.sql("SELECT c_mktsegment, round(myAverage(CAST(floor(c_acctbal) AS BIGINT)), 4) AS average FROM sparkloom_customer GROUP BY c_mktsegment")
+
+
+@_add("SELECT CAST(sum(length(text)) AS BIGINT) AS total_length FROM documents")
+def line_length_total(spark, d):
+    return relational.total_length(_t(spark, d, "documents"), "text")
+
+
+@_add("SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS total FROM lineitem GROUP BY l_partkey")
+def agg_by_key(spark, d):
+    return relational.aggregate_by_key(_t(spark, d, "lineitem"), "l_partkey", "l_quantity").withColumn("total", F.col("total").cast("bigint"))
+
+
+@_add("SELECT p_brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS kinds, count(DISTINCT p_type) AS n FROM part GROUP BY p_brand")
+def distinct_sets(spark, d):
+    return relational.distinct_per_key(_t(spark, d, "part"), "p_brand", "p_type", "kinds").withColumn("kinds", F.array_join("kinds", ","))
+
+
+@_add("SELECT c_nationkey AS nation FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def bag_union(spark, d):
+    return relational.bag_union(_t(spark, d, "customer").select(F.col("c_nationkey").alias("nation")), _t(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")))
+
+
+@_add(
+    """WITH a AS (SELECT l_suppkey AS k, list(DISTINCT l_returnflag) AS f, list(DISTINCT l_linestatus) AS s FROM lineitem GROUP BY 1)
+    SELECT k, array_to_string(list_sort(list_intersect(f, ['A', 'R', 'F'])), ',') AS both, array_to_string(list_sort(list_filter(f, lambda x: NOT list_contains(['A'], x))), ',') AS rest FROM a"""
+)
+def set_operations(spark, d):
+    flags = _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.collect_set("l_returnflag").alias("f"))
+    known = F.array(F.lit("A"), F.lit("R"), F.lit("F"))
+    return flags.select("k", F.array_join(relational.sorted_intersection(F.col("f"), known), ",").alias("both"), F.array_join(F.array_sort(relational.without_items(F.col("f"), F.array(F.lit("A")))), ",").alias("rest"))
+
+
+# --- joins ---
+
+_ENRICHED = """(SELECT l.l_partkey AS product, coalesce(n.n_name, 'UNKNOWN') AS location FROM lineitem l
+    LEFT JOIN (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 7 <> 0) s ON l.l_suppkey = s.s_suppkey LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey)"""
+
+
+def _enriched(spark: SparkSession, d: str) -> DataFrame:
+    """Line items with the nation of their supplier; every seventh supplier is left out of the directory, so that the
+    default shows."""
+    suppliers = _t(spark, d, "supplier").filter("s_suppkey % 7 <> 0").join(_t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    directory = suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("location"))
+    facts = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("product"), "l_suppkey")
+    return joins.left_outer_enrich(facts, directory, "l_suppkey", "location").select("product", "location")
+
+
+@_add(f"SELECT product, string_agg(DISTINCT location, ',' ORDER BY location) AS locations, count(DISTINCT location) AS n FROM {_ENRICHED} GROUP BY product")
+def left_outer_locations(spark, d):
+    return relational.distinct_per_key(_enriched(spark, d), "product", "location", "locations").withColumn("locations", F.array_join("locations", ","))
+
+
+@_add(f"SELECT location, count(DISTINCT product) AS n FROM {_ENRICHED} GROUP BY location")
+def location_products(spark, d):
+    return _enriched(spark, d).groupBy("location").agg(F.count_distinct("product").alias("n"))
+
+
+@_add("SELECT o_orderpriority, count(*) AS n FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1")
+def anti_join(spark, d):
+    returned = _t(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return joins.join(_t(spark, d, "orders"), returned, "o_orderkey", "left_anti").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+# --- order ---
+
+@_add(
+    """SELECT user_id, string_agg(CAST(t AS VARCHAR) || ':' || CAST(event_id AS VARCHAR), ' ' ORDER BY t, event_id) AS series
+    FROM (SELECT user_id, epoch_us(ts) AS t, event_id FROM events) GROUP BY user_id"""
+)
+def secondary_sort_group(spark, d):
+    rows = _t(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
+    out = ordering.secondary_sort(rows, "user_id", "t", "event_id", on_dup="keep")
+    return out.select("user_id", F.array_join(F.transform("series", lambda x: F.concat_ws(":", x["t"], x["event_id"])), " ").alias("series"))
+
+
+@_add(
+    """SELECT l_suppkey, string_agg(day || ':' || CAST(q AS VARCHAR), ' ' ORDER BY day) AS series FROM
+    (SELECT l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS day, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2) GROUP BY l_suppkey"""
+)
+def secondary_sort_combine(spark, d):
+    rows = _t(spark, d, "lineitem").select("l_suppkey", text.format_date("l_shipdate").alias("day"), F.col("l_quantity").cast("bigint").alias("q"))
+    out = ordering.secondary_sort(rows, "l_suppkey", "day", "q")
+    return out.select("l_suppkey", F.array_join(F.transform("series", lambda x: F.concat_ws(":", x["day"], x["q"])), " ").alias("series"))
+
+
+@_add("SELECT strftime(o_orderdate, '%Y-%m') AS key, o_totalprice AS value, row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_totalprice DESC, o_orderkey DESC) AS place FROM orders")
+def partition_sort_desc(spark, d):
+    """The place of each row in its key, read off the order inside the partitions."""
+    rows = _t(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("key"), F.struct(F.col("o_totalprice").alias("v"), "o_orderkey").alias("value"))
+    placed = ordering.partition_sort(rows, "key", "value", 8).withColumn("_i", F.monotonically_increasing_id())
+    first = placed.groupBy("key").agg(F.min("_i").alias("_first"))
+    return placed.join(first, "key").select("key", F.col("value.v").alias("value"), (F.col("_i") - F.col("_first") + 1).alias("place"))
+
+
+@_add("SELECT CAST(k % 3 AS INTEGER) AS part, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS keys FROM (SELECT n_nationkey AS k FROM nation) GROUP BY 1")
+def modulo_partitions(spark, d):
+    rows = ordering.modulo_partitions(_t(spark, d, "nation").select(F.col("n_nationkey").alias("k")), "k", 3)
+    return rows.select(F.spark_partition_id().alias("part"), "k").groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: x.cast("string")), ",").alias("keys"))
+
+
+@_add("SELECT strftime(o_orderdate, '%Y%m') AS ym, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p DESC) || ',' AS prices FROM (SELECT o_orderdate, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders) GROUP BY 1")
+def month_value_list(spark, d):
+    rows = _t(spark, d, "orders").select(F.date_format("o_orderdate", "yyyyMM").alias("ym"), F.floor("o_totalprice").cast("bigint").alias("p"))
+    return ordering.ordered_concat(rows, "ym", ["p"], F.col("p").cast("string"), ",", desc=True, out="prices")
+
+
+@_add(
+    """SELECT user_id, string_agg('(' || strftime(ts, '%Y-%m-%d') || ',' || CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) || ')', '' ORDER BY epoch_us(ts), event_id) AS series
+    FROM events WHERE value IS NOT NULL GROUP BY user_id"""
+)
+def stock_series(spark, d):
+    rows = _t(spark, d, "events").filter("value IS NOT NULL").withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
+    item = F.concat(F.lit("("), text.format_date("ts"), F.lit(","), F.floor(F.col("value") * 100).cast("bigint").cast("string"), F.lit(")"))
+    return ordering.ordered_concat(rows, "user_id", ["_t", "event_id"], item, out="series")
+
+
+@_add("SELECT max(p_name) AS p_name, p_size FROM part GROUP BY p_size ORDER BY p_size DESC LIMIT 10")
+def topn_unique_freq(spark, d):
+    return ordering.top_n(_t(spark, d, "part"), "p_name", "p_size")
+
+
+@_add("SELECT max(name) AS name, q FROM (SELECT CAST(l_partkey AS VARCHAR) AS name, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1) GROUP BY q ORDER BY q DESC LIMIT 10")
+def topn_two_phase(spark, d):
+    rows = _t(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("name"), F.col("l_quantity").cast("bigint").alias("q"))
+    return ordering.top_n_two_phase(rows, "name", "q")
+
+
+@_add("SELECT l_suppkey, l_orderkey, p, rank FROM (SELECT l_suppkey, l_orderkey, l_extendedprice AS p, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey) AS rank FROM lineitem) WHERE rank <= 3")
+def top_per_key(spark, d):
+    rows = _t(spark, d, "lineitem").select("l_suppkey", "l_orderkey", F.col("l_extendedprice").alias("p"))
+    return ordering.top_per_key(rows, "l_suppkey", "p", "l_orderkey", 3).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+# --- baskets ---
+
+_BASKETS = "b AS (SELECT DISTINCT l_orderkey AS o, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+def _baskets(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "lineitem").join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand")
+
+
+def _set(c: str):
+    return F.array_join(c, ",")
+
+
+@_add(f"WITH {_BASKETS} SELECT x.i || ',' || y.i AS items, count(*) AS count FROM b x JOIN b y ON x.o = y.o AND x.i < y.i GROUP BY 1")
+def basket_pairs(spark, d):
+    return basket.itemset_counts(_baskets(spark, d), "l_orderkey", "p_brand", 2).withColumn("items", _set("items"))
+
+
+@_add(f"WITH {_BASKETS} SELECT x.i || ',' || y.i || ',' || z.i AS items, count(*) AS count FROM b x JOIN b y ON x.o = y.o AND x.i < y.i JOIN b z ON y.o = z.o AND y.i < z.i GROUP BY 1")
+def basket_triples(spark, d):
+    return basket.itemset_counts(_baskets(spark, d), "l_orderkey", "p_brand", 3).withColumn("items", _set("items"))
+
+
+@_add(
+    f"""WITH {_BASKETS}, s AS (SELECT [i] AS s, count(*) AS n FROM b GROUP BY i
+        UNION ALL SELECT [x.i, y.i], count(*) FROM b x JOIN b y ON x.o = y.o AND x.i < y.i GROUP BY x.i, y.i
+        UNION ALL SELECT [x.i, y.i, z.i], count(*) FROM b x JOIN b y ON x.o = y.o AND x.i < y.i JOIN b z ON y.o = z.o AND y.i < z.i GROUP BY x.i, y.i, z.i)
+    SELECT array_to_string(s, ',') AS items, n AS count FROM s"""
+)
+def itemsets_up_to_three(spark, d):
+    return basket.itemsets_up_to(_baskets(spark, d), "l_orderkey", "p_brand", 3).withColumn("items", _set("items"))
+
+
+@_add(
+    f"""WITH {_BASKETS}, s AS (SELECT [i] AS s, count(*) AS n FROM b GROUP BY i
+        UNION ALL SELECT [x.i, y.i], count(*) FROM b x JOIN b y ON x.o = y.o AND x.i < y.i GROUP BY x.i, y.i
+        UNION ALL SELECT [x.i, y.i, z.i], count(*) FROM b x JOIN b y ON x.o = y.o AND x.i < y.i JOIN b z ON y.o = z.o AND y.i < z.i GROUP BY x.i, y.i, z.i),
+    r AS (SELECT s, n, unnest(s) AS c FROM s WHERE len(s) > 1)
+    SELECT array_to_string(a.s, ',') AS antecedent, r.c AS consequent, round(r.n / a.n, 6) AS confidence, r.n AS support
+    FROM r JOIN s a ON a.s = list_filter(r.s, lambda x: x <> r.c)"""
+)
+def association_rules(spark, d):
+    rules = basket.association_rules(_baskets(spark, d), "l_orderkey", "p_brand", 3)
+    return rules.select(_set("antecedent").alias("antecedent"), "consequent", F.round("confidence", 6).alias("confidence"), "support")
+
+
+# --- graph and text ---
+
+
+def _friends(spark: SparkSession, d: str) -> DataFrame:
+    """Users who did something in the same minute are friends, both ways."""
+    seen = _t(spark, d, "events").select("user_id", F.date_trunc("minute", "ts").alias("m")).distinct()
+    a, b = seen.select(F.col("user_id").alias("person"), "m"), seen.select(F.col("user_id").alias("friend"), "m")
+    return a.join(b, "m").filter("person != friend").select("person", "friend").distinct()
+
+
+_FRIENDS = """e AS (SELECT DISTINCT x.user_id AS p, y.user_id AS f FROM (SELECT DISTINCT user_id, date_trunc('minute', ts) AS m FROM events) x
+    JOIN (SELECT DISTINCT user_id, date_trunc('minute', ts) AS m FROM events) y ON x.m = y.m AND x.user_id <> y.user_id),
+    l AS (SELECT p, list_sort(list(f)) AS fs FROM e GROUP BY p)"""
+
+
+@_add(f"WITH {_FRIENDS} SELECT x.p AS a, y.p AS b, array_to_string(list_sort(list_intersect(x.fs, y.fs)), ' ') AS common FROM e JOIN l x ON e.p = x.p JOIN l y ON e.f = y.p WHERE e.p < e.f")
+def common_friends(spark, d):
+    return graph.common_friends(graph.adjacency(_friends(spark, d))).withColumn("common", F.array_join(F.transform("common", lambda x: x.cast("string")), " "))
+
+
+@_add(
+    f"""WITH {_FRIENDS} SELECT least(x.p, y.p) AS a, greatest(x.p, y.p) AS b, array_to_string(list_sort(list_intersect(x.fs, y.fs)), ' ') AS common FROM
+    (SELECT CAST(p AS VARCHAR) AS p, CAST(f AS VARCHAR) AS f FROM e) e JOIN (SELECT CAST(p AS VARCHAR) AS p, list_transform(fs, lambda z: CAST(z AS VARCHAR)) AS fs FROM l) x ON e.p = x.p
+    JOIN (SELECT CAST(p AS VARCHAR) AS p, list_transform(fs, lambda z: CAST(z AS VARCHAR)) AS fs FROM l) y ON e.f = y.p WHERE e.p < e.f"""
+)
+def common_friends_text(spark, d):
+    rows = _friends(spark, d).select(F.col("person").cast("string").alias("person"), F.col("friend").cast("string").alias("friend"))
+    return graph.common_friends(graph.adjacency(rows), single_is_empty=False).withColumn("common", F.array_join("common", " "))
+
+
+_TOKENS = """t AS (SELECT doc_id, string_split(rtrim(text, ' '), ' ') AS w FROM documents), k AS (SELECT doc_id, w FROM t WHERE len(w) >= 2)"""
+
+
+@_add(
+    f"""WITH {_TOKENS}, p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, w FROM k),
+    q AS (SELECT word, unnest(list_concat(w[greatest(i - 2, 1):i - 1], w[i + 1:i + 2])) AS neighbour FROM p),
+    c AS (SELECT word, neighbour, count(*) AS n FROM q GROUP BY 1, 2)
+    SELECT word, neighbour, round(n / sum(n) OVER (PARTITION BY word), 9) AS frequency FROM c"""
+)
+def relative_frequency(spark, d):
+    return cooccur.relative_frequency(_t(spark, d, "documents"), "text", 2).withColumn("frequency", F.round("frequency", 9))
+
+
+@_add("SELECT word, count(*) AS count FROM (SELECT unnest(string_split(rtrim(text, ' '), ' ')) AS word FROM documents) GROUP BY word")
+def word_count(spark, d):
+    return logs.word_counts(_t(spark, d, "documents"), "text")
+
+
+# --- scalar functions ---
+
+
+@_add(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '/$', ''), '^www\.', '') AS formatted FROM pages")
+def url_format(spark, d):
+    return _t(spark, d, "pages").select("page_id", text.url_format("url").alias("formatted"))
+
+
+@_add("SELECT page_id, split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS host FROM pages")
+def url_host(spark, d):
+    return _t(spark, d, "pages").select("page_id", text.url_host("url").alias("host"))
+
+
+@_add("SELECT page_id, split_part(url, '?', 1) AS plain FROM pages")
+def url_no_params(spark, d):
+    return _t(spark, d, "pages").select("page_id", text.url_no_params("url").alias("plain"))
+
+
+_IP = "CAST(c_custkey % 300 AS VARCHAR) || '.' || CAST(c_custkey % 260 AS VARCHAR) || '.0.' || CASE WHEN c_custkey % 5 = 0 THEN 'x' ELSE '1' END"
+
+
+@_add(f"SELECT c_custkey, {_IP} AS address, (c_custkey % 300 <= 255 AND c_custkey % 260 <= 255 AND c_custkey % 5 <> 0) AS ok FROM customer")
+def is_ip(spark, d):
+    k = F.col("c_custkey")
+    address = F.concat_ws(".", (k % 300).cast("string"), (k % 260).cast("string"), F.lit("0"), F.when(k % 5 == 0, "x").otherwise("1"))
+    return _t(spark, d, "customer").select("c_custkey", address.alias("address")).withColumn("ok", text.is_ip("address"))
+
+
+@_add(
+    r"""WITH h AS (SELECT page_id, string_split(split_part(regexp_replace(url, '^https?://', ''), '/', 1), '.') AS l FROM pages)
+    SELECT page_id, CASE WHEN l[-1] IN ('com', 'org', 'net') THEN CASE WHEN l[-2] IN ('com', 'org', 'net') THEN l[-3] || '.' || l[-2] || '.' || l[-1] ELSE l[-2] || '.' || l[-1] END ELSE l[-1] END AS domain FROM h"""
+)
+def host_domain(spark, d):
+    return _t(spark, d, "pages").select("page_id", text.host_domain(text.url_host("url"), ["com", "org", "net"]).alias("domain"))
+
+
+@_add(
+    """WITH q AS (SELECT page_id, unnest(string_split(substr(url, instr(url, '?') + 1), '&')) AS kv FROM (SELECT page_id, url || CASE WHEN instr(url, '?') > 0 THEN '&' ELSE '?' END || 'utm=site' || CAST(page_id % 3 AS VARCHAR) AS url FROM pages))
+    SELECT page_id, string_agg(split_part(kv, '=', 1) || '=' || substr(kv, instr(kv, '=') + 1), ';' ORDER BY split_part(kv, '=', 1)) AS params
+    FROM q WHERE instr(kv, '=') > 0 AND length(substr(kv, instr(kv, '=') + 1)) >= 4 GROUP BY page_id"""
+)
+def query_params(spark, d):
+    """Each address gets one more parameter, so that some value is long enough to stay."""
+    url = F.concat("url", F.when(F.instr("url", "?") > 0, "&").otherwise("?"), F.lit("utm=site"), (F.col("page_id") % 3).cast("string"))
+    params = text.query_params(url)
+    return _t(spark, d, "pages").select("page_id", F.array_join(F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("params"))
+
+
+@_add("SELECT c_custkey, 'name=' || c_name || ';segment=' || c_mktsegment AS params FROM customer")
+def cookie_params(spark, d):
+    cookie = F.concat(F.lit(" name = "), "c_name", F.lit("; segment="), "c_mktsegment", F.lit(" ; id=x"))
+    params = text.cookie_params(cookie)
+    return _t(spark, d, "customer").select("c_custkey", F.array_join(F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("params"))
+
+
+@_add("SELECT p_partkey, p_name || ' é' AS decoded FROM part")
+def url_decode(spark, d):
+    escaped = F.concat(F.url_encode("p_name"), F.when(F.col("p_partkey") % 2 == 0, "%20%u00e9").otherwise("+%C3%A9"))
+    return _t(spark, d, "part").select("p_partkey", text.url_decode_lenient(escaped).alias("decoded"))
+
+
+@_add("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props)")
+def json_props(spark, d):
+    return _t(spark, d, "events").select("event_id", text.from_json_or_null("props", "k bigint").alias("p")).filter("p IS NOT NULL").select("event_id", "p.k")
+
+
+@_add("SELECT o_orderkey, CAST(epoch_ms(date_trunc('day', o_orderdate)) AS BIGINT) AS ms FROM orders")
+def date_millis(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", text.date_millis(text.format_date("o_orderdate")).alias("ms"))
+
+
+@_add("SELECT user_id, CAST(bit_or(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 4 ELSE 0 END) AS INTEGER) AS bits FROM events GROUP BY user_id")
+def bit_masks(spark, d):
+    flag = F.when(F.col("event_type") == "view", text.set_bits(F.lit(0), 1)).when(F.col("event_type") == "click", text.set_bits(F.lit(0), 2)).when(F.col("event_type") == "purchase", text.set_bits(F.lit(0), 4)).otherwise(0)
+    return _t(spark, d, "events").groupBy("user_id").agg(F.bit_or(flag).cast("int").alias("bits"))
+
+
+_MOMENTS = "SELECT count(value) FILTER (event_type = 'view') AS n1, count(value) FILTER (event_type = 'purchase') AS n2, avg(value) FILTER (event_type = 'view') AS m1, avg(value) FILTER (event_type = 'purchase') AS m2, var_samp(value) FILTER (event_type = 'view') AS v1, var_samp(value) FILTER (event_type = 'purchase') AS v2 FROM events"
+
+
+@_add(f"SELECT n1, n2, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t, round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 4) AS df FROM ({_MOMENTS})")
+def ttest_groups(spark, d):
+    out = stats.t_test(_t(spark, d, "events"), "event_type", "value", "view", "purchase")
+    return out.select("n1", "n2", F.round("t", 6).alias("t"), F.round("df", 4).alias("df"))
+
+
+@_add()
+def ttest_p_value(spark, d):
+    return stats.t_test(_t(spark, d, "events"), "event_type", "value", "view", "purchase").select(F.round("p", 9).alias("p"))
+
+
+# --- tags ---
+
+_WORDS = {"able": "t1,t2", "tion": "t2", "ment": "t3", "ung": "t4,t5", "zzz": "t6"}
+
+
+@_add(
+    "SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat("
+    + ", ".join(f"CASE WHEN contains(text, '{p}') THEN [{', '.join(repr(t) for t in tags.split(','))}] ELSE [] END" for p, tags in _WORDS.items())
+    + "))), ',') AS tags FROM documents"
+)
+def keyword_tags(spark, d):
+    rows = spark.createDataFrame([(f"{p}:{t}", i) for i, (p, t) in enumerate(_WORDS.items())], "value string, _line long")
+    out = tagging.keyword_tags(_t(spark, d, "documents"), "doc_id", ["text"], tagging.parse_dictionary(rows, format_url=False))
+    return out.select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
+@_add("SELECT d.doc_id, array_to_string(list_sort(list_distinct(list('w' || CAST(n.n_nationkey % 9 AS VARCHAR)))), ',') AS tags FROM documents d JOIN nation n ON contains(d.text, lower(substr(n.n_name, 1, 2))) GROUP BY d.doc_id")
+def keyword_tags_automaton(spark, d):
+    """The same matching by an automaton, over a dictionary above the size that fits an expression."""
+    rows = _t(spark, d, "nation").select(F.concat(F.lower(F.substring("n_name", 1, 2)), F.lit(":"), F.lit("w"), (F.col("n_nationkey") % 9).cast("string")).alias("value"), F.col("n_nationkey").cast("long").alias("_line"))
+    grouped = rows.select(F.substring_index("value", ":", 1).alias("pattern"), F.substring_index("value", ":", -1).alias("tag")).groupBy("pattern").agg(F.collect_set("tag").alias("tags"))
+    extra = spark.range(tagging.SMALL + 1).select(F.concat(F.lit("\u0001none"), F.col("id").cast("string")).alias("pattern"), F.array(F.lit("x")).alias("tags"))
+    out = tagging.keyword_tags(_t(spark, d, "documents"), "doc_id", ["text"], grouped.unionByName(extra))
+    return out.filter(F.size("tags") > 0).select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
+_COUNTS = "c AS (SELECT CAST(user_id AS VARCHAR) AS adsl, event_type AS tag, count(*) FILTER (day(ts) > 15) AS now, count(*) FILTER (day(ts) <= 15) AS old FROM events GROUP BY 1, 2)"
+_WEIGHTS = f"""{_COUNTS}, n AS (SELECT adsl, tag, CAST(round(CAST(sqrt(now) / sum(sqrt(now)) OVER (PARTITION BY adsl) AS DECIMAL(38,18)), 2) AS DECIMAL(38,2)) AS w FROM c WHERE now > 0),
+    o AS (SELECT adsl, tag, CAST(round(CAST(sqrt(old) / sum(sqrt(old)) OVER (PARTITION BY adsl) AS DECIMAL(38,18)), 2) AS DECIMAL(38,2)) AS w FROM c WHERE old > 0)"""
+
+
+def _weights(spark: SparkSession, d: str, now: bool) -> DataFrame:
+    """Users' event types as tags: the second half of the month is today, the first yesterday."""
+    day = F.dayofmonth("ts")
+    tags = _t(spark, d, "events").filter(day > 15 if now else day <= 15).select(F.col("user_id").cast("string").alias("adsl"), F.col("event_type").alias("tag"))
+    return tagging.normalise(tagging.tag_counts(tags), "count").select("adsl", "tag", "weight")
+
+
+@_add(f"WITH {_WEIGHTS} SELECT adsl, tag, CAST(w AS DOUBLE) AS weight FROM n")
+def tag_weights(spark, d):
+    return _weights(spark, d, True).withColumn("weight", F.col("weight").cast("double"))
+
+
+_MERGED = f"""{_WEIGHTS}, f AS (SELECT coalesce(n.adsl, o.adsl) AS adsl, coalesce(n.tag, o.tag) AS tag, n.w AS nw, o.w AS ow, coalesce(n.w, 0) + 0.7 * coalesce(o.w, 0) AS s FROM n FULL JOIN o ON n.adsl = o.adsl AND n.tag = o.tag),
+    m AS (SELECT adsl, tag, CASE WHEN count(nw) OVER (PARTITION BY adsl) > 0 THEN CAST(round(CAST(sqrt(s) / sum(sqrt(s)) OVER (PARTITION BY adsl) AS DECIMAL(38,18)), 2) AS DECIMAL(38,2)) ELSE CAST(ow AS DECIMAL(38,2)) END AS w FROM f)"""
+
+
+@_add(f"WITH {_MERGED} SELECT adsl, tag, CAST(w AS DOUBLE) AS weight FROM m")
+def tag_decay_merge(spark, d):
+    return tagging.merge_previous(_weights(spark, d, True), _weights(spark, d, False)).withColumn("weight", F.col("weight").cast("double"))
+
+
+@_add(f"WITH {_MERGED}, r AS (SELECT *, row_number() OVER (PARTITION BY adsl ORDER BY w DESC, tag) AS k FROM m WHERE w >= 0.005) SELECT adsl, string_agg(tag || ':' || CAST(CAST(w AS DECIMAL(20,6)) AS VARCHAR), ',' ORDER BY k) AS tags FROM r WHERE k <= 10 GROUP BY adsl")
+def tag_top10(spark, d):
+    return tagging.render_top(tagging.merge_previous(_weights(spark, d, True), _weights(spark, d, False)))
+
+
+@_add()
+def user_tag_pipeline(spark, d):
+    """Pages as visits of ten subscribers, and a previous day's rows, through the whole pipeline."""
+    pages = _t(spark, d, "pages")
+    visit = F.concat_ws("\x01", F.concat(F.lit("ad"), (F.col("page_id") % 10).cast("string")), F.lit("1.2.3.4"), "url", F.lit(""), F.lit("Acer phone"), F.lit("x"), F.lit("y"))
+    old = spark.range(5).select(F.concat(F.lit("ad"), F.col("id").cast("string"), F.lit("\told:0.50,en:0.20")).alias("value"))
+    urls = spark.createDataFrame([("/en/:en", 0), ("/fr/:fr,latin", 1), ("/es/:es,latin", 2)], "value string, _line long")
+    agents = spark.createDataFrame([("Acer:phone", 0)], "value string, _line long")
+    return tagging.user_tags(pages.select(visit.alias("value")).unionByName(old), tagging.parse_dictionary(urls, False), tagging.parse_dictionary(agents, False))
+
+
+@_add("SELECT CAST(page_id % 50 AS VARCHAR) AS adsl, split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS host, count(*) AS pv FROM pages GROUP BY 1, 2")
+def host_pv(spark, d):
+    return tagging.host_pv(_t(spark, d, "pages").select((F.col("page_id") % 50).cast("string").alias("adsl"), "url"))
+
+
+# --- streams, run over all of the events ---
+
+_WINDOWS = """SELECT s AS window_start, s + INTERVAL 24 HOUR AS window_end, event_type, count(*) AS count FROM
+    (SELECT event_type, time_bucket(INTERVAL '6 hours', ts) - k * INTERVAL '6 hours' AS s FROM events, range(0, 4) AS r(k)) GROUP BY 1, 2, 3"""
+
+
+def _ntz(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n in names})
+
+
+@_add(_WINDOWS)
+def sliding_window_counts(spark, d):
+    counts = logs.sliding_counts(_events(spark, d), "ts", "event_type", "24 hours", "6 hours")
+    return _ntz(logs.drain(counts), "window_start", "window_end")
+
+
+@_add(_WINDOWS)
+def sliding_window_counts_batch(spark, d):
+    return _ntz(logs.sliding_counts_by_slide(_t(spark, d, "events"), "ts", "event_type", 24 * 3600, 6 * 3600), "window_start", "window_end")
+
+
+@_add("SELECT word, count(*) AS count FROM (SELECT unnest(string_split(event_type || ' ' || CAST(user_id % 7 AS VARCHAR), ' ')) AS word FROM events) GROUP BY word")
+def stream_word_count(spark, d):
+    lines = _events(spark, d).select(F.concat_ws(" ", "event_type", (F.col("user_id") % 7).cast("string")).alias("value"))
+    return logs.drain(logs.word_counts(lines))
+
+
+@_add("SELECT CASE event_type WHEN 'view' THEN 'f5' WHEN 'click' THEN CAST(user_id AS VARCHAR) ELSE '' END AS key, count(*) AS count FROM events GROUP BY 1")
+def stream_log_types(spark, d):
+    kind = F.when(F.col("event_type") == "view", "dpc_js").when(F.col("event_type") == "click", "dpc_visit").otherwise("other")
+    line = F.concat_ws("\x01", kind, F.col("user_id").cast("string"), F.lit("a"), F.lit("b"), F.lit("c"), F.lit("f5"))
+    return logs.drain(logs.log_type_counts(_events(spark, d).select(line.alias("value"))))
+
+
+@_add("SELECT event_type, count(*) + CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 10 ELSE 0 END AS total FROM events GROUP BY event_type")
+def cumulative_state(spark, d):
+    emitted = logs.drain(state.cumulative_counts(_events(spark, d), "event_type", {"view": 1, "click": 10}), "update")
+    return emitted.groupBy("event_type").agg(F.max("total").alias("total"))
+
+
+_FUNNEL = """WITH a AS (SELECT user_id, min(epoch(ts)) AS t FROM events WHERE event_type = 'view' GROUP BY 1),
+    b AS (SELECT e.user_id, min(epoch(e.ts)) AS t FROM events e JOIN a ON e.user_id = a.user_id AND e.event_type = 'click' AND epoch(e.ts) >= a.t - 30 GROUP BY 1),
+    c AS (SELECT e.user_id, min(epoch(e.ts)) AS t FROM events e JOIN b ON e.user_id = b.user_id AND e.event_type = 'purchase' AND epoch(e.ts) >= b.t - 30 GROUP BY 1)
+    SELECT a.user_id, CAST(CASE WHEN c.t IS NOT NULL THEN 3 WHEN b.t IS NOT NULL THEN 2 ELSE 1 END AS INTEGER) AS step FROM a LEFT JOIN b USING (user_id) LEFT JOIN c USING (user_id)"""
+
+
+@_add(_FUNNEL)
+def funnel_fsm(spark, d):
+    steps = state.funnel_steps(_events(spark, d), ["user_id"], "ts", "event_type", ["view", "click", "purchase"])
+    return logs.drain(steps, "update").groupBy("user_id").agg(F.max("step").alias("step"))
+
+
+@_add(_FUNNEL)
+def funnel_fsm_batch(spark, d):
+    return state.funnel_steps_batch(_t(spark, d, "events"), ["user_id"], "ts", "event_type", ["view", "click", "purchase"])
+
+
+_MONTH = 10_000_000
+_BITS = "SELECT user_id, CAST(bit_or(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 4 END) AS INTEGER) AS bits FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY user_id"
+
+
+@_add(_BITS)
+def funnel_bits(spark, d):
+    """A timeout beyond the month, so that no key ends within the data."""
+    out = state.funnel_bits(_events(spark, d), ["user_id"], "ts", "event_type", ["view", "click", "purchase"], timeout=_MONTH, delay="60 days")
+    return logs.drain(out, "update").groupBy("user_id").agg(F.bit_or("bits").alias("bits"))
+
+
+@_add(_BITS)
+def funnel_bits_batch(spark, d):
+    return state.funnel_bits_batch(_t(spark, d, "events"), ["user_id"], "ts", "event_type", ["view", "click", "purchase"])
+
+
+@_add(f"SELECT CAST(user_id % 10 AS BIGINT) AS ad_id, CAST(sum(CASE WHEN bits & 2 > 0 THEN 1 ELSE 0 END) AS BIGINT) AS show, CAST(sum(CASE WHEN bits & 4 > 0 THEN 1 ELSE 0 END) AS BIGINT) AS click FROM ({_BITS}) GROUP BY 1")
+def ad_counters(spark, d):
+    bits = state.funnel_bits_batch(_t(spark, d, "events"), ["user_id"], "ts", "event_type", ["view", "click", "purchase"])
+    return state.ad_counters(bits.select((F.col("user_id") % 10).alias("ad_id"), F.col("bits").alias("delta")))

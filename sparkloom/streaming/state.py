@@ -83,12 +83,15 @@ def funnel_steps_batch(df: DataFrame, keys: Sequence[str], ts: str, kind: str, t
     lists = df.groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(F.col(kind) == x, t))).alias(f"_t{i}") for i, x in enumerate(types, 1)])
     accepted, step = F.get("_t1", 0), F.when(F.size("_t1") > 0, 1).otherwise(0)
     for i in range(2, len(types) + 1):
-        before = accepted
-        accepted = F.get(F.filter(f"_t{i}", lambda x, before=before: x >= before - F.lit(float(tolerance))), 0)
+        accepted = F.get(F.filter(f"_t{i}", _from(accepted - F.lit(float(tolerance)))), 0)
         step = F.when(accepted.isNotNull(), i).otherwise(step)
     return lists.select(*keys, step.alias("step")).filter("step > 0")
 
 
+def _from(least: Column):
+    return lambda x: x >= least
+
+
 def funnel_bits(df: DataFrame, keys: Sequence[str], ts: str, kind: str, types: Sequence[str], timeout: int = TIMEOUT, delay: str = "10 seconds") -> DataFrame:
     """Stream: (keys, bits, delta) whenever events set bits that a key hadn't; each of creative, show and click counts
     once, in any order.  State goes ``timeout`` seconds of event time after the creative (or the first event)."""
