@@ -64,8 +64,9 @@ class Splitter:
         # the capital sigma has one lower-case form when characters are taken one by one
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def words(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-        """All texts in one string, the starts and ends of its words, and the number of words before each text."""
+    def words(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All texts in one string, its code points, the starts and ends of its words, and the number of words before
+        each text."""
         joined = "".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         n = len(points)
@@ -90,10 +91,9 @@ class Splitter:
         bounds = np.r_[np.flatnonzero(new), n]
         solid = kind[bounds[:-1]] != _SPACE
         starts, ends = bounds[:-1][solid], bounds[1:][solid]
-        return joined, starts, ends, np.searchsorted(starts, offsets)
+        return joined, points, starts, ends, np.searchsorted(starts, offsets)
 
-    def hashes(self, joined: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    def hashes(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return kernels.range_hash(kernels.prefix_hash(self.symbol[points]), starts, ends)
 
 
@@ -162,10 +162,12 @@ class Encoder:
         self.cache: dict[int, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        joined, starts, ends, first = self.split.words([self.split.normalize(t) for t in texts])
+        joined, points, starts, ends, first = self.split.words([self.split.normalize(t) for t in texts])
         if not len(starts):
             return [b""] * len(texts)
-        keys, example, which = np.unique(self.split.hashes(joined, starts, ends), return_index=True, return_inverse=True)
+        keys, which = np.unique(self.split.hashes(points, starts, ends), return_inverse=True)
+        example = np.empty(len(keys), dtype=np.int64)
+        example[which] = np.arange(len(which))
         names = keys.tolist()
         known = list(map(self.cache.get, names))
         new = [i for i, x in enumerate(known) if x is None]

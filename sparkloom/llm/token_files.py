@@ -45,6 +45,7 @@ class Grammar:
     def __init__(self, base: int, rules: np.ndarray, lengths: np.ndarray, sequence: np.ndarray, places: np.ndarray) -> None:
         self.base, self.rules, self.lengths, self.sequence, self.places = base, rules, lengths, sequence, places
         self._flat: tuple[np.ndarray, np.ndarray] | None = None
+        self._lengths: np.ndarray | None = None
 
     @classmethod
     def compress(cls, ids: np.ndarray, places: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int = ROUNDS) -> Grammar:
@@ -115,40 +116,31 @@ class Grammar:
         return np.array(out, dtype=pairs.dtype)
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all symbols of the rules end to end, and where each begins."""
+        """The ids of all symbols end to end, plain ids first, and where each symbol's begin."""
         if self._flat is None:
-            starts = np.r_[0, np.cumsum(self.lengths)]
-            flat = np.zeros(int(starts[-1]), dtype=np.int64)
-            for i, (a, b) in enumerate(self.rules.tolist()):
-                at = int(starts[i])
-                for s in (a, b):
-                    if s < self.base:
-                        flat[at] = s
-                        at += 1
-                    else:
-                        n = int(self.lengths[s - self.base])
-                        flat[at : at + n] = flat[starts[s - self.base] : starts[s - self.base] + n]
-                        at += n
+            starts = np.r_[np.arange(self.base), self.base + np.cumsum(self.lengths) - self.lengths].astype(np.int64)
+            flat = np.zeros(self.base + int(self.lengths.sum()), dtype=np.uint32)
+            flat[: self.base] = np.arange(self.base)
+            where, sizes = starts.tolist(), [1] * self.base + self.lengths.tolist()
+            for i, (a, b) in enumerate(self.rules.tolist(), self.base):
+                at, n, m = where[i], sizes[a], sizes[b]
+                flat[at : at + n] = flat[where[a] : where[a] + n]
+                flat[at + n : at + n + m] = flat[where[b] : where[b] + m]
             self._flat = flat, starts
         return self._flat
 
     def symbol_lengths(self, symbols: np.ndarray) -> np.ndarray:
-        symbols = symbols.astype(np.int64)
-        out = np.ones(len(symbols), dtype=np.int64)
-        rule = symbols >= self.base
-        out[rule] = self.lengths[symbols[rule] - self.base]
-        return out
+        if self._lengths is None:
+            self._lengths = np.r_[np.ones(self.base, dtype=np.int64), self.lengths.astype(np.int64)]
+        return self._lengths[symbols]
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         flat, starts = self._expansions()
-        symbols, lengths = symbols.astype(np.int64), self.symbol_lengths(symbols)
-        owner = np.repeat(np.arange(len(symbols)), lengths)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        of = symbols[owner]
-        rule = of >= self.base
-        out = of.copy()
-        out[rule] = flat[starts[of[rule] - self.base] + inner[rule]]
-        return out
+        lengths = self.symbol_lengths(symbols)
+        ends = np.cumsum(lengths)
+        if not len(ends):
+            return np.zeros(0, dtype=np.uint32)
+        return flat[np.repeat(starts[symbols] - ends + lengths, lengths) + np.arange(ends[-1])]
 
     def document(self, i: int) -> np.ndarray:
         """The ids of one document; the others are not touched."""
@@ -174,8 +166,8 @@ class Grammar:
     @classmethod
     def unpack(cls, row: dict) -> Grammar:
         code = "<u4" if row["wide"] else "<u2"
-        read = lambda name, kind: np.frombuffer(row[name], dtype=kind).astype(np.int64)
-        return cls(row["code_base"], read("rules", code).reshape(-1, 2), read("lengths", "<u4"), read("sequence", code), read("places", "<u8"))
+        read = lambda name, kind: np.frombuffer(row[name], dtype=kind)
+        return cls(row["code_base"], read("rules", code).astype(np.int64).reshape(-1, 2), read("lengths", "<u4").astype(np.int64), read("sequence", code), read("places", "<u8").astype(np.int64))
 
 
 def _library_words(spec: dict):
@@ -269,7 +261,7 @@ def read_token_files(spark, path: str) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 g = Grammar.unpack(row)
-                flat = g.expand(g.sequence).astype("<u4")
+                flat = g.expand(g.sequence).astype("<u4", copy=False)
                 upto = np.r_[0, np.cumsum(g.symbol_lengths(g.sequence))][g.places]
                 names = [None if gone else x for x, gone in zip(np.frombuffer(row["doc_ids"], "<i8").tolist(), row["no_id"], strict=True)]
                 n = len(names)
