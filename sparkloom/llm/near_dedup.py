@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 from . import kernels
 from .common import flat, keyed_join, materialize, prepare_workers, salted_join, slices
 
-#: Bins of the one-permutation sketch, and bins of a band.  32 bands of 4: a pair at the threshold of 0.8 shares no
-#: band with probability (1 - 0.8**4)**32, below 1e-7.
-BINS, ROWS = 128, 4
+#: Bins of the one-permutation sketch, and bins of a band.  32 bands of 5: a pair at the threshold of 0.8 shares no
+#: band with probability (1 - 0.8**5)**32, about 3e-6; a pair at 0.2 shares one with probability 0.01.
+BINS, ROWS = 160, 5
 #: Stars that later rounds draw in a bucket, and rounds running without a new link after which the search ends.
 STARS, IDLE_ROUNDS = 1, 1
-_BITS = BINS.bit_length() - 1
 
 
 def _donors() -> np.ndarray:
@@ -33,14 +32,14 @@ DONORS = _donors()
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """One-permutation hashing of a sorted set of 64-bit hashes: the top bits name the bin, the least value of each
-    bin stays; empty bins copy the first filled bin of their own sequence of donors."""
-    starts = np.searchsorted(hashes, np.arange(BINS, dtype=np.uint64) << np.uint64(64 - _BITS))
-    bins = (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
+    """One-permutation hashing of a sorted set of 64-bit hashes: bins are equal ranges of hashes, the least value of
+    each bin stays; empty bins copy the first filled bin of their own sequence of donors."""
+    bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
     filled = np.zeros(BINS, dtype=bool)
     filled[bins] = True
     out = np.zeros(BINS, dtype=np.uint64)
-    out[filled] = hashes[starts[filled]]
+    out[bins[first]] = hashes[first]
     empty = np.flatnonzero(~filled)
     if len(empty):
         donor = DONORS[empty]
@@ -154,9 +153,9 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
 
     Equal sets are one class, and only the smallest id of each goes on.  Classes meet in the banded buckets of their
     sketches.  Each round draws stars in the buckets (see ``star_edges``) and confirms them on the full sets.  The first
-    centres are the documents that share most bucket places with others; later ones come from the component with the
-    fewest members in a bucket, so that those left aside meet all the others there, and only buckets that hold more
-    than one component take part.  It ends when ``IDLE_ROUNDS`` rounds running link nothing new.
+    centres are the documents that share most bucket places with others; later ones come from a bucket's smallest
+    component, so that those left aside meet all the others there, and only pairs of different components are tried.
+    It ends when ``IDLE_ROUNDS`` rounds running link nothing new.
     Rows that repeat an id belong to the class of each of their texts; a null id is linked with nothing and kept.
     Other columns are ignored; an empty table gives an empty result.
     """
@@ -171,7 +170,7 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     weights = shared.groupBy("_id").agg(F.sum("_size").alias("_weight"))
     places = materialize(salted_join(shared.drop("_size"), weights, ["_id"], "_band").select("_band", "_id", "_n", F.col("_id").alias("_root"), (-F.col("_weight")).alias("_rank"), F.col("_id").alias("_tie"), "_weight"), "places")
     candidates = places.select("_id").distinct()
-    links = used = None
+    links = used = roots = None
     sets = None
     idle = 0
     while True:
@@ -187,17 +186,14 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
         if idle:
             continue
         links = found if links is None else materialize(links.unionByName(found), "links")
-        roots = components(candidates, links)
-        labelled = materialize(keyed_join(places.drop("_root", "_rank", "_tie"), materialize(roots, "roots"), ["_id"], "_band"), "labelled")
-        members = materialize(labelled.groupBy("_band", "_root").agg(F.count("*").cast("long").alias("_rank")), "members")
-        mixed = materialize(members.groupBy("_band").agg(F.count("*").alias("_roots")).filter("_roots > 1").select("_band"), "mixed")
-        open_ = keyed_join(keyed_join(labelled, mixed, ["_band"], "_id"), members, ["_band", "_root"], "_id")
-        places = materialize(open_.withColumn("_tie", -F.col("_weight")), "places")
-    if links is None:
+        roots = materialize(components(candidates, links), "roots")
+        sizes = materialize(roots.groupBy("_root").agg(F.count("*").alias("_rank")), "sizes")
+        roots = materialize(keyed_join(roots, sizes, ["_root"], "_id"), "roots")
+        places = materialize(keyed_join(places.drop("_root", "_rank", "_tie"), roots, ["_id"], "_band").withColumn("_tie", -F.col("_weight")), "places")
+    if roots is None:
         final = classes.withColumn("_root", F.col("_rep"))
     else:
-        roots = components(candidates, links).withColumnRenamed("_id", "_rep")
-        final = classes.join(roots, "_rep", "left").withColumn("_root", F.coalesce("_root", "_rep"))
+        final = classes.join(roots.select(F.col("_id").alias("_rep"), "_root"), "_rep", "left").withColumn("_root", F.coalesce("_root", "_rep"))
     out = salted_join(signed.select("_id", "_n", "_set"), final.select("_set", "_root"), ["_set"], "_id", "left")
     root = F.when(F.col("_id").isNull(), None).otherwise(F.coalesce("_root", "_id"))
     return out.select(F.col("_id").alias(id), F.col("_n").alias("n_shingles"), root.alias("component_id"), F.col("_id").eqNullSafe(root).alias("kept"))
