@@ -105,7 +105,7 @@ def star_edges(places: DataFrame, used: DataFrame | None, share: int, stars: int
     best = F.min_by(F.struct(F.col("_id").alias("_centre"), F.col("_n").alias("_cn"), F.col("_root").alias("_croot")), F.struct("_rank", "_tie")).alias("_best")
     part = F.pmod(F.xxhash64("_id"), F.lit(stars)).alias("_part")
     centres = materialize(free.groupBy("_band", part).agg(best).select("_band", "_best.*"), "centres")
-    pairs = keyed_join(places, centres, ["_band"], "_id").filter((F.col("_id") != F.col("_centre")) & (F.col("_root") != F.col("_croot")))
+    pairs = salted_join(places, centres, ["_band"], "_id").filter((F.col("_id") != F.col("_centre")) & (F.col("_root") != F.col("_croot")))
     pairs = pairs.filter(100 * F.least("_n", "_cn") >= share * F.greatest("_n", "_cn"))
     edges = pairs.select(F.col("_centre").alias("_a"), F.col("_id").alias("_b")).distinct()
     return edges, centres.select("_band", "_centre")
@@ -177,7 +177,7 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
         edges, centres = star_edges(places, used, share, 1 if used is None else STARS)
         edges = materialize(edges, "stars")
         if sets is None:
-            sets = materialize(full_sets(docs.join(candidates.withColumnRenamed("_id", id), id, "left_semi"), id, text, words).dropDuplicates(["_id"]), "sets")
+            sets = materialize(full_sets(docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text")).join(candidates, "_id", "left_semi"), "_id", "_text", words).dropDuplicates(["_id"]), "sets")
         found = materialize(confirmed(edges, sets, share), "links")
         idle = 0 if found.limit(1).count() else idle + 1
         if idle == IDLE_ROUNDS or links is None and idle:
