@@ -70,12 +70,15 @@ class Splitter:
         joined = "".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         n = len(points)
+        if not n:
+            nothing = np.zeros(0, dtype=np.int64)
+            return joined, points, nothing, nothing, np.zeros(len(texts) + 1, dtype=np.int64)
         offsets = np.r_[0, np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))]
         kind = np.r_[self.kind[points], np.zeros(3, dtype=np.uint8)]
         edge = np.zeros(n + 3, dtype=bool)
         edge[offsets] = True
         new = edge[:n].copy()
-        new[0:1] = True
+        new[0] = True
         new[1:] |= kind[1:n] != kind[: n - 1]
         new |= kind[:n] == _NUMBER
         at = np.flatnonzero((points == ord("'")) & new)

@@ -31,9 +31,11 @@ def line_dedup(docs: DataFrame, text: str = "text", host: str = "host", salt: st
     rows are pages of their own.  Input columns named n_lines or n_dropped are replaced.
     """
     marks = boilerplate(docs, text, host, ratio, min_pages)
-    rows = docs.withColumn("_host", F.col(host)).withColumn("_row", F.xxhash64(F.col(salt), F.col(text)))
-    joined = salted_join(rows, marks, ["_host"], "_row", "left")
-    lines = F.when(text_or_empty(text) == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
+    # the row travels as one struct, so that no name of it can clash
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(host).alias("_host"), F.col(text).alias("_text"), F.xxhash64(F.col(salt), F.col(text)).alias("_from"))
+    joined = salted_join(rows, marks, ["_host"], "_from", "left")
+    lines = F.when(text_or_empty("_text") == "", F.array().cast("array<string>")).otherwise(F.split("_text", "\n", -1))
     kept = F.when(F.col("_boilerplate").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("_boilerplate", _key(x)) | (F.trim(x) == "")))
     out = joined.withColumn("_lines", lines).withColumn("_kept", kept)
-    return out.withColumn(text, F.array_join("_kept", "\n")).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", (F.size("_lines") - F.size("_kept")).cast("long")).drop("_host", "_row", "_boilerplate", "_lines", "_kept")
+    given = [F.array_join("_kept", "\n").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*given, F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"))
