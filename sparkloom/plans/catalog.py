@@ -5,8 +5,6 @@ Each query runs its operator over whole tables.  Arrays are rendered as text, do
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import stats, text
 from ..operators import basket, cooccur, graph, joins, ordering, relational, tagging
 from ..sources import io
+from ..sources.scratch import new_folder
 from ..streaming import logs, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +42,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
-    return f"{base.rstrip('/')}/file-{uuid.uuid4().hex}"
+    return new_folder(spark, "file")
 
 
 # --- projections, filters, views ---

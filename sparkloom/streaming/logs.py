@@ -5,16 +5,15 @@ Each transform works on a batch table and on a stream alike; the wrappers below
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import jsplit
 from ..operators.relational import log_key
+from ..sources.scratch import new_folder
 
 #: Types of the site log and the field that each is counted by.
 SITE_LOG = {"dpc_js": 5, "dpc_visit": 1}
@@ -76,12 +75,6 @@ def ad_events(lines: DataFrame, line: str = "value") -> DataFrame:
     return rows.filter(F.col("type").isin(*AD_TYPES) & F.col("ts").isNotNull())
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: under spark.checkpoint.dir, or local where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update", once: bool = False, every: str = "10 seconds") -> StreamingQuery:
     """Runs ``write`` on each micro-batch; a stream started again with its checkpoint folder goes on where it ended."""
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
@@ -92,7 +85,7 @@ def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over all data there is and returns its output as a table: of complete mode the last result, else
     all that was emitted.  Results go through files in the shared folder, not through the driver."""
     spark = df.sparkSession
-    base = scratch(spark)
+    base = new_folder(spark, "stream")
     out = f"{base}/out"
 
     def write(batch: DataFrame, _: int) -> None:
