@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,11 @@ from .common import keyed_join, materialize, maybe_among, prepare_workers, slice
 
 #: Symbols of the model and length of its n-grams: it has SYMBOLS**ORDER n-grams at most, whatever the corpus.
 SYMBOLS, ORDER = 48, 4
-#: The share of a language's trusted documents above its quantile, and the factor by which other documents may exceed
-#: the perplexity there (trusted text was seen in training, other text was not).
-REJECTED, SLACK = 0.02, 1.05
+#: The share of a language's trusted documents above its quantile, and the factor by which documents may exceed the
+#: perplexity there.
+REJECTED, SLACK = 0.02, 1.02
+#: Folds of the trusted documents: the quantiles come from models that have not seen the document.
+FOLDS = 2
 #: Standard errors that are taken off a text's mean loss before it is held against the threshold: the perplexity of a
 #: short text says little.
 ERRORS = 2.0
@@ -70,19 +73,23 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """(_gram, _c) over all rows of ``texts`` (_text).  Each task counts its rows; a sharded sum joins the tasks."""
+    """(_fold, _gram, _c) over all rows of ``texts`` (_text, _fold).  Each task counts its rows; a sharded sum joins the
+    tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SYMBOLS**ORDER, dtype=np.int64)
+        n = SYMBOLS**ORDER
+        counts = np.zeros(FOLDS * n, dtype=np.int32)
         for b in slices(batches, "_text"):
-            found, times = np.unique(grams(b.column(0).to_pylist())[0], return_counts=True)
-            counts[found] += times
+            found, offsets = grams(b.column(0).to_pylist())
+            found += np.repeat(b.column(1).to_numpy().astype(np.int64) * n, np.diff(offsets))
+            seen, times = np.unique(found, return_counts=True)
+            counts[seen] += times.astype(np.int32)
         seen = np.flatnonzero(counts)
         for at in range(0, len(seen), 50_000):
             part = seen[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["_gram", "_c"])
+            yield pa.RecordBatch.from_arrays([pa.array((part // n).astype(np.int32)), pa.array(part % n), pa.array(counts[part].astype(np.int64))], ["_fold", "_gram", "_c"])
 
-    return texts.select("_text").mapInArrow(run, "_gram long, _c long").groupBy("_gram").agg(F.sum("_c").alias("_c"))
+    return texts.select("_text", "_fold").mapInArrow(run, "_fold int, _gram long, _c long").groupBy("_fold", "_gram").agg(F.sum("_c").alias("_c"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -153,11 +160,11 @@ def perplexities(docs: DataFrame, model: DataFrame, text: str = "text", out: str
     shared = spark.sparkContext.broadcast(tuple(a.astype(k) for a, k in zip(arrays, (np.int8, np.int32, np.float32, np.float32), strict=True)))
     docs = docs.drop(out, f"{out}_low")
     at, names = docs.columns.index(text), [*docs.columns, out, f"{out}_low"]
-    key = f"{spark.sparkContext.applicationId}-{id(shared)}-{table.num_rows}"
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _tables:
-            for old in [k for k in _tables if k != "alphabet"]:
+            for old in [k for k in _tables if k != "alphabet"][:-FOLDS]:
                 del _tables[old]
             _tables[key] = dense(*shared.value)
         scores = _tables[key]
@@ -174,55 +181,63 @@ def perplexities(docs: DataFrame, model: DataFrame, text: str = "text", out: str
     return docs.mapInArrow(run, schema)
 
 
-def trusted_text(docs: DataFrame, trusted: DataFrame, id: str, text: str) -> DataFrame:
-    """(_id, _text) of the documents whose id is in ``trusted`` (_id).  A filter of fixed size keeps most other texts
-    out of the join's shuffle."""
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    return maybe_among(rows, trusted, ["_id"]).filter("_maybe").drop("_maybe").join(trusted.select("_id").distinct(), "_id", "left_semi")
+def trusted_text(docs: DataFrame, trusted: DataFrame, id: str, text: str, lang: str | None = None) -> DataFrame:
+    """(_id, _text, _lang, _fold) of the documents whose id is in ``trusted`` (_id).  A filter of fixed size keeps most
+    other texts out of the join's shuffle."""
+    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), _language(lang), F.pmod(F.xxhash64(F.col(id)), F.lit(FOLDS)).cast("int").alias("_fold"))
+    return maybe_among(rows, trusted, ["_id"]).filter("_maybe").drop("_maybe").join(trusted.select("_id").distinct(), "_id", "left_semi").filter("_text IS NOT NULL")
+
+
+def _model(counts: DataFrame) -> DataFrame:
+    return materialize(kneser_ney(materialize(counts.groupBy("_gram").agg(F.sum("_c").alias("_c")), "grams")).coalesce(4), "model")
 
 
 def train(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The model of all trusted texts."""
     prepare_workers(docs.sparkSession)
-    counts = materialize(gram_counts(trusted_text(docs, trusted, id, text)), "grams")
-    return materialize(kneser_ney(counts).coalesce(4), "model")
+    return _model(gram_counts(trusted_text(docs, trusted, id, text)))
+
+
+def fit(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rejected: float = REJECTED) -> tuple[DataFrame, DataFrame, float | None]:
+    """The model of all trusted texts; (_lang, _limit), the quantile 1 - ``rejected`` of the perplexities that trusted
+    documents have under the model of the other folds; and the quantile of all languages together."""
+    prepare_workers(docs.sparkSession)
+    texts = materialize(trusted_text(docs, trusted, id, text, lang), "trusted")
+    counts = materialize(gram_counts(texts), "counts")
+    known: DataFrame | None = None
+    for fold in range(FOLDS):
+        scored = perplexities(texts.filter(F.col("_fold") == fold), _model(counts.filter(F.col("_fold") != fold)), "_text").select("_lang", "perplexity")
+        known = scored if known is None else known.unionByName(scored)
+    known = materialize(known.filter("perplexity IS NOT NULL"), "held_out")
+    quantile = F.percentile_approx("perplexity", 1 - rejected, ACCURACY)
+    return _model(counts), materialize(known.groupBy("_lang").agg(quantile.alias("_limit")), "limits"), known.agg(quantile).first()[0]
 
 
 def classify(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rejected: float = REJECTED, slack: float = SLACK) -> DataFrame:
     """One row per document: ``id``, ``lang``, perplexity, threshold, kept.
 
     ``trusted`` has the ids of trusted documents in the column _id; the model is trained on all their texts.  A
-    language's threshold is the quantile 1 - ``rejected`` of its trusted documents' perplexities times ``slack``; a
-    language without trusted documents takes that of all trusted documents.  Documents whose perplexity, less
-    ``ERRORS`` standard errors, is up to their threshold are kept.
-    A null or empty text has no perplexity and goes; without any trusted text nothing can be told, so all texts stay.
-    A null language is a language of its own.  Repeated rows are scored each; an empty table gives an empty result.
+    language's threshold is the quantile 1 - ``rejected`` of its trusted documents' held-out perplexities times
+    ``slack``; a language without trusted documents takes that of all trusted documents.  Documents whose perplexity,
+    less ``ERRORS`` standard errors, is up to their threshold are kept.  A null or empty text has no perplexity and
+    goes; without any trusted text nothing can be told, so all texts stay.  A null language is a language of its own.
+    Repeated rows are scored each; an empty table gives an empty result.
     """
+    model, *limits = fit(docs, trusted, id, text, lang, rejected)
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), _language(lang), F.col(lang).alias("_given"))
-    scored = materialize(perplexities(rows, train(docs, trusted, id, text), "_text").drop("_text"), "perplexities")
-    out = _judged(scored, *_limits(scored, trusted, rejected), slack)
+    out = _judged(perplexities(rows, model, "_text").drop("_text"), *limits, slack)
     return out.select(F.col("_id").alias(id), F.col("_given").alias(lang), "perplexity", "threshold", "kept")
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rejected: float = REJECTED, slack: float = SLACK) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with their columns.  Texts are scored twice - once for the limits
-    of the languages, once in the pass that filters - and in return don't enter a shuffle."""
-    model = train(docs, trusted, id, text)
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), _language(lang))
-    known = maybe_among(rows, trusted, ["_id"]).filter("_maybe").select("_id", "_text", "_lang")
-    limits = _limits(perplexities(known, model, "_text").drop("_text"), trusted, rejected)
+    """The rows of ``docs`` that ``classify`` keeps, with their columns; texts are scored and filtered in one pass."""
+    model, *limits = fit(docs, trusted, id, text, lang, rejected)
     given = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(id).alias("_id"), F.col(text).alias("_text"), _language(lang))
     return _judged(perplexities(given, model, "_text"), *limits, slack).filter("kept").select("_row.*")
 
 
-def _language(lang: str) -> Column:
-    return F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang")
-
-
-def _limits(scored: DataFrame, trusted: DataFrame, rejected: float) -> tuple[DataFrame, float | None]:
-    """(_lang, _limit): the quantiles of the trusted documents by language, and the quantile of all of them."""
-    known = materialize(scored.join(trusted.select("_id").distinct(), "_id", "left_semi").filter("perplexity IS NOT NULL").select("_lang", "perplexity"), "trusted")
-    quantile = F.percentile_approx("perplexity", 1 - rejected, ACCURACY)
-    return materialize(known.groupBy("_lang").agg(quantile.alias("_limit")), "limits"), known.agg(quantile).first()[0]
+def _language(lang: str | None) -> Column:
+    return (F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang else F.lit("")).alias("_lang")
 
 
 def _judged(scored: DataFrame, limits: DataFrame, overall: float | None, slack: float) -> DataFrame:
