@@ -90,6 +90,14 @@ def json_round_trip(spark, d):
     return io.json_lines(spark, path, "name string, key int, region int")
 
 
+@_add("SELECT p_brand AS command, p_type AS keyword, p_size AS value FROM part WHERE p_size >= 30")
+def collection_rewrite(spark, d):
+    """Folders of JSON lines stand in for collections."""
+    source, target = _dir(spark), _dir(spark)
+    io.save_json(_t(spark, d, "part").select(F.col("p_brand").alias("command"), F.col("p_type").alias("keyword"), F.col("p_size").alias("value")), source)
+    return io.rewrite_collection(spark, source, target, "value >= 30", ["command", "keyword", "value"], "json")
+
+
 @_add("SELECT p_partkey, p_name, p_size FROM part")
 def csv_round_trip(spark, d):
     path = _dir(spark)
@@ -317,6 +325,11 @@ def association_rules(spark, d):
     return rules.select(_set("antecedent").alias("antecedent"), "consequent", F.round("confidence", 6).alias("confidence"), "support")
 
 
+@_add(f"WITH {_BASKETS} SELECT i AS item, count(*) AS support FROM b GROUP BY i")
+def single_items(spark, d):
+    return basket.itemset_counts(_baskets(spark, d), "l_orderkey", "p_brand", 1).select(F.get("items", 0).alias("item"), F.col("count").alias("support"))
+
+
 # --- graph and text ---
 
 

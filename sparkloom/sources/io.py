@@ -86,6 +86,15 @@ def collection(spark: SparkSession, uri: str, format: str = "mongodb", **options
     return spark.read.format(format).options(**options).load(uri) if format == "json" else spark.read.format(format).option("connection.uri", uri).options(**options).load()
 
 
+def rewrite_collection(spark: SparkSession, source: str, target: str, where: str, columns: list[str], format: str = "mongodb") -> DataFrame:
+    """Reads a collection, keeps ``columns`` of the rows that ``where`` (SQL) selects, writes them in place of
+    ``target`` and returns them."""
+    rows = collection(spark, source, format).filter(where).select(*columns)
+    writer = rows.write.format(format).mode("overwrite")
+    writer.save(target) if format == "json" else writer.option("connection.uri", target).save()
+    return collection(spark, target, format)
+
+
 # --- sinks ---
 
 
