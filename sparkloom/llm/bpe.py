@@ -14,10 +14,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernels
-from .common import KERNEL_BYTES, prepare_workers
+from .common import KERNEL_BYTES, map_arrow, prepare_workers
 
 #: Words whose ids a worker keeps; beyond, it starts anew, so memory is bounded whatever the vocabulary of the texts.
 CACHED_WORDS = 1_000_000
+#: Words that are kept aside before they are merged into the cache.
+RECENT_WORDS = 50_000
 _SHIFT = 32
 _NONE = np.int64(1 << 40)
 
@@ -162,7 +164,48 @@ class Encoder:
 
     def __init__(self, spec: dict, encode_words: Callable[[list[str]], list[bytes]]) -> None:
         self.split, self.encode_words = Splitter(spec), encode_words
-        self.cache: dict[int, bytes] = {}
+        self.recent: dict[int, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """The cache is three flat arrays: sorted word hashes, where their ids begin and end, and the ids."""
+        self.keys, self.bounds, self.flat = np.zeros(0, np.uint64), np.zeros((0, 2), np.int32), np.zeros(0, np.uint32)
+
+    def _settle(self) -> None:
+        """Merges the words learned lately into the arrays."""
+        if len(self.keys) + len(self.recent) > CACHED_WORDS:
+            self._forget()
+        keys = np.fromiter(self.recent, dtype=np.uint64, count=len(self.recent))
+        sizes = np.fromiter(map(len, self.recent.values()), dtype=np.int64, count=len(keys)) // 4
+        ends = len(self.flat) + np.cumsum(sizes)
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(self.recent.values()), dtype="<u4")])
+        self.keys, bounds = np.concatenate([self.keys, keys]), np.concatenate([self.bounds, np.stack([ends - sizes, ends], axis=1).astype(np.int32)])
+        order = np.argsort(self.keys)
+        self.keys, self.bounds = self.keys[order], bounds[order]
+        self.recent.clear()
+
+    def _ids(self, keys: np.ndarray, words: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct words with the hashes ``keys``: an array that holds them, where each word's begin and
+        how many they are.  ``words`` gives the words at some places of ``keys``."""
+        begin, sizes = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        known = np.zeros(len(keys), dtype=bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            known = self.keys[at] == keys
+            bounds = self.bounds[at[known]].astype(np.int64)
+            begin[known], sizes[known] = bounds[:, 0], bounds[:, 1] - bounds[:, 0]
+        rest = np.flatnonzero(~known)
+        names = keys[rest].tolist()
+        new = np.array([i for i, x in zip(rest.tolist(), names, strict=True) if x not in self.recent], dtype=np.int64)
+        if len(new):
+            self.recent.update(zip(keys[new].tolist(), self.encode_words(words(new)), strict=True))
+        found = [self.recent[x] for x in names]
+        sizes[rest] = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        begin[rest] = len(self.flat) + np.cumsum(sizes[rest]) - sizes[rest]
+        out = np.concatenate([self.flat, np.frombuffer(b"".join(found), dtype="<u4")]) if found else self.flat
+        if len(self.recent) > RECENT_WORDS:
+            self._settle()
+        return out, begin, sizes
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         joined, points, starts, ends, first = self.split.words([self.split.normalize(t) for t in texts])
@@ -171,18 +214,8 @@ class Encoder:
         keys, which = np.unique(self.split.hashes(points, starts, ends), return_inverse=True)
         example = np.empty(len(keys), dtype=np.int64)
         example[which] = np.arange(len(which))
-        names = keys.tolist()
-        known = list(map(self.cache.get, names))
-        new = [i for i, x in enumerate(known) if x is None]
-        if new:
-            if len(self.cache) + len(new) > CACHED_WORDS:
-                self.cache.clear()
-            a, b = starts[example[new]].tolist(), ends[example[new]].tolist()
-            for i, ids in zip(new, self.encode_words([joined[x:y] for x, y in zip(a, b, strict=True)]), strict=True):
-                known[i] = self.cache[names[i]] = ids
-        flat = np.frombuffer(b"".join(known), dtype="<u4")
-        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
-        of_word, begins = sizes[which], (np.cumsum(sizes) - sizes)[which]
+        flat, begin, sizes = self._ids(keys, lambda new: [joined[a:b] for a, b in zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)])
+        of_word, begins = sizes[which], begin[which]
         upto = np.r_[0, np.cumsum(of_word)]
         ids = flat[np.repeat(begins - upto[:-1], of_word) + np.arange(upto[-1])].tobytes()
         bounds = (upto[first] * 4).tolist()
@@ -254,7 +287,7 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encoder(b.column(1).to_pylist()), pa.binary())], [id, "ids"])
 
     kind = rows.schema[id].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id}` {kind}, ids binary")
+    return map_arrow(rows, run, f"`{id}` {kind}, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -273,4 +306,4 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", `{out}` string"
-    return encoded.mapInArrow(run, schema)
+    return map_arrow(encoded, run, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import KERNEL_BYTES, flat, prepare_workers, slices
+from .common import KERNEL_BYTES, flat, map_arrow, prepare_workers, slices
 from .ordered import cut_points, input_parts, shard_of
 
 #: A phrase ends at a word whose hash is 0 modulo this (and at the end of its paragraph), a section at a paragraph
@@ -160,7 +160,7 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out}` string"
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def edited_by_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,4 +235,4 @@ def edited_by_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
         if len(group) > 1:
             yield compare(group)
 
-    return dealt.mapInArrow(run, schema)
+    return map_arrow(dealt, run, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, made, vocabulary
-from .common import prepare_workers, shared_dir
+from .common import map_arrow, prepare_workers, shared_dir
 from .ordered import cut_points, input_parts, shard_of
 
 #: Ids of a block, the unit that is compressed on its own (a longer document makes a longer block).
@@ -233,9 +233,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, id: str
         if held:
             yield made_block()
 
-    encoded = rows.mapInArrow(ids_of, "_id long, _shard int, _ids binary")
+    encoded = map_arrow(rows, ids_of, "_id long, _shard int, _ids binary")
     dealt = encoded.repartitionById(parts, "_shard").sortWithinPartitions(F.col("_id").asc_nulls_first(), "_ids").select("_id", "_ids")
-    dealt.mapInArrow(blocks_of, FORMAT).write.parquet(path)
+    map_arrow(dealt, blocks_of, FORMAT).write.parquet(path)
 
 
 _arrow = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("code_base", pa.int64()), ("wide", pa.bool_()), *((x, pa.binary()) for x in ("doc_ids", "no_id", "rules", "lengths", "sequence", "places"))])
@@ -270,7 +270,7 @@ def read_token_files(spark, path: str) -> DataFrame:
                     ids = [flat[upto[i] : upto[i + 1]].tobytes() for i in range(at, to)]
                     yield pa.RecordBatch.from_arrays([pa.array(names[at:to], pa.int64()), pa.array([row["shard"]] * (to - at), pa.int32()), pa.array([row["block"]] * (to - at), pa.int32()), pa.array(upto[at:to]), pa.array(ids, pa.binary())], ["doc_id", "shard", "block", "_at", "ids"])
 
-    return files.mapInArrow(documents, "doc_id long, shard int, block int, _at long, ids binary")
+    return map_arrow(files, documents, "doc_id long, shard int, block int, _at long, ids binary")
 
 
 def token_table(spark, path: str) -> DataFrame:
