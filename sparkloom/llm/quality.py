@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, materialize, maybe_among, prepare_workers, slices
+from .common import keyed_join, map_arrow, materialize, maybe_among, prepare_workers, slices
 
 #: Symbols of the model and length of its n-grams: it has SYMBOLS**ORDER n-grams at most, whatever the corpus.
 SYMBOLS, ORDER = 48, 4
@@ -89,7 +89,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             part = seen[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array((part // n).astype(np.int32)), pa.array(part % n), pa.array(counts[part].astype(np.int64))], ["_fold", "_gram", "_c"])
 
-    return texts.select("_text", "_fold").mapInArrow(run, "_fold int, _gram long, _c long").groupBy("_fold", "_gram").agg(F.sum("_c").alias("_c"))
+    return map_arrow(texts.select("_text", "_fold"), run, "_fold int, _gram long, _c long").groupBy("_fold", "_gram").agg(F.sum("_c").alias("_c"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -164,7 +164,7 @@ def perplexities(docs: DataFrame, model: DataFrame, text: str = "text", out: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _tables:
-            for old in [k for k in _tables if k != "alphabet"][:-FOLDS]:
+            for old in [k for k in _tables if k != "alphabet"]:
                 del _tables[old]
             _tables[key] = dense(*shared.value)
         scores = _tables[key]
@@ -178,14 +178,15 @@ def perplexities(docs: DataFrame, model: DataFrame, text: str = "text", out: str
             yield pa.RecordBatch.from_arrays([*b.columns, *values], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out}` double, `{out}_low` double"
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def trusted_text(docs: DataFrame, trusted: DataFrame, id: str, text: str, lang: str | None = None) -> DataFrame:
     """(_id, _text, _lang, _fold) of the documents whose id is in ``trusted`` (_id).  A filter of fixed size keeps most
-    other texts out of the join's shuffle."""
+    other texts out of the join, which is a broadcast where there are few ids."""
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), _language(lang), F.pmod(F.xxhash64(F.col(id)), F.lit(FOLDS)).cast("int").alias("_fold"))
-    return maybe_among(rows, trusted, ["_id"]).filter("_maybe").drop("_maybe").join(trusted.select("_id").distinct(), "_id", "left_semi").filter("_text IS NOT NULL")
+    ids = materialize(trusted.select("_id").filter("_id IS NOT NULL").distinct(), "ids")
+    return keyed_join(maybe_among(rows, ids, ["_id"]).filter("_maybe").drop("_maybe"), ids, ["_id"], "_id", "left_semi").filter("_text IS NOT NULL")
 
 
 def _model(counts: DataFrame) -> DataFrame:
