@@ -104,7 +104,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: list[str], salt_from: st
 
 
 #: Rows up to which a narrow table (a few numbers a row) is broadcast.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 1_000_000
 
 
 def keyed_join(left: DataFrame, right: DataFrame, key: list[str], salt_from: str, how: str = "inner") -> DataFrame:
