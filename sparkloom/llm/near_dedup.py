@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import flat, keyed_join, materialize, prepare_workers, salted_join, slices
+from .common import SALTS, flat, keyed_join, map_arrow, materialize, prepare_workers, salted_join, slices
 
 #: Bins of the one-permutation sketch, and bins of a band.  32 bands of 5: a pair at the threshold of 0.8 shares no
 #: band with probability (1 - 0.8**5)**32, about 3e-6; a pair at 0.2 shares one with probability 0.01.
 BINS, ROWS = 160, 5
-#: Stars that later rounds draw in a bucket, and rounds running without a new link after which the search ends.
-STARS, IDLE_ROUNDS = 1, 1
+#: Stars that later rounds draw in a bucket.
+STARS = 1
 
 
 def _donors() -> np.ndarray:
@@ -76,21 +76,26 @@ def signatures(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["_id", "_n", "_set", "_bands"])
 
     rows = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, "_id long, _n long, _set binary, _bands array<long>")
+    return map_arrow(rows, run, "_id long, _n long, _set binary, _bands array<long>")
+
+
+def _lists(parts: list[np.ndarray], kind: type) -> pa.Array:
+    ends = np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, kind)))
 
 
 def full_sets(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
-    """(_id, _shingles): the whole shingle set of each text as sorted 64-bit hashes."""
+    """(_id, _size, _shingles, _short): the whole shingle set of each text as sorted 64-bit hashes, its size, and the
+    distinct top 16 bits of the hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
             sets = shingle_sets(b, "_text", size)
-            ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-            values = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["_id", "_shingles"])
+            short = [np.unique((s >> np.uint64(48)).astype(np.uint16)).view(np.int16) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists([s.view(np.int64) for s in sets], np.int64), _lists(short, np.int16)], ["_id", "_size", "_shingles", "_short"])
 
     rows = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, "_id long, _shingles array<long>")
+    return map_arrow(rows, run, "_id long, _size int, _shingles array<long>, _short array<smallint>")
 
 
 def star_edges(places: DataFrame, used: DataFrame | None, share: int, stars: int) -> tuple[DataFrame, DataFrame]:
@@ -111,13 +116,26 @@ def star_edges(places: DataFrame, used: DataFrame | None, share: int, stars: int
     return edges, centres.select("_band", "_centre")
 
 
+def _with_sets(edges: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Edges with the sets of both ends (_sa, _sb).  A centre of many edges is copied to their salts, so that no task
+    holds all of them."""
+    edges = edges.withColumn("_salt", F.pmod(F.xxhash64("_b"), F.lit(SALTS)).cast("int"))
+    centres = edges.select("_a", "_salt").distinct().join(sets.select(F.col("_id").alias("_a"), F.col(column).alias("_sa"), F.col("_size").alias("_na")), "_a")
+    return edges.join(sets.select(F.col("_id").alias("_b"), F.col(column).alias("_sb"), F.col("_size").alias("_nb")), "_b").join(centres, ["_a", "_salt"])
+
+
 def confirmed(edges: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The edges whose full sets share at least ``share`` percent.  A centre of many edges is copied to their salts, so
-    that no task holds all of them."""
-    b = edges.join(sets.select(F.col("_id").alias("_b"), F.col("_shingles").alias("_sb")), "_b")
-    pairs = salted_join(b, sets.select(F.col("_id").alias("_a"), F.col("_shingles").alias("_sa")), ["_a"], "_b")
+    """The edges whose full sets share at least ``share`` percent.
+
+    Sets of 16-bit values, a quarter the size, settle most edges first: two sets have at most as many shingles in
+    common as values, plus what the set with fewer repeats has lost to equal values.  Only edges that pass this bound
+    have their full sets compared, so none is lost.
+    """
     common = F.size(F.array_intersect("_sa", "_sb"))
-    return pairs.withColumn("_common", common).filter(100 * F.col("_common") >= share * (F.size("_sa") + F.size("_sb") - F.col("_common"))).select("_a", "_b")
+    enough = lambda n: 100 * n >= share * (F.col("_na") + F.col("_nb") - n)
+    bound = common + F.least(F.col("_na") - F.size("_sa"), F.col("_nb") - F.size("_sb"))
+    likely = materialize(_with_sets(edges, sets, "_short").filter(enough(bound)).select("_a", "_b"), "likely")
+    return _with_sets(likely, sets, "_shingles").filter(enough(common)).select("_a", "_b")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -155,7 +173,7 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     sketches.  Each round draws stars in the buckets (see ``star_edges``) and confirms them on the full sets.  The first
     centres are the documents that share most bucket places with others; later ones come from a bucket's smallest
     component, so that those left aside meet all the others there, and only pairs of different components are tried.
-    It ends when ``IDLE_ROUNDS`` rounds running link nothing new.
+    It ends with a round that links nothing new.
     Rows that repeat an id belong to the class of each of their texts; a null id is linked with nothing and kept.
     Other columns are ignored; an empty table gives an empty result.
     """
@@ -172,19 +190,15 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     candidates = places.select("_id").distinct()
     links = used = roots = None
     sets = None
-    idle = 0
     while True:
         edges, centres = star_edges(places, used, share, 1 if used is None else STARS)
         edges = materialize(edges, "stars")
         if sets is None:
             sets = materialize(full_sets(docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text")).join(candidates, "_id", "left_semi"), "_id", "_text", words).dropDuplicates(["_id"]), "sets")
         found = materialize(confirmed(edges, sets, share), "links")
-        idle = 0 if found.limit(1).count() else idle + 1
-        if idle == IDLE_ROUNDS or links is None and idle:
+        if not found.count():
             break
         used = materialize(centres if used is None else used.unionByName(centres), "centres")
-        if idle:
-            continue
         links = found if links is None else materialize(links.unionByName(found), "links")
         roots = materialize(components(candidates, links), "roots")
         sizes = materialize(roots.groupBy("_root").agg(F.count("*").alias("_rank")), "sizes")

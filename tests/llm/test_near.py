@@ -69,6 +69,17 @@ def test_components(spark):
     assert {got[x] for e in mixed for x in e} == {least}
 
 
+def test_short_sets_bound_the_true_overlap():
+    """What lets 16-bit sets rule an edge out: the bound is never below the number of shingles in common."""
+    rng = np.random.default_rng(4)
+    for n, shared in ((5, 4), (300, 250), (60_000, 40_000)):
+        every = np.unique(rng.integers(0, 1 << 63, 3 * n, dtype=np.uint64) << np.uint64(1))
+        a, b = every[:n], every[n - shared : 2 * n - shared]
+        x, y = (np.unique(s >> np.uint64(48)) for s in (a, b))
+        bound = len(np.intersect1d(x, y)) + min(len(a) - len(x), len(b) - len(y))
+        assert bound >= shared == len(np.intersect1d(a, b))
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(0)
     every = np.sort(rng.integers(0, 1 << 63, 900, dtype=np.uint64) << np.uint64(1))
