@@ -307,3 +307,20 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", `{out}` string"
     return map_arrow(encoded, run, schema)
+
+
+def round_trip(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(``id``, ids, decoded): ``decode`` of ``encode`` in one pass, so that a task needs one Python worker and the ids
+    don't travel between two."""
+    spark = docs.sparkSession
+    prepare_workers(spark)
+    spec = vocabulary(spark, path)
+    rows = docs.select(id, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = made("bpe", spec, lambda s: Encoder(s, BatchBPE(s))), made("text", spec, Decoder)
+        for b in batches:
+            ids = encoder(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(map(decoder, ids), pa.string())], [id, "ids", "decoded"])
+
+    return map_arrow(rows, run, f"`{id}` {rows.schema[id].dataType.simpleString()}, ids binary, decoded string")

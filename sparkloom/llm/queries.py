@@ -84,8 +84,7 @@ def digests(decoded: DataFrame) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path())
-    return digests(bpe.decode(ids, tokenizer_path()))
+    return digests(bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

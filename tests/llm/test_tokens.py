@@ -71,7 +71,13 @@ def test_encode_and_decode(docs, corpus, library):
         assert r["decoded"] == library.decode(expected, skip_special_tokens=False)
 
 
+def test_round_trip_is_both(docs):
+    key = lambda r: r["doc_id"]
+    assert sorted(bpe.round_trip(docs, PATH).collect(), key=key) == sorted(bpe.decode(bpe.encode(docs, PATH), PATH).collect(), key=key)
+
+
 def test_bpe_edges(odd, empty):
+    assert bpe.round_trip(odd, PATH).count() == odd.count() and bpe.round_trip(empty, PATH).count() == 0
     got = bpe.encode(odd, PATH)
     assert got.count() == odd.count() and got.columns == ["doc_id", "ids"]
     assert bpe.encode(empty, PATH).count() == 0
