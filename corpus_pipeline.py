@@ -40,9 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text that the mix has, and the digest of what they decode to."""
-    path = queries.tokenizer_path()
-    out = bpe.decode(bpe.encode(docs, path), path)
-    return queries.digests(out)
+    return queries.digests(bpe.round_trip(docs, queries.tokenizer_path()))
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("bpe", tokenize)]
