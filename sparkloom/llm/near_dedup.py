@@ -15,8 +15,8 @@ from .common import SALTS, flat, keyed_join, map_arrow, materialize, prepare_wor
 #: Bins of the one-permutation sketch, and bins of a band.  32 bands of 5: a pair at the threshold of 0.8 shares no
 #: band with probability (1 - 0.8**5)**32, about 3e-6; a pair at 0.2 shares one with probability 0.01.
 BINS, ROWS = 160, 5
-#: Stars that later rounds draw in a bucket.
-STARS = 1
+#: After a round that links nothing, buckets draw so many times as many stars.
+MORE_STARS = 4
 
 
 def _donors() -> np.ndarray:
@@ -98,22 +98,32 @@ def full_sets(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
     return map_arrow(rows, run, "_id long, _size int, _shingles array<long>, _short array<smallint>")
 
 
-def star_edges(places: DataFrame, used: DataFrame | None, share: int, stars: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate edges (_a, _b) of one round, and the centres it chose.
+def star_edges(places: DataFrame, tested: DataFrame | None, share: int, stars: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate edges (_a, _b) of one round, and the centres (_band, _id) it chose.
 
-    ``places``: (_band, _id, _n, _root, _rank, _tie).  In each bucket the centre is the document of the least rank that
-    was not its centre before (of ``stars`` parts of the bucket, one each); every other document that isn't yet in the
-    centre's component gets one edge to it.  So a bucket of m documents gives less than ``stars`` * m edges.  Edges
-    whose set sizes alone rule out the threshold go.
+    ``places``: (_band, _id, _n, _root, _rank, _tie, _major).  Centres of a bucket are, of each of ``stars`` parts of it,
+    the document of the least rank outside the bucket's largest component ``_major``; every other document that isn't
+    yet in the centre's component gets one edge to it.  Edges whose set sizes alone rule out the threshold go, and those
+    that an earlier round has ``tested`` in another bucket.
     """
-    free = places if used is None else places.join(used.withColumnRenamed("_centre", "_id"), ["_band", "_id"], "left_anti")
     best = F.min_by(F.struct(F.col("_id").alias("_centre"), F.col("_n").alias("_cn"), F.col("_root").alias("_croot")), F.struct("_rank", "_tie")).alias("_best")
     part = F.pmod(F.xxhash64("_id"), F.lit(stars)).alias("_part")
-    centres = materialize(free.groupBy("_band", part).agg(best).select("_band", "_best.*"), "centres")
-    pairs = salted_join(places, centres, ["_band"], "_id").filter((F.col("_id") != F.col("_centre")) & (F.col("_root") != F.col("_croot")))
-    pairs = pairs.filter(100 * F.least("_n", "_cn") >= share * F.greatest("_n", "_cn"))
-    edges = pairs.select(F.col("_centre").alias("_a"), F.col("_id").alias("_b")).distinct()
-    return edges, centres.select("_band", "_centre")
+    centres = materialize(places.filter("NOT _root <=> _major").groupBy("_band", part).agg(best).select("_band", "_best.*"), "centres")
+    near = lambda n, m: 100 * F.least(n, m) >= share * F.greatest(n, m)
+    dealt = places.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    copies = dealt.select("_band", "_salt").distinct().join(centres, "_band")
+    pairs = dealt.join(copies, ["_band", "_salt"]).filter((F.col("_id") != F.col("_centre")) & (F.col("_root") != F.col("_croot")) & near("_n", "_cn"))
+    low, high = F.least("_centre", "_id").alias("_low"), F.greatest("_centre", "_id").alias("_high")
+    edges = pairs.groupBy(low, high).agg(F.min("_centre").alias("_a"))
+    if tested is not None:
+        edges = edges.join(tested, ["_low", "_high"], "left_anti")
+    return edges.select("_a", (F.col("_low") + F.col("_high") - F.col("_a")).alias("_b")), centres.select("_band", F.col("_centre").alias("_id"))
+
+
+def open_places(places: DataFrame) -> DataFrame:
+    """The places of buckets that hold documents of several components, with the largest one of the bucket (_major)."""
+    groups = places.groupBy("_band", "_root").agg(F.count("*").alias("_m")).groupBy("_band").agg(F.max_by("_root", F.struct("_m", "_root")).alias("_major"), F.count("*").alias("_roots"))
+    return salted_join(places.drop("_major"), groups.filter("_roots > 1").select("_band", "_major"), ["_band"], "_id")
 
 
 def _with_sets(edges: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -173,7 +183,8 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     sketches.  Each round draws stars in the buckets (see ``star_edges``) and confirms them on the full sets.  The first
     centres are the documents that share most bucket places with others; later ones come from a bucket's smallest
     component, so that those left aside meet all the others there, and only pairs of different components are tried.
-    It ends with a round that links nothing new.
+    A centre has met its whole bucket and leaves it; a bucket whose documents are of one component is done.  It ends
+    when all buckets are: each two documents of a bucket have been compared, or are in one component.
     Rows that repeat an id belong to the class of each of their texts; a null id is linked with nothing and kept.
     Other columns are ignored; an empty table gives an empty result.
     """
@@ -188,22 +199,26 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     weights = shared.groupBy("_id").agg(F.sum("_size").alias("_weight"))
     places = materialize(salted_join(shared.drop("_size"), weights, ["_id"], "_band").select("_band", "_id", "_n", F.col("_id").alias("_root"), (-F.col("_weight")).alias("_rank"), F.col("_id").alias("_tie"), "_weight"), "places")
     candidates = places.select("_id").distinct()
-    links = used = roots = None
-    sets = None
-    while True:
-        edges, centres = star_edges(places, used, share, 1 if used is None else STARS)
+    links = tested = roots = sets = None
+    places, stars = places.withColumn("_major", F.lit(None).cast("long")), 1
+    while places.limit(1).count():
+        edges, centres = star_edges(places, tested, share, stars)
         edges = materialize(edges, "stars")
         if sets is None:
             sets = materialize(full_sets(docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text")).join(candidates, "_id", "left_semi"), "_id", "_text", words).dropDuplicates(["_id"]), "sets")
         found = materialize(confirmed(edges, sets, share), "links")
-        if not found.count():
-            break
-        used = materialize(centres if used is None else used.unionByName(centres), "centres")
-        links = found if links is None else materialize(links.unionByName(found), "links")
-        roots = materialize(components(candidates, links), "roots")
-        sizes = materialize(roots.groupBy("_root").agg(F.count("*").alias("_rank")), "sizes")
-        roots = materialize(keyed_join(roots, sizes, ["_root"], "_id"), "roots")
-        places = materialize(keyed_join(places.drop("_root", "_rank", "_tie"), roots, ["_id"], "_band").withColumn("_tie", -F.col("_weight")), "places")
+        pairs = edges.select(F.least("_a", "_b").alias("_low"), F.greatest("_a", "_b").alias("_high"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        places = places.join(centres, ["_band", "_id"], "left_anti")
+        if found.count():
+            links = found if links is None else materialize(links.unionByName(found), "links")
+            roots = materialize(components(candidates, links), "roots")
+            sizes = materialize(roots.groupBy("_root").agg(F.count("*").alias("_rank")), "sizes")
+            roots = materialize(keyed_join(roots, sizes, ["_root"], "_id"), "roots")
+            places = keyed_join(places.drop("_root", "_rank", "_tie"), roots, ["_id"], "_band").withColumn("_tie", -F.col("_weight"))
+        else:
+            stars *= MORE_STARS
+        places = materialize(open_places(materialize(places, "free")), "places")
     if roots is None:
         final = classes.withColumn("_root", F.col("_rep"))
     else:

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 from llm_helpers import prose
+from pyspark.sql import functions as F
 
 from sparkloom.llm import near_dedup as N
 
@@ -55,6 +56,24 @@ def test_hot_group(spark):
     assert sum(got[i] != c for i, c in expected.items()) <= 1
 
 
+def test_crowded_bucket(spark, monkeypatch):
+    """One bucket of documents most of which are near to nobody: its first centres link nothing, the near pairs are
+    compared all the same."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 60)) for i in range(40)]
+    for i in range(4):
+        words = rows[30 + i][1].split(" ")
+        for j in range(3):
+            words[10 * j + i] = f"x{j}"
+            rows.append((100 + 10 * i + j, " ".join(words)))
+    signed = N.signatures
+    monkeypatch.setattr(N, "signatures", lambda *a: signed(*a).withColumn("_bands", F.expr("if(_n > 0, array(0L), null)")))
+    expected = {i: c for i, (_, c) in brute(rows, 4, 80).items()}
+    assert len(set(expected.values())) < len(rows)
+    got = {r["doc_id"]: r["component_id"] for r in N.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    assert got == expected
+
+
 def test_components(spark):
     rng = random.Random(1)
     path = [(i, i + 1) for i in range(60)]
