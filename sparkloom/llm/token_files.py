@@ -23,8 +23,6 @@ from .ordered import cut_points, input_parts, shard_of
 BLOCK_IDS = 1 << 20
 #: A pair becomes a rule if it occurs this often in its block.
 MIN_COUNT = 48
-#: Rounds of replacement; the later ones find little.
-ROUNDS = 8
 
 #: The file format: a Parquet table with a row per block.  code_base: symbols below are ids, symbol code_base + i is
 #: rule i; rules: left and right symbol of each rule; lengths: how many ids each rule stands for; sequence: the
@@ -48,19 +46,17 @@ class Grammar:
         self._lengths: np.ndarray | None = None
 
     @classmethod
-    def compress(cls, ids: np.ndarray, places: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int = ROUNDS) -> Grammar:
+    def compress(cls, ids: np.ndarray, places: np.ndarray, base: int, min_count: int = MIN_COUNT) -> Grammar:
         """``places``: where documents begin in ``ids``, and the end.  A round takes the frequent pairs in the order of
         their counts; a symbol may stand only on the left or only on the right side of a round's pairs, so places
-        don't overlap and all are replaced at once."""
+        don't overlap and all are replaced at once.  It ends when no pair is frequent, or no symbol is left."""
         wide = base > 1 << 16
         limit = (1 << 32 if wide else 1 << 16) - base
         narrow, double, shift = (np.uint32, np.uint64, 32) if wide else (np.uint16, np.uint32, 16)
         sequence, places = ids.astype(narrow), places.astype(np.int64)
         rules: list[np.ndarray] = []
         count = 0
-        for _ in range(rounds):
-            if len(sequence) < 2 or count >= limit:
-                break
+        while len(sequence) > 1 and count < limit:
             keys = sequence[:-1].astype(double) << double(shift) | sequence[1:]
             inside = np.ones(len(keys), dtype=bool)
             inside[places[(places > 0) & (places < len(sequence))] - 1] = False

@@ -136,3 +136,12 @@ def test_file_edges(spark, odd, empty, tmp_path):
     assert [r["doc_id"] for r in got][:2] == [None, None] and [r["start"] for r in got] == np.r_[0, np.cumsum([r["n_tokens"] for r in got])[:-1]].tolist()
     token_files.write_token_files(empty, str(tmp_path / "none"), PATH)
     assert token_files.token_table(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_grammar_ends_with_no_frequent_pair():
+    """Rounds go on until a long passage that many documents share is one symbol."""
+    places = np.arange(61) * 2000
+    ids = np.tile(np.arange(2000), 60)
+    g = token_files.Grammar.compress(ids, places, 49_408)
+    assert g.lengths.max() == 2000 and len(g.sequence) == 60
+    assert (g.document(7) == np.arange(2000)).all()
