@@ -61,7 +61,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes materialized tables that no later plan reads."""
+    for t in tables:
+        delete(t.sparkSession, t.stored_at)
 
 
 _shipped: set[str] = set()
@@ -115,14 +123,16 @@ def keyed_join(left: DataFrame, right: DataFrame, key: list[str], salt_from: str
     return salted_join(left, right, key, salt_from, how)
 
 
-#: Bits of the membership filter: 256 bitmaps of 4 KB, so 1 MB whatever the input.
-FILTER_BITS = 1 << 23
+#: Bits of the membership filter, at least and at most (1 and 32 MB), and bits for each key between the two.
+FILTER_BITS, MOST_BITS, BITS_A_KEY = 1 << 23, 1 << 28, 16
 
 
 def maybe_among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Adds ``_maybe``: false if the row's key is surely not in ``keys``.  One bit of a broadcast filter of fixed size
-    stands for each hash, so a row may be marked without need, never missed."""
-    place = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS)) + 1
+    """Adds ``_maybe``: false if the row's key is surely not in ``keys``.  One bit of a broadcast filter stands for each
+    hash, so a row may be marked without need, never missed.  The filter's size follows the number of keys up to a
+    fixed bound; beyond that it marks more rows."""
+    bits = min(max(FILTER_BITS, 1 << (BITS_A_KEY * keys.count()).bit_length()), MOST_BITS)
+    place = F.pmod(F.xxhash64(*on), F.lit(bits)) + 1
     bitmaps = keys.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
     rows = rows.withColumn("_place", place).withColumn("_bucket", F.bitmap_bucket_number("_place")).withColumn("_bit", F.bitmap_bit_position("_place"))
     byte = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -130,14 +140,28 @@ def maybe_among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(F.broadcast(bitmaps), "_bucket", "left").withColumn("_maybe", F.coalesce(bit != 0, F.lit(False))).drop("_bits", "_place", "_bucket", "_bit")
 
 
-def without(docs: DataFrame, dropped: DataFrame, id: str) -> DataFrame:
-    """``docs`` without the rows whose id is in ``dropped`` (a materialized table of one column, ``id``).  Rows that the
-    membership filter clears stay where they are; only the doubtful ones are shuffled for the exact test."""
-    key = F.col(id).cast("long").alias("_key")
-    gone = dropped.select(key).filter("_key IS NOT NULL").distinct()
-    marked = maybe_among(docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), key), gone, ["_key"])
-    doubtful = marked.filter("_maybe").join(gone, "_key", "left_anti")
-    return marked.filter("NOT _maybe").select("_row.*").unionByName(doubtful.select("_row.*"))
+def row_key(text: str) -> Column:
+    """A 64-bit hash of the text (null as empty): with the id it tells rows apart that repeat an id."""
+    return F.xxhash64(text_or_empty(text))
+
+
+def keep_rows(docs: DataFrame, dropped: DataFrame, single: DataFrame, id: str, text: str) -> DataFrame:
+    """``docs`` without the rows whose id and text are in ``dropped`` (_id, _row; see ``row_key``); of rows that repeat
+    an id and a text in ``single``, one stays.  Rows that the membership filter of the ids clears stay where they are;
+    only the doubtful ones are shuffled for the exact tests."""
+    gone = materialize(dropped.distinct(), "dropped")
+    twice = materialize(single.groupBy("_id", "_row").agg(F.count("*").alias("_n")).filter("_n > 1").select("_id", "_row"), "repeated")
+    whole = F.struct(*(F.col(c) for c in docs.columns)).alias("_whole")
+    rows = docs.select(whole, F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
+    marked = maybe_among(rows, gone.select("_id").unionByName(twice.select("_id")), ["_id"])
+    clear = marked.filter("NOT _maybe").select("_whole.*")
+    doubtful = marked.filter("_maybe").select("_whole", "_id", row_key("_text").alias("_row"))
+    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_row"] == b["_row"])
+    left = doubtful.join(gone, same(doubtful, gone), "left_anti")
+    if not twice.limit(1).count():
+        return clear.unionByName(left.select("_whole.*"))
+    ones = left.join(twice, same(left, twice), "left_semi").groupBy("_id", "_row").agg(F.min_by("_whole", F.xxhash64(F.to_json("_whole"))).alias("_whole"))
+    return clear.unionByName(left.join(twice, same(left, twice), "left_anti").select("_whole.*")).unionByName(ones.select("_whole.*"))
 
 
 def text_or_empty(column: str | Column) -> Column:

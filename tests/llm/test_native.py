@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import maybe_among, salted_join, without
+from sparkloom.llm.common import keep_rows, maybe_among, salted_join
 from sparkloom.llm.exact_dedup import exact_dedup
 from sparkloom.llm.line_dedup import line_dedup
 from sparkloom.llm.mixing import mix_sources, mixed_documents, taken_words
@@ -25,8 +25,18 @@ def test_membership_filter_never_misses(spark):
     marked = maybe_among(rows, keys, ["id"])
     assert marked.filter("id % 7 = 0 AND NOT _maybe").count() == 0
     assert marked.filter("id % 7 != 0 AND _maybe").count() < 30
-    gone = spark.range(0, 3000, 7).withColumnRenamed("id", "doc_id")
-    assert without(rows.withColumnRenamed("id", "doc_id"), gone, "doc_id").count() == 3000 - 429
+
+
+def test_keep_rows(spark):
+    rows = spark.range(3000).select("id", F.concat(F.lit("t"), "id").alias("text"))
+    key = F.xxhash64("text").alias("_row")
+    gone = rows.filter("id % 7 = 0").select(F.col("id").alias("_id"), key)
+    other = gone.select("_id", (F.col("_row") + 1).alias("_row"))
+    assert keep_rows(rows, gone, gone.limit(0), "id", "text").count() == 3000 - 429
+    assert keep_rows(rows, other, gone, "id", "text").count() == 3000
+    twice = rows.unionByName(rows.filter("id < 50"))
+    both = twice.filter("id < 20").select(F.col("id").alias("_id"), key)
+    assert keep_rows(twice, gone.limit(0), both, "id", "text").count() == 3030
 
 
 def test_exact(docs, corpus):

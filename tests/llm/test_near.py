@@ -40,25 +40,34 @@ def test_near(docs, corpus, words):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in N.near_dedup(docs, words=words).collect())
 
 
-def test_hot_group(spark):
-    """One large group of near copies, some of whose members are near only to a few others."""
-    rng = random.Random(3)
+def hot_group(seed):
+    rng = random.Random(seed)
     base = prose(rng, 70).split(" ")
     rows = [(1000, " ".join(base))]
     for i in range(300):
         words = list(base)
-        for _ in range(rng.choice([1, 1, 2, 3, 4])):
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 5])):
             words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
-        rows.append((i, " ".join(words)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+        rows.append((i, " ".join(words[: rng.choice([70, 70, 60, 50])])))
+    return rows
+
+
+@pytest.mark.parametrize("seed, docs", [(3, 1024), (3, 40), (4, 16), (5, 7)])
+def test_hot_group(spark, monkeypatch, seed, docs):
+    """One large group of near copies, some of whose members are near only to a few others; in one unit, and dealt over
+    many."""
+    monkeypatch.setattr(N, "UNIT_DOCS", docs)
+    monkeypatch.setattr(N, "UNITS_A_ROW", 2)
+    rows = hot_group(seed)
     expected = {i: c for i, (_, c) in brute(rows, 4, 80).items()}
-    got = {r["doc_id"]: r["component_id"] for r in N.near_dedup(df, words=4).collect()}
-    assert sum(got[i] != c for i, c in expected.items()) <= 1
+    got = {r["doc_id"]: r["component_id"] for r in N.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    assert got == expected
 
 
-def test_crowded_bucket(spark, monkeypatch):
-    """One bucket of documents most of which are near to nobody: its first centres link nothing, the near pairs are
-    compared all the same."""
+@pytest.mark.parametrize("docs", [1024, 5])
+def test_crowded_bucket(spark, monkeypatch, docs):
+    """One bucket of documents most of which are near to nobody: the near pairs are compared all the same."""
+    monkeypatch.setattr(N, "UNIT_DOCS", docs)
     rng = random.Random(8)
     rows = [(i, prose(rng, 60)) for i in range(40)]
     for i in range(4):
@@ -74,6 +83,27 @@ def test_crowded_bucket(spark, monkeypatch):
     assert got == expected
 
 
+def test_repeated_ids(spark):
+    """Rows that share an id are documents of their own."""
+    rng = random.Random(2)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(1, a), (1, b), (3, b + " tail"), (4, a + " end"), (2, "alone here"), (2, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in N.near_dedup(df).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 2, True), (2, 2, True), (3, 1, False), (4, 1, False)]
+    assert sorted((r["doc_id"], r["text"]) for r in N.unique_documents(df).collect()) == sorted([(1, a), (1, b), (2, "alone here")])
+
+
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(N, "COLUMNS", 3)
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(12)]
+    assert N.overlaps(sets).tolist() == [[float(len(np.intersect1d(x, y))) for y in sets] for x in sets]
+    assert N.overlaps([np.array([i], dtype=np.uint64) for i in range(3)]).tolist() == np.eye(3).tolist()
+    a = np.arange(5, dtype=np.uint64)
+    assert N.stars([a, a[:4]], 80).tolist() == [0, 0] and N.stars([a, a[:3]], 80).tolist() == [0, 1]
+
+
 def test_components(spark):
     rng = random.Random(1)
     path = [(i, i + 1) for i in range(60)]
@@ -88,17 +118,6 @@ def test_components(spark):
     assert {got[x] for e in mixed for x in e} == {least}
 
 
-def test_short_sets_bound_the_true_overlap():
-    """What lets 16-bit sets rule an edge out: the bound is never below the number of shingles in common."""
-    rng = np.random.default_rng(4)
-    for n, shared in ((5, 4), (300, 250), (60_000, 40_000)):
-        every = np.unique(rng.integers(0, 1 << 63, 3 * n, dtype=np.uint64) << np.uint64(1))
-        a, b = every[:n], every[n - shared : 2 * n - shared]
-        x, y = (np.unique(s >> np.uint64(48)) for s in (a, b))
-        bound = len(np.intersect1d(x, y)) + min(len(a) - len(x), len(b) - len(y))
-        assert bound >= shared == len(np.intersect1d(a, b))
-
-
 def test_sketch_estimates():
     rng = np.random.default_rng(0)
     every = np.sort(rng.integers(0, 1 << 63, 900, dtype=np.uint64) << np.uint64(1))

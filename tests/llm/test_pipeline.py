@@ -44,6 +44,18 @@ def test_stages(spark, corpus, tmp_path):
     assert again == sorted(map(tuple, seen[4]))
 
 
+def test_dedup_stages_remove_rows_not_ids(spark, empty):
+    """Rows that share an id are told apart by their text; rows that are the same in all are one."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, "A a"), (9, "A a"), (5, "B only here"), (7, "C"), (7, "C"), (None, "A a"), (None, "D"), (None, None), (3, ""), (11, long), (11, long + " tail"), (12, long + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    left = C.exact(spark, docs, "")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == sorted([("9", "A a"), ("5", "B only here"), ("7", "C"), ("None", "D"), ("3", ""), ("11", long), ("11", long + " tail"), ("12", long + " end")])
+    got = [(r["doc_id"], r["text"]) for r in C.near(spark, left, "").collect()]
+    assert sum(i in (11, 12) for i, _ in got) == 1 and len(got) == 6
+    assert [i for i, t in got if t.startswith("w0")] == [11]
+
+
 def test_stages_take_odd_rows(spark, odd, empty, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for _, stage in C.STAGES[:-1]:
