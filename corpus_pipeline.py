@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import bpe, queries
-from sparkloom.llm.common import materialize, without
-from sparkloom.llm.exact_dedup import exact_dedup
+from sparkloom.llm.common import materialize
+from sparkloom.llm.exact_dedup import unique_texts
 from sparkloom.llm.mixing import mixed_documents
-from sparkloom.llm.near_dedup import near_dedup
+from sparkloom.llm.near_dedup import unique_documents
 from sparkloom.llm.quality import keep_good
 
 
@@ -22,15 +22,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the largest doc_id stays."""
-    dropped = exact_dedup(docs).filter("NOT kept").select("doc_id")
-    return without(docs, materialize(dropped, "dropped"), "doc_id")
+    """Of equal texts one row stays, that of the largest doc_id; null counts as the empty text."""
+    return unique_texts(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (five-word shingles, similarity 0.8), the smallest doc_id of each group stays."""
-    dropped = near_dedup(docs).filter("NOT kept").select("doc_id")
-    return without(docs, materialize(dropped, "dropped"), "doc_id")
+    """Of near-duplicates (five-word shingles, similarity 0.8) one row stays, that of the smallest doc_id; rows without
+    words or without an id stay all."""
+    return unique_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
