@@ -17,13 +17,14 @@ from . import kernels
 from .common import KERNEL_BYTES, map_arrow, prepare_workers
 
 #: Words whose ids a worker keeps; beyond, it starts anew, so memory is bounded whatever the vocabulary of the texts.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 #: Words that are kept aside before they are merged into the cache.
 RECENT_WORDS = 50_000
 _SHIFT = 32
 _NONE = np.int64(1 << 40)
 
 
+# The ranges of bytes that stand for themselves.
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary: visible Latin-1 characters stand
     for themselves, the others get the code points from 256 on."""
@@ -32,19 +33,21 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-#: The pattern whose words ``Splitter`` finds; contractions, runs of letters, single numbers, runs of other characters.
+# The pattern of the vocabulary file, whose words ``Splitter`` finds - contractions, runs of letters,
+# single numbers, runs of other characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
 
 def _classes() -> np.ndarray:
-    import regex
+    """The class of each code point, as the tokenizers library's own patterns tell it."""
+    from tokenizers import Regex, pre_tokenizers
 
     every = "".join(map(chr, range(0xD800))) + " " * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
     out = np.full(0x110000, _OTHER, dtype=np.uint8)
-    for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
-        for m in regex.finditer(pattern, every):
-            out[m.start() : m.end()] = kind
+    for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"[\p{L}]+"), (_NUMBER, r"[\p{N}]+")):
+        for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+            out[a:b] = kind
     return out
 
 
@@ -53,6 +56,8 @@ class Splitter:
     by character, and the words of ``PATTERN``, all found at once over flat code points."""
 
     def __init__(self, spec: dict) -> None:
+        from tokenizers import Tokenizer
+
         steps, cut = spec["normalizer"]["normalizers"], spec["pre_tokenizer"]["pretokenizers"]
         if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or cut[0]["pattern"] != {"Regex": PATTERN}:
             raise ValueError("the vocabulary file asks for steps that are not supported")
@@ -60,12 +65,42 @@ class Splitter:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         self.kind = _classes()
         self.symbol = kernels.mix(np.arange(0x110000, dtype=np.uint64) + np.uint64(1))
+        self.library = Tokenizer.from_str(json.dumps(spec)).normalizer.normalize_str
+        self.agreed = self._agreed()
+
+    def _agreed(self) -> np.ndarray:
+        """Code points that Python's tables and the library's normalize alike: alone, decomposed and, if they are
+        marks, among other marks.  Texts with any other go through the library."""
+        known = np.zeros(0x110000, dtype=bool)
+        probes: list[tuple[int, str]] = []
+        for c in range(1, 0x110000):
+            x = chr(c)
+            kind = unicodedata.category(x)
+            if kind not in ("Cn", "Cs"):
+                known[c] = True
+                probes.append((c, x))
+                if unicodedata.decomposition(x) or 0xAC00 <= c <= 0xD7A3:
+                    probes.append((c, unicodedata.normalize("NFD", x)))
+                if kind[0] == "M":
+                    probes.append((c, f"a\u0301{x}\u0316b{x}\u0345\u0334"))
+        theirs = self.library("\0".join(x for _, x in probes)).split("\0")
+        spaces = str.maketrans({chr(c): " " for c in np.flatnonzero(self.kind == _SPACE).tolist()})
+        ours = self.normalize("\0".join(x for _, x in probes)).translate(spaces).split("\0")
+        for (c, _), x, y in zip(probes, theirs, ours, strict=True):
+            known[c] &= x == y
+        return known
 
     @staticmethod
     def normalize(text: str) -> str:
         # the capital sigma has one lower-case form when characters are taken one by one
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def normalized(self, texts: list[str]) -> list[str]:
+        points = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        if self.agreed[points("".join(texts))].all():
+            return [self.normalize(t) for t in texts]
+        return [self.normalize(t) if self.agreed[points(t)].all() else self.library(t) for t in texts]
+
     def words(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All texts in one string, its code points, the starts and ends of its words, and the number of words before
         each text."""
@@ -99,7 +134,7 @@ class Splitter:
         return joined, points, starts, ends, np.searchsorted(starts, offsets)
 
     def hashes(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return kernels.range_hash(kernels.prefix_hash(self.symbol[points]), starts, ends)
+        return kernels.range_hashes(self.symbol, points, starts, ends)
 
 
 class BatchBPE:
@@ -158,35 +193,47 @@ class BatchBPE:
         return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of ranges, end to end."""
+    upto = np.cumsum(sizes)
+    return np.repeat(starts - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)
+
+
 class Encoder:
-    """Texts to ids.  Words are told apart by 64-bit hashes; those that are new are encoded together by
-    ``encode_words``, the others come from a bounded cache, and ids are gathered for all texts at once."""
+    """Texts to ids.  Words are found by 64-bit hashes and then compared in full; those that are new are encoded
+    together by ``encode_words``, the others come from a bounded cache, and ids are gathered for all texts at once."""
 
     def __init__(self, spec: dict, encode_words: Callable[[list[str]], list[bytes]]) -> None:
         self.split, self.encode_words = Splitter(spec), encode_words
-        self.recent: dict[int, bytes] = {}
+        self.recent: dict[int, tuple[bytes, str]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        """The cache is three flat arrays: sorted word hashes, where their ids begin and end, and the ids."""
-        self.keys, self.bounds, self.flat = np.zeros(0, np.uint64), np.zeros((0, 2), np.int32), np.zeros(0, np.uint32)
+        """The cache is flat arrays: sorted word hashes, where their ids and their characters begin and end, the ids
+        and the characters."""
+        self.keys, self.bounds = np.zeros(0, np.uint64), np.zeros((0, 4), np.int32)
+        self.flat, self.points = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
 
     def _settle(self) -> None:
         """Merges the words learned lately into the arrays."""
         if len(self.keys) + len(self.recent) > CACHED_WORDS:
             self._forget()
-        keys = np.fromiter(self.recent, dtype=np.uint64, count=len(self.recent))
-        sizes = np.fromiter(map(len, self.recent.values()), dtype=np.int64, count=len(keys)) // 4
-        ends = len(self.flat) + np.cumsum(sizes)
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(self.recent.values()), dtype="<u4")])
-        self.keys, bounds = np.concatenate([self.keys, keys]), np.concatenate([self.bounds, np.stack([ends - sizes, ends], axis=1).astype(np.int32)])
+        keys, bounds = [self.keys, np.fromiter(self.recent, dtype=np.uint64, count=len(self.recent))], []
+        for had, new in ((self.flat, [x for x, _ in self.recent.values()]), (self.points, [w.encode("utf-32-le", "surrogatepass") for _, w in self.recent.values()])):
+            sizes = np.fromiter(map(len, new), dtype=np.int64, count=len(new)) // 4
+            ends = len(had) + np.cumsum(sizes)
+            bounds += [ends - sizes, ends]
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(x for x, _ in self.recent.values()), dtype="<u4")])
+        self.points = np.concatenate([self.points, np.frombuffer("".join(w for _, w in self.recent.values()).encode("utf-32-le", "surrogatepass"), dtype="<u4")])
+        self.keys, merged = np.concatenate(keys), np.concatenate([self.bounds, np.stack(bounds, axis=1).astype(np.int32)])
         order = np.argsort(self.keys)
-        self.keys, self.bounds = self.keys[order], bounds[order]
+        self.keys, self.bounds = self.keys[order], merged[order]
         self.recent.clear()
 
-    def _ids(self, keys: np.ndarray, words: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _ids(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, words: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids of the distinct words with the hashes ``keys``: an array that holds them, where each word's begin and
-        how many they are.  ``words`` gives the words at some places of ``keys``."""
+        how many they are.  ``words`` gives the words at some places of ``keys``.  None if a hash stands for another
+        word in the cache."""
         begin, sizes = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
         known = np.zeros(len(keys), dtype=bool)
         if len(self.keys):
@@ -194,31 +241,48 @@ class Encoder:
             known = self.keys[at] == keys
             bounds = self.bounds[at[known]].astype(np.int64)
             begin[known], sizes[known] = bounds[:, 0], bounds[:, 1] - bounds[:, 0]
+            of = lengths[known]
+            if (bounds[:, 3] - bounds[:, 2] != of).any() or (self.points[spans(bounds[:, 2], of)] != points[spans(starts[known], of)]).any():
+                return None
         rest = np.flatnonzero(~known)
-        names = keys[rest].tolist()
-        new = np.array([i for i, x in zip(rest.tolist(), names, strict=True) if x not in self.recent], dtype=np.int64)
-        if len(new):
-            self.recent.update(zip(keys[new].tolist(), self.encode_words(words(new)), strict=True))
+        names, spelled = keys[rest].tolist(), words(rest)
+        new = [(x, w) for x, w in zip(names, spelled, strict=True) if x not in self.recent]
+        if new:
+            coded = self.encode_words([w for _, w in new])
+            self.recent.update((x, (ids, w)) for (x, w), ids in zip(new, coded, strict=True))
         found = [self.recent[x] for x in names]
-        sizes[rest] = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        if any(w != own for (_, w), own in zip(found, spelled, strict=True)):
+            return None
+        sizes[rest] = np.fromiter((len(x) for x, _ in found), dtype=np.int64, count=len(found)) // 4
         begin[rest] = len(self.flat) + np.cumsum(sizes[rest]) - sizes[rest]
-        out = np.concatenate([self.flat, np.frombuffer(b"".join(found), dtype="<u4")]) if found else self.flat
+        out = np.concatenate([self.flat, np.frombuffer(b"".join(x for x, _ in found), dtype="<u4")]) if found else self.flat
         if len(self.recent) > RECENT_WORDS:
             self._settle()
         return out, begin, sizes
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        joined, points, starts, ends, first = self.split.words([self.split.normalize(t) for t in texts])
+        joined, points, starts, ends, first = self.split.words(self.split.normalized(texts))
         if not len(starts):
             return [b""] * len(texts)
         keys, which = np.unique(self.split.hashes(points, starts, ends), return_inverse=True)
         example = np.empty(len(keys), dtype=np.int64)
         example[which] = np.arange(len(which))
-        flat, begin, sizes = self._ids(keys, lambda new: [joined[a:b] for a, b in zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)])
-        of_word, begins = sizes[which], begin[which]
-        upto = np.r_[0, np.cumsum(of_word)]
-        ids = flat[np.repeat(begins - upto[:-1], of_word) + np.arange(upto[-1])].tobytes()
-        bounds = (upto[first] * 4).tolist()
+        lengths, same = ends - starts, example[which]
+        spell = lambda at: [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        known = None
+        if (lengths == lengths[same]).all() and (points[spans(starts, lengths)] == points[spans(starts[same], lengths)]).all():
+            known = self._ids(keys, points, starts[example], lengths[example], lambda new: spell(example[new]))
+        if known is None:  # two words share a hash: the words themselves tell
+            listed = spell(np.arange(len(starts)))
+            place = {w: i for i, w in enumerate(dict.fromkeys(listed))}
+            which = np.fromiter(map(place.__getitem__, listed), dtype=np.int64, count=len(listed))
+            coded = self.encode_words(list(place))
+            sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
+            known = np.frombuffer(b"".join(coded), dtype="<u4"), np.cumsum(sizes) - sizes, sizes
+        flat, begin, sizes = known
+        of_word = sizes[which]
+        ids = flat[spans(begin[which], of_word)].tobytes()
+        bounds = (np.r_[0, np.cumsum(of_word)][first] * 4).tolist()
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:

@@ -32,6 +32,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+#: Positions that one table of sums covers; a longer text is hashed in several steps.
+SEGMENT = 1 << 20
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n at least."""
     have = max(_powers, default=0)
@@ -42,24 +46,36 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
             t = np.full(size, b, dtype=np.uint64)
             t[0] = 1
             tables.append(np.multiply.accumulate(t))
-        if size <= 1 << 22:
-            _powers.clear()
-            _powers[size] = (tables[0], tables[1])
-        return tables[0], tables[1]
+        _powers.clear()
+        _powers[size] = (tables[0], tables[1])
+        return _powers[size]
     return _powers[have]
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Sums from which ``range_hash`` takes the hash of any range; a random 64-bit number stands for each symbol."""
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * _power(len(values) + 1)[0][: len(values)], out=out[1:])
-    return out
+def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of a few values, from sums of values times powers; a random 64-bit number stands for each."""
+    power, inverse = _power(len(values) + 1)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * power[: len(values)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _M2)
 
 
-def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the ranges; equal bytes have equal hashes wherever they stand."""
-    inverse = _power(len(sums))[1]
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _M2)
+def range_hashes(table: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of ``data`` that come one after the other; equal ranges have equal hashes wherever they
+    stand.  ``table`` has a random number for each symbol.  Memory is bounded by ``SEGMENT``, not by the text."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        at = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, at + SEGMENT, side="right")))
+        if int(ends[i]) - at > SEGMENT:  # one range, longer than a segment: a hash of the hashes of its parts
+            for a in range(at, int(ends[i]), SEGMENT):
+                part = table[data[a : min(a + SEGMENT, int(ends[i]))]]
+                out[i] = mix(out[i : i + 1] * _BASE + _hashes(part, np.array([0]), np.array([len(part)])))[0]
+        else:
+            out[i:j] = _hashes(table[data[at : int(ends[j - 1])]], starts[i:j] - at, ends[i:j] - at)
+        i = j
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +96,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, space
     """A hash for each word (A-Z lower-cased first, if asked), and for each text the number of words before it."""
     data = LOWER[data] if lower else data
     starts, ends, first = words(data, offsets, space)
-    return range_hash(prefix_hash(BYTE[data]), starts, ends), first
+    return range_hashes(BYTE, data, starts, ends), first
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -53,6 +53,41 @@ def test_encoder_on_any_text(texts):
     assert [ids_of(x) for x in encoder(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_every_code_point(own, library):
+    """Between letters, before a mark and after a number: every code point cuts and counts as in the library."""
+    for at in range(0, 0x110000, 0x8000):
+        texts = ["".join(f"a{chr(c)}b{chr(c)} {chr(c)}\u0301\u0316 1{chr(c)}' " for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) for a in range(at, at + 0x8000, 64)]
+        texts = [t for t in texts if t]
+        expected = library.encode_batch_fast(texts, add_special_tokens=False)
+        for t, x, e in zip(texts, own[0](texts), expected, strict=True):
+            assert ids_of(x) == e.ids, t
+
+
+def test_words_that_share_a_hash(library, monkeypatch):
+    spec = json.load(open(PATH))
+    encoder = bpe.Encoder(spec, bpe.BatchBPE(spec))
+    real = encoder.split.hashes
+    monkeypatch.setattr(bpe, "RECENT_WORDS", 4)
+    monkeypatch.setattr(encoder.split, "hashes", lambda *a: real(*a) % np.uint64(5))
+    texts = ["one", "two", "one three", "alpha beta gamma delta", "delta two one", "x y z", "alpha"] * 2
+    for t in texts:
+        assert ids_of(encoder([t])[0]) == library.encode(t, add_special_tokens=False).ids
+
+
+def test_long_texts_hash_alike(monkeypatch):
+    from sparkloom.llm import kernels
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, 5000).astype(np.uint8)
+    starts = np.sort(rng.choice(5000, 300, replace=False))
+    ends = np.r_[starts[1:], 5000]
+    whole = kernels.range_hashes(kernels.BYTE, data, starts, ends)
+    monkeypatch.setattr(kernels, "SEGMENT", 64)
+    short = ends - starts <= 64
+    parts = kernels.range_hashes(kernels.BYTE, data, starts, ends)
+    assert (parts[short] == whole[short]).all() and len(np.unique(parts)) == len(np.unique(whole))
+
+
 def test_bounded_cache(own, library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHED_WORDS", 3)
     spec = json.load(open(PATH))
