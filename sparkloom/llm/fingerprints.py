@@ -20,13 +20,14 @@ from .ordered import cut_points, input_parts, shard_of
 #: whose hash is 0 modulo that: bounds depend on the content nearby, so an edit moves only those around it.
 PHRASE_WORDS, SECTION_PARAGRAPHS = 8, 4
 #: Hex digits of a node below the root.
-NODE = 8
+NODE = 16
 #: Stands for a null id, which comes before all others.
 NO_ID = -(1 << 63)
 
 
 class Tree:
-    """sections > paragraphs > phrases, each node the hash of its children; a phrase is hashed from its bytes."""
+    """sections > paragraphs > phrases, each node the hash of its children's hashes, so that every node, the root too,
+    can be made again from those below it; a phrase is hashed from its bytes."""
 
     __slots__ = ("root", "sections")
 
@@ -100,6 +101,22 @@ def edits(a: Tree, b: Tree) -> tuple[list[int], list[int]]:
     return out[0], out[1]
 
 
+def _phrase(raw: bytes) -> str:
+    return xxhash.xxh3_64_hexdigest(raw)
+
+
+def _paragraph(phrases: list[str]) -> str:
+    return xxhash.xxh3_64_hexdigest("paragraph " + "".join(phrases))
+
+
+def _section(paragraphs: list[tuple[str, list[str]]]) -> str:
+    return xxhash.xxh3_64_hexdigest("section " + "".join(p for p, _ in paragraphs))
+
+
+def root_of(sections: list[tuple[str, list]]) -> str:
+    return xxhash.xxh3_128_hexdigest("root " + "".join(s for s, _ in sections))
+
+
 def trees(texts: list[bytes]) -> list[Tree]:
     """The trees of UTF-8 texts.  Every byte belongs to one phrase: white space to the phrase before it, so texts that
     differ in white space alone differ in their roots.  Paragraphs end at line ends."""
@@ -107,7 +124,7 @@ def trees(texts: list[bytes]) -> list[Tree]:
         return []
     data, offsets = flat(pa.array(texts, pa.large_binary()).view(pa.large_string()))
     starts, ends, first = kernels.words(data, offsets)
-    hashes = kernels.range_hash(kernels.prefix_hash(kernels.BYTE[data]), starts, ends)
+    hashes = kernels.range_hashes(kernels.BYTE, data, starts, ends)
     newline = np.r_[0, np.cumsum(data == 10)]
     following = np.r_[starts[1:], len(data)]
     last = np.zeros(len(starts), dtype=bool)
@@ -117,7 +134,6 @@ def trees(texts: list[bytes]) -> list[Tree]:
     closes = paragraph_end[phrase_end].tolist()
     stops = following[phrase_end].tolist()
     upto = np.searchsorted(phrase_end, first).tolist()
-    name, long_name = xxhash.xxh3_64_hexdigest, xxhash.xxh3_128_hexdigest
     out = []
     raw = data.tobytes()
     for i, (begin, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
@@ -127,23 +143,22 @@ def trees(texts: list[bytes]) -> list[Tree]:
         at = begin
         for j in range(upto[i], upto[i + 1]):
             stop = min(stops[j], end) if j + 1 < upto[i + 1] else end
-            phrases.append(name(raw[at:stop])[:NODE])
+            phrases.append(_phrase(raw[at:stop]))
             at = stop
             if closes[j]:
-                p = name("".join(phrases))[:NODE]
+                p = _paragraph(phrases)
                 paragraphs.append((p, phrases))
                 phrases = []
                 if int(p, 16) % SECTION_PARAGRAPHS == 0:
-                    sections.append((name("".join(x for x, _ in paragraphs))[:NODE], paragraphs))
+                    sections.append((_section(paragraphs), paragraphs))
                     paragraphs = []
         if at < end:  # a text of white space alone is one phrase
-            phrases.append(name(raw[at:end])[:NODE])
+            phrases.append(_phrase(raw[at:end]))
         if phrases:
-            paragraphs.append((name("".join(phrases))[:NODE], phrases))
+            paragraphs.append((_paragraph(phrases), phrases))
         if paragraphs:
-            sections.append((name("".join(x for x, _ in paragraphs))[:NODE], paragraphs))
-        # nodes are short, so the root takes the text itself into account too
-        out.append(Tree(long_name("".join(s for s, _ in sections).encode() + raw[begin:end]), sections))
+            sections.append((_section(paragraphs), paragraphs))
+        out.append(Tree(root_of(sections), sections))
     return out
 
 

@@ -44,7 +44,9 @@ def test_roots_tell_texts_apart(a, b):
     x, y = P.trees([a.encode(), b.encode()])
     assert (x.root == y.root) == (a == b)
     assert str(x) == str(tree(a))
-    assert P.Tree.parse(str(x)).size() == x.size()
+    read = P.Tree.parse(str(x))
+    assert read.size() == x.size() and P.root_of(read.sections) == x.root
+    assert all(s == P._section(p) and all(n == P._paragraph(h) for n, h in p) for s, p in read.sections)
     assert 0 <= P.likeness(x, y) <= 1 and P.likeness(x, x) == 1.0
     assert P.likeness(x, y) == P.likeness(y, x)
 
