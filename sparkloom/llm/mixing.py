@@ -109,19 +109,26 @@ def mix_sources(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
 
 
 def taken_words(positions: DataFrame, pieces: DataFrame) -> DataFrame:
-    """positions with ``taken``: the words of each document in the mix, repeats counted."""
-    sums = pieces.groupBy(_KEY, "_start").agg(F.sum("n_words").alias("_taken"))
+    """positions with ``taken``, the words of each document in the mix, repeats counted, and ``first_slot``, the slot
+    that brings the first of them (null: none)."""
+    sums = pieces.groupBy(_KEY, "_start").agg(F.sum("n_words").alias("_taken"), F.min("slot").alias("_slot"))
     out = positions.join(sums, [_KEY, "_start"], "left")
-    return out.withColumn("taken", F.when(F.col("size") > 0, F.coalesce("_taken", F.lit(0))).otherwise(0).cast("long")).drop("_taken")
+    some = F.col("size") > 0
+    return out.withColumn("taken", F.when(some, F.coalesce("_taken", F.lit(0))).otherwise(0).cast("long")).withColumn("first_slot", F.when(some, F.col("_slot"))).drop("_taken", "_slot")
 
 
 def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """``docs`` as the mix has them: a document is there as often as the mix takes its words, to the nearest whole
-    number (only the last document that a source brings can be cut, so sources stay near their targets).  A document
-    without words stays once.  Rows that repeat an id share what the mix takes of them."""
-    taken = taken_words(*mix_sources(docs, id, text, source, **options))
+    """``docs`` as the mix has them, in the order of its slots: a document is there as often as the mix takes its words,
+    to the nearest whole number (only the last document that a source brings can be cut, so sources stay near their
+    targets), each time at the slot of that epoch.  A document without words stays once, before all others.  Rows that
+    repeat an id share what the mix takes of them."""
+    positions, pieces = mix_sources(docs, id, text, source, **options)
+    slots = pieces.groupBy(_KEY, "_start", "epoch").agg(F.sum("n_words").alias("_n"), F.min("slot").alias("_slot"))
+    slots = slots.groupBy(_KEY, "_start").agg(F.sum("_n").alias("taken"), F.array_sort(F.collect_list(F.struct("epoch", "_slot"))).alias("_slots"))  # an epoch each
+    rows = positions.join(slots, [_KEY, "_start"], "left").withColumn("_slots", F.when(F.col("size") > 0, F.col("_slots"))).withColumn("taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))))
     times = F.when(F.sum("size") > 0, F.round(F.sum("taken") / F.sum("size"))).otherwise(1).cast("int")
-    copies = materialize(taken.filter("_id IS NOT NULL").groupBy("_id").agg(times.alias("_times")).filter("_times != 1"), "copies")
-    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(id).alias("_id"))
-    joined = keyed_join(rows, copies, ["_id"], "_id", "left").withColumn("_times", F.coalesce("_times", F.lit(1)))
-    return joined.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select("_row.*")
+    copies = rows.filter("_id IS NOT NULL").groupBy("_id").agg(times.alias("_times"), F.max("_slots").alias("_slots"))
+    copies = materialize(copies.select("_id", F.when(F.col("_slots").isNull(), F.array_repeat(F.lit(None).cast("long"), F.col("_times"))).otherwise(F.slice(F.col("_slots._slot"), F.lit(1), F.col("_times"))).alias("_slots")), "copies")
+    whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(id).alias("_id"))
+    joined = keyed_join(whole, copies, ["_id"], "_id", "left").withColumn("_slots", F.coalesce("_slots", F.array(F.lit(None).cast("long"))))
+    return joined.select("_row", F.explode("_slots").alias("_slot")).orderBy("_slot").select("_row.*")

@@ -69,7 +69,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = taken_words(*mix_sources(_table(spark, sf_dir, "documents")))
-    return out.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return out.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +118,22 @@ SQL: dict[str, str] = {
         f AS (SELECT *, lim / w <= (total - pl) / (ws - pw) AS full_ FROM o),
         t AS (SELECT *, CASE WHEN full_ THEN lim ELSE least(lim, (total - sum(CASE WHEN full_ THEN lim ELSE 0 END) OVER ()) * w
             / nullif(sum(CASE WHEN full_ THEN 0 ELSE w END) OVER (), 0)) END AS target FROM f),
-        r AS (SELECT p.doc_id, p.size, p.start, t.source_size, t.target, round(t.target)::BIGINT AS words FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
+        r AS (SELECT p.doc_id, p.size, p.source, p.start, t.source_size, t.target, round(t.target)::BIGINT AS words FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source),
+        q AS (SELECT *, (words // source_size) * blocks + ceil((words % source_size) / 4096.0)::BIGINT AS need FROM
+            (SELECT source, source_size, round(target)::BIGINT AS words, ceil(source_size / 4096.0)::BIGINT AS blocks FROM t WHERE source_size > 0)),
+        h AS (SELECT *, sum(need) OVER (ORDER BY source IS NOT NULL, source) AS hi FROM q),
+        n AS (SELECT max(hi)::BIGINT AS n, greatest(1, ceil(log2(max(hi))))::BIGINT AS bits FROM h),
+        v AS (SELECT slot, (list_sum(list_transform(range(bits), lambda k: ((slot >> k) & 1) << (bits - 1 - k)))::DOUBLE / (1::BIGINT << bits) * n)::DOUBLE AS point FROM n, (SELECT unnest(range(n)) AS slot FROM n)),
+        k AS (SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM v JOIN h ON floor(point) >= hi - need AND floor(point) < hi),
+        m AS (SELECT h.source, unnest(range(coalesce(c, 0), need::BIGINT)) AS rank FROM h LEFT JOIN (SELECT source, count(*) AS c FROM k GROUP BY source) g ON h.source IS NOT DISTINCT FROM g.source),
+        x AS (SELECT slot, source, rank FROM k UNION ALL SELECT n + rank, source, rank FROM m, n),
+        y AS (SELECT x.slot, x.source, rank % blocks AS block, least((rank % blocks + 1) * 4096, source_size, words - rank // blocks * source_size) AS upto
+            FROM x JOIN h ON x.source IS NOT DISTINCT FROM h.source WHERE rank < need),
+        z AS (SELECT r.doc_id, min(slot) AS first_slot FROM r JOIN y ON r.source IS NOT DISTINCT FROM y.source AND size > 0
+            AND block >= start // 4096 AND block <= (start + size - 1) // 4096 AND greatest(start, block * 4096) < least(start + size, upto) GROUP BY r.doc_id)
         SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
-            CASE WHEN size = 0 THEN 0 ELSE CAST((words // source_size) * size + greatest(0, least(start + size, words % source_size) - start) AS BIGINT) END AS taken FROM r""",
+            CASE WHEN size = 0 THEN 0 ELSE CAST((words // source_size) * size + greatest(0, least(start + size, words % source_size) - start) AS BIGINT) END AS taken,
+            CAST(first_slot AS BIGINT) AS first_slot FROM r LEFT JOIN z USING (doc_id)""",
     "op9_line_dedup": """
         WITH d AS (SELECT doc_id, source, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
         e AS (SELECT DISTINCT doc_id, source, trim(x, ' ') AS line FROM (SELECT doc_id, source, unnest(lines) AS x FROM d) WHERE trim(x, ' ') <> ''),
