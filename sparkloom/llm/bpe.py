@@ -55,7 +55,8 @@ class Splitter:
     """The steps before BPE that the vocabulary file names: special tokens, NFC, one blank for white space, lower case
     by character, and the words of ``PATTERN``, all found at once over flat code points."""
 
-    def __init__(self, spec: dict) -> None:
+    def __init__(self, spec: dict, tables: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """``tables``: class and agreement of each code point, if they are known already (they take seconds)."""
         from tokenizers import Tokenizer
 
         steps, cut = spec["normalizer"]["normalizers"], spec["pre_tokenizer"]["pretokenizers"]
@@ -63,10 +64,10 @@ class Splitter:
             raise ValueError("the vocabulary file asks for steps that are not supported")
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
-        self.kind = _classes()
+        self.kind = tables[0] if tables else _classes()
         self.symbol = kernels.mix(np.arange(0x110000, dtype=np.uint64) + np.uint64(1))
         self.library = Tokenizer.from_str(json.dumps(spec)).normalizer.normalize_str
-        self.agreed = self._agreed()
+        self.agreed = tables[1] if tables else self._agreed()
 
     def _agreed(self) -> np.ndarray:
         """Code points that Python's tables and the library's normalize alike: alone, decomposed and, if they are
@@ -203,8 +204,8 @@ class Encoder:
     """Texts to ids.  Words are found by 64-bit hashes and then compared in full; those that are new are encoded
     together by ``encode_words``, the others come from a bounded cache, and ids are gathered for all texts at once."""
 
-    def __init__(self, spec: dict, encode_words: Callable[[list[str]], list[bytes]]) -> None:
-        self.split, self.encode_words = Splitter(spec), encode_words
+    def __init__(self, spec: dict, encode_words: Callable[[list[str]], list[bytes]], tables: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        self.split, self.encode_words = Splitter(spec, tables), encode_words
         self.recent: dict[int, tuple[bytes, str]] = {}
         self._forget()
 
@@ -320,18 +321,25 @@ class Decoder:
 _made: dict[tuple[str, str], object] = {}
 
 
-def made(kind: str, spec: Broadcast, make: Callable[[dict], object]) -> object:
+def made(kind: str, spec: Broadcast, make: Callable[..., object]) -> object:
     """One object a worker process for each vocabulary file."""
-    key = (kind, hashlib.sha256(spec.value).hexdigest())
+    raw, kinds, agreed = spec.value
+    key = (kind, hashlib.sha256(raw).hexdigest())
     if key not in _made:
-        _made[key] = make(json.loads(spec.value))
+        _made[key] = make(json.loads(raw), (np.frombuffer(kinds, dtype=np.uint8), np.unpackbits(np.frombuffer(agreed, dtype=np.uint8)).astype(bool)))
     return _made[key]
 
 
 def vocabulary(spark: SparkSession, path: str) -> Broadcast:
-    """The vocabulary file (a few MB, fixed) for the workers; executors need no copy of it."""
+    """The vocabulary file (a few MB, fixed) and the tables of code points that go with it (a byte and a bit each) for
+    the workers; executors need no copy of the file."""
     with open(path, "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        raw = f.read()
+    key = ("tables", hashlib.sha256(raw).hexdigest())
+    if key not in _made:
+        split = Splitter(json.loads(raw))
+        _made[key] = (split.kind.tobytes(), np.packbits(split.agreed).tobytes())
+    return spark.sparkContext.broadcast((raw, *_made[key]))
 
 
 def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -346,7 +354,7 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
     rows = docs.select(id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = made("bpe", spec, lambda s: Encoder(s, BatchBPE(s)))
+        encoder = made("bpe", spec, lambda s, t: Encoder(s, BatchBPE(s), t))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encoder(b.column(1).to_pylist()), pa.binary())], [id, "ids"])
 
@@ -364,7 +372,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
     names = [*encoded.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = made("text", spec, Decoder)
+        decoder = made("text", spec, lambda s, _: Decoder(s))
         for b in batches:
             texts = [None if x is None else decoder(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names)
@@ -382,7 +390,7 @@ def round_trip(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text
     rows = docs.select(id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = made("bpe", spec, lambda s: Encoder(s, BatchBPE(s))), made("text", spec, Decoder)
+        encoder, decoder = made("bpe", spec, lambda s, t: Encoder(s, BatchBPE(s), t)), made("text", spec, lambda s, _: Decoder(s))
         for b in batches:
             ids = encoder(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(map(decoder, ids), pa.string())], [id, "ids", "decoded"])

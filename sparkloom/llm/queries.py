@@ -138,7 +138,7 @@ SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, source, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
         e AS (SELECT DISTINCT doc_id, source, trim(x, ' ') AS line FROM (SELECT doc_id, source, unnest(lines) AS x FROM d) WHERE trim(x, ' ') <> ''),
         b AS (SELECT e.source, list(line) AS marks FROM (SELECT source, line, count(*) AS n FROM e GROUP BY source, line) e
-            JOIN (SELECT source, count(*) AS pages FROM d GROUP BY source) p ON e.source = p.source WHERE n >= 3 AND n >= pages * 0.07::DOUBLE GROUP BY e.source),
+            JOIN (SELECT source, count(*) AS pages FROM d GROUP BY source) p ON e.source = p.source WHERE n >= 2 AND n >= pages * 0.07::DOUBLE GROUP BY e.source),
         k AS (SELECT doc_id, d.source, lines, list_filter(lines, lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(marks, []), trim(x, ' '))) AS kept FROM d LEFT JOIN b ON d.source = b.source)
         SELECT doc_id, source, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, coalesce(array_to_string(kept, chr(10)), '') AS clean_text FROM k""",
 }

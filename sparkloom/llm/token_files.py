@@ -192,7 +192,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, id: str
     spark = docs.sparkSession
     prepare_workers(spark)
     spec = vocabulary(spark, vocabulary_path)
-    model = json.loads(spec.value)
+    model = json.loads(spec.value[0])
     base = 1 + max(max(model["model"]["vocab"].values()), *(x["id"] for x in model["added_tokens"]), end_id)
     code = "<u4" if base > 1 << 16 else "<u2"
     end = np.array([end_id], dtype=code).tobytes()
@@ -201,7 +201,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, id: str
     rows = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = made("library", spec, lambda s: Encoder(s, _library_words(s)))
+        encoder = made("library", spec, lambda s, t: Encoder(s, _library_words(s), t))
         points = np.array(cuts, dtype=np.int64)
         for b in batches:
             ids = [np.frombuffer(x, dtype="<u4").astype(code).tobytes() + end for x in encoder(b.column(1).to_pylist())]

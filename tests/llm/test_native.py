@@ -116,7 +116,9 @@ def test_mix_edges(spark, odd, empty):
     assert mixed_documents(none).count() == 2
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_lines(spark, monkeypatch, broadcast):
+    monkeypatch.setattr("sparkloom.llm.line_dedup.BROADCAST_LINES", broadcast)
     pages = [(i, "h", f"Header\nbody {i}\n  Header \n\nfooter") for i in range(20)] + [(100 + i, "g", f"only {i}\nHeader") for i in range(3)] + [(200, None, "Header\nx"), (201, "h", None)]
     df = spark.createDataFrame(pages, "doc_id long, host string, text string")
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup(df, ratio=0.5).collect()}
