@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
-from urllib.parse import unquote_plus
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -79,33 +77,27 @@ def host_domain(c: ColumnOrName, suffixes: Iterable[str]) -> Column:
     return F.when(_c(c).isNull(), None).when(host.isNull(), "").when(is_ip(host), host).otherwise(domain)
 
 
-def url_decode_lenient(c: ColumnOrName) -> Column:
-    """Percent-decoded text; the empty string where the text can't be decoded.  Plain texts and common escapes stay in
-    the JVM; ``%uXXXX`` and ``\\uXXXX`` need Python."""
-    plain = F.try_url_decode(_c(c))
-    return F.when(_c(c).rlike(r"%u|\\u"), _decode_units(_c(c))).otherwise(F.when(_c(c).isNotNull(), F.coalesce(plain, F.lit(""))))
-
+#: A text of UTF-16 units in hex that has no half of a pair alone.
+_WHOLE = "^(?:[0-9A-Ca-cE-Fe-f][0-9A-Fa-f]{3}|[dD][0-7][0-9A-Fa-f]{2}|[dD][89ABab][0-9A-Fa-f]{2}[dD][C-Fc-f][0-9A-Fa-f]{2})*+$"
 
-def decode_units(text: str | None) -> str | None:
-    """The slow path of ``url_decode_lenient``: UTF-16 units written as %uXXXX, then \\uXXXX escapes."""
-    if text is None:
-        return None
-    try:
-        if re.search(r"%(?!u[0-9a-fA-F]{4}|[0-9a-fA-F]{2})", text):
-            return ""
-        units = re.sub(r"%u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text)
-        out = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), unquote_plus(units, errors="strict"))
-        return out.encode("utf-16", "surrogatepass").decode("utf-16")
-    except (UnicodeError, ValueError):
-        return ""
 
+def _units(c: Column, mark: str) -> Column:
+    """Text whose ``mark`` (a pattern) and four hex digits stand for UTF-16 units; null if half a pair is alone."""
+    parts = F.split(c, mark + "(?=[0-9a-fA-F]{4})", -1)
+    code = lambda x: F.hex(F.encode(x, "UTF-16BE"))
+    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    units = F.aggregate(rest, code(F.get(parts, 0)), lambda a, x: F.concat(a, F.substring(x, 1, 4), code(F.substr(x, F.lit(5)))))
+    return F.when(units.rlike(_WHOLE), F.decode(F.unhex(units), "UTF-16BE"))
 
-def _decode_units(c: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(decode_units)
 
-    return run(c)
+def url_decode_lenient(c: ColumnOrName) -> Column:
+    """Percent-decoded text, with ``%uXXXX`` and then ``\\uXXXX`` as UTF-16 units; the empty string where the text can't
+    be decoded.  All of it stays in the JVM."""
+    c = _c(c)
+    units = F.when(c.rlike("%(?!u[0-9a-fA-F]{4}|[0-9a-fA-F]{2})"), None).otherwise(_units(c, "%u"))
+    plain = F.try_url_decode(F.when(c.contains("%u"), units).otherwise(c))
+    decoded = F.when(plain.contains("\\u"), _units(plain, r"\\u")).otherwise(plain)
+    return F.when(c.isNotNull(), F.coalesce(decoded, F.lit("")))
 
 
 def _pairs(text: Column, sep: str, tidy: bool) -> Column:
@@ -113,7 +105,7 @@ def _pairs(text: Column, sep: str, tidy: bool) -> Column:
     trim = jtrim if tidy else (lambda x: x)
     entries = F.transform(
         F.filter(F.split(text, sep, -1), lambda p: F.instr(p, "=") > 0),
-        lambda p: F.struct(trim(F.substring_index(p, "=", 1)).alias("key"), trim(F.coalesce(F.try_url_decode(F.substr(p, F.instr(p, "=") + 1)), F.lit(""))).alias("value")),
+        lambda p: F.struct(trim(F.substring_index(p, "=", 1)).alias("key"), trim(url_decode_lenient(F.substr(p, F.instr(p, "=") + 1))).alias("value")),
     )
     entries = F.filter(entries, lambda e: (F.length(e["value"]) >= MIN_VALUE) & (e["key"] != ""))
     return F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"]))))
@@ -164,9 +156,14 @@ def join_pair(left: ColumnOrName, right: ColumnOrName, sep: str) -> Column:
     return F.concat_ws(sep, _c(left), _c(right))
 
 
-def from_json_or_null(c: ColumnOrName, schema: StructType | str) -> Column:
-    """A struct, null where the line is malformed; drop those rows to skip them."""
-    return F.when(F.get_json_object(_c(c), "$").isNotNull(), F.from_json(_c(c), schema))
+def from_json_or_null(c: ColumnOrName, schema: StructType | str, zero: Sequence[str] = ()) -> Column:
+    """A struct, null where the line is malformed or no object; drop those rows to skip them.  Fields in ``zero`` that
+    an object lacks are 0, others null."""
+    c = _c(c)
+    read = F.when(F.ltrim(c).startswith("{") & F.get_json_object(c, "$").isNotNull(), F.from_json(c, schema))
+    for name in zero:
+        read = F.when(read.isNotNull(), read.withField(name, F.coalesce(read.getField(name), F.lit(0))))
+    return read
 
 
 def weight_text(name: ColumnOrName, weight: ColumnOrName) -> Column:
@@ -193,19 +190,29 @@ def running_mean(total: ColumnOrName, count: ColumnOrName) -> Column:
 
 
 def register(spark: SparkSession, suffixes: Sequence[str] = ()) -> None:
-    """Makes the functions known to SQL: url_format, url_host, url_no_params and is_ip as SQL expressions, lenient
-    decoding as an Arrow UDF."""
+    """Makes the address functions known to SQL, as SQL expressions: url_format, url_host, url_no_params, is_ip,
+    host_domain (with ``suffixes``) and url_decode_lenient.  The parameter maps take a lambda, in which SQL functions
+    can't be called, so they are there as column functions only."""
+    rest = "regexp_replace(c, '^https?://', '')"
+    code = lambda x: f"hex(encode({x}, 'UTF-16BE'))"
+    known = "array(" + ", ".join("'" + x.replace("'", "''") + "'" for x in sorted(set(suffixes))) + ")"
+    clean = lambda sep: f"regexp_replace(c, '({sep})+$', '')"
+
+    def units(mark: str) -> str:
+        parts = f"split(c, '{mark}(?=[0-9a-fA-F]{{4}})', -1)"
+        return f"aggregate(slice({parts}, 2, greatest(size({parts}) - 1, 0)), {code(f'get({parts}, 0)')}, (a, x) -> concat(a, substring(x, 1, 4), {code('substring(x, 5)')}))"
+
     bodies = {
-        "url_format": "regexp_replace(regexp_replace(regexp_replace(c, '^https?://', ''), '/$', ''), '^www\\\\.', '')",
-        "url_no_params": "substring_index(c, '?', 1)",
-        "url_host": "substring_index(regexp_replace(c, '^https?://', ''), '/', 1)",
+        "url_format": ("STRING", f"regexp_replace(regexp_replace({rest}, '/$', ''), '^www[.]', '')"),
+        "url_no_params": ("STRING", "substring_index(c, '?', 1)"),
+        "url_host": ("STRING", f"CASE WHEN {rest} RLIKE '^/+$' THEN {rest} ELSE substring_index({rest}, '/', 1) END"),
+        "is_ip": ("BOOLEAN", f"c RLIKE '^{OCTET}([.]{OCTET}){{3}}$'"),
+        "sparkloom_percent_units": ("STRING", f"CASE WHEN {units('%u')} RLIKE '{_WHOLE}' THEN decode(unhex({units('%u')}), 'UTF-16BE') END"),
+        "sparkloom_escaped_units": ("STRING", f"CASE WHEN {units('[\\\\\\\\]u')} RLIKE '{_WHOLE}' THEN decode(unhex({units('[\\\\\\\\]u')}), 'UTF-16BE') END"),
+        "sparkloom_percent": ("STRING", "try_url_decode(CASE WHEN c RLIKE '%(?!u[0-9a-fA-F]{4}|[0-9a-fA-F]{2})' THEN NULL WHEN contains(c, '%u') THEN sparkloom_percent_units(c) ELSE c END)"),
+        "url_decode_lenient": ("STRING", "CASE WHEN c IS NOT NULL THEN coalesce(CASE WHEN contains(sparkloom_percent(c), '\\\\u') THEN sparkloom_escaped_units(sparkloom_percent(c)) ELSE sparkloom_percent(c) END, '') END"),
+        "sparkloom_domain": ("STRING", f"array_join(reverse(slice(reverse(split({clean('[.]')}, '[.]', -1)), 1, greatest(aggregate(reverse(split({clean('[.]')}, '[.]', -1)), struct(0 AS n, false AS done), (a, x) -> CASE WHEN a.done THEN a ELSE struct(a.n + 1 AS n, NOT array_contains(CAST({known} AS ARRAY<STRING>), x) AS done) END).n, 1))), '.')"),
+        "host_domain": ("STRING", "CASE WHEN c IS NULL THEN NULL WHEN c NOT LIKE '%:%' THEN CASE WHEN is_ip(c) THEN c ELSE sparkloom_domain(c) END WHEN c RLIKE '^[^:]*:[0-9]+$' THEN CASE WHEN is_ip(substring_index(c, ':', 1)) THEN substring_index(c, ':', 1) ELSE sparkloom_domain(substring_index(c, ':', 1)) END ELSE '' END"),
     }
-    for name, body in bodies.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(c STRING) RETURNS STRING RETURN {body}")
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION is_ip(c STRING) RETURNS BOOLEAN RETURN c RLIKE '^{OCTET}([.]{OCTET}){{3}}$'")
-
-    @F.pandas_udf("string")
-    def url_decode(x: pd.Series) -> pd.Series:
-        return x.map(decode_units)
-
-    spark.udf.register("url_decode_lenient", url_decode)
+    for name, (kind, body) in bodies.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(c STRING) RETURNS {kind} RETURN {body}")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations as _combinations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,32 +41,15 @@ def itemset_counts(df: DataFrame, basket: str, item: str, size: int = 2) -> Data
 
 def itemsets_up_to(df: DataFrame, basket: str, item: str, max_size: int) -> DataFrame:
     """(items, count) for all sets of 1 to ``max_size`` items.  A basket of k items has k**max_size sets or so, hence
-    the bound; sets leave the workers batch by batch."""
-    schema = "items array<string>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets: list[list[str]] = []
-            for items in b.column(0).to_pylist():
-                for s in power_set(items or [], max_size)[1:]:
-                    sets.append(s)
-                    if len(sets) >= 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.string()))], ["items"])
-                        sets = []
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.string()))], ["items"])
-
-    return baskets(df, basket, item).select("items").mapInArrow(run, schema).groupBy("items").agg(F.count("*").alias("count"))
+    the bound.  All sizes come from one pass over the baskets, inside the JVM."""
+    sets = F.concat(*[combinations("items", n) for n in range(1, max_size + 1)])
+    return baskets(df, basket, item).select(F.explode(sets).alias("items")).groupBy("items").agg(F.count("*").alias("count"))
 
 
 def association_rules(df: DataFrame, basket: str, item: str, max_size: int = 3) -> DataFrame:
     """(antecedent, consequent, confidence, support): each set of 2 to ``max_size`` items gives a rule for each of its
-    items, with confidence count(set) / count(set without the item)."""
-    sets = [baskets(df, basket, item).select(F.explode(combinations("items", n)).alias("items")) for n in range(1, max_size + 1)]
-    every = sets[0]
-    for s in sets[1:]:
-        every = every.unionByName(s)
-    counts = every.groupBy("items").agg(F.count("*").alias("count"))
+    items, with confidence count(set) / count(set without the item).  Both sides of the join read one count."""
+    counts = itemsets_up_to(df, basket, item, max_size)
     supers = counts.filter(F.size("items") > 1).select("items", F.col("count").alias("support"), F.explode("items").alias("consequent"))
     supers = supers.withColumn("antecedent", F.array_remove("items", F.col("consequent")))
     rules = supers.join(counts.select(F.col("items").alias("antecedent"), F.col("count").alias("_n")), "antecedent")

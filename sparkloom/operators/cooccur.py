@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import jsplit
@@ -20,8 +19,12 @@ def neighbours(df: DataFrame, text: str, window: int = 2) -> DataFrame:
 
 
 def relative_frequency(df: DataFrame, text: str, window: int = 2) -> DataFrame:
-    """(word, neighbour, frequency): a neighbour's share of all neighbours of the word.  Pairs are counted first; the
-    total of a word is then a sum over its distinct neighbours."""
+    """(word, neighbour, frequency): a neighbour's share of all neighbours of the word.  A word's total needs no pairs:
+    each of its places has so many neighbours as the window and the line's ends allow, summed before the shuffle.  It
+    is joined to the counted pairs, so no task has to hold or sort all neighbours of a frequent word."""
+    tokens = df.select(jsplit(text, " ").alias("_t")).filter(F.size("_t") >= 2)
+    places = tokens.select(F.size("_t").alias("_m"), F.posexplode("_t").alias("_i", "word"))
+    around = F.least(F.col("_i"), F.lit(window)) + F.least(F.col("_m") - 1 - F.col("_i"), F.lit(window))
+    totals = places.groupBy("word").agg(F.sum(around).alias("_total"))
     counts = neighbours(df, text, window).groupBy("word", "neighbour").agg(F.count("*").alias("_n"))
-    totals = F.sum("_n").over(W.partitionBy("word"))
-    return counts.select("word", "neighbour", (F.col("_n") / totals).alias("frequency"))
+    return counts.join(totals, "word").select("word", "neighbour", (F.col("_n") / F.col("_total")).alias("frequency"))

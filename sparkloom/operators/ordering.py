@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Fixed value: the prime that the seeded hash of words starts from.
+HASH_SEED = 1125899906842597
+
 
 def secondary_sort(df: DataFrame, key: str, order: str, value: str, on_dup: str = "sum", out: str = "series") -> DataFrame:
     """Per key its (order, value) pairs as an array sorted by order.  ``on_dup``: values of the same key and order are
@@ -53,3 +56,20 @@ def top_per_key(df: DataFrame, key: str, weight: str, tie: str, n: int, least: f
     """The ``n`` rows of greatest weight of each key, with their ``rank``; ties by ``tie``.  Rows below ``least`` go."""
     df = df if least is None else df.filter(F.col(weight) >= F.lit(least))
     return df.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc(weight), F.asc(tie)))).filter(F.col("rank") <= n)
+
+
+def seeded_hash(c: Column | str, seed: int = HASH_SEED) -> Column:
+    """h = 31 * h + unit over the UTF-16 units of a text, in 64 bits that wrap around; null counts as 0.  Computed in
+    decimals, as longs don't overflow silently."""
+    c = F.col(c) if isinstance(c, str) else c
+    units = F.transform(F.sequence(F.lit(0), (F.length(F.hex(F.encode(c, "UTF-16BE"))) / 4).cast("int") - 1), lambda i: F.conv(F.substr(F.hex(F.encode(c, "UTF-16BE")), (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("decimal(38,0)"))
+    whole = F.lit(str(1 << 64)).cast("decimal(38,0)")
+    start = F.lit(seed).cast("decimal(38,0)")
+    h = F.when(F.length(c) == 0, start).otherwise(F.aggregate(units, start, lambda a, u: ((a * 31 + u) % whole).cast("decimal(38,0)")))
+    signed = F.when(h >= F.lit(str(1 << 63)).cast("decimal(38,0)"), h - whole).otherwise(h)
+    return F.coalesce(signed.cast("long"), F.lit(0).cast("long"))
+
+
+def hash_partition(c: Column | str, n: int, seed: int = HASH_SEED) -> Column:
+    """The partition of a key: the absolute remainder of its seeded hash; null keys go to the first."""
+    return F.abs(seeded_hash(c, seed) % n).cast("int")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def group_count(df: DataFrame, *keys: str) -> DataFrame:
     """Rows per key, as ``count``; null is a key of its own."""
@@ -33,6 +35,7 @@ def register_average(spark: SparkSession, name: str = "myAverage") -> None:
     def mean(x: pd.Series) -> float:
         return float(x.mean()) if x.notna().any() else float("nan")
 
+    ship(spark)
     spark.udf.register(name, mean)
 
 
@@ -60,8 +63,9 @@ def without_items(a: Column | str, b: Column | str) -> Column:
 
 
 def view(df: DataFrame, name: str, everywhere: bool = False) -> None:
-    """A view of this session, or (``everywhere``) of all sessions of the application as global_temp.``name``."""
-    df.createOrReplaceGlobalTempView(name) if everywhere else df.createOrReplaceTempView(name)
+    """A view of this session, which replaces one of the same name, or (``everywhere``) of all sessions of the application
+    as global_temp.``name``, which must not exist yet."""
+    df.createGlobalTempView(name) if everywhere else df.createOrReplaceTempView(name)
 
 
 def having_positive(df: DataFrame, count: str = "count") -> DataFrame:

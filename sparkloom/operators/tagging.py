@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import half_up, jsplit, url_format, url_host, weight_text
+from ..session import ship
 
 #: A previous day's weight counts for this much today; tags below LEAST go, MOST stay at most.
 DECAY, LEAST, MOST = "0.7", 0.005, 10
@@ -49,11 +51,12 @@ def keyword_tags(df: DataFrame, key: str, texts: Sequence[str], dictionary: Data
         hits = [F.when(_any([F.coalesce(F.contains(F.col(t), F.lit(p)), F.lit(False)) for t in texts]), F.array(*map(F.lit, tags))) for p, tags in entries]
         found = F.flatten(F.filter(F.array(*hits), lambda x: x.isNotNull()))
         return df.withColumn(out, F.array_sort(F.array_distinct(found)))
-    shared = df.sparkSession.sparkContext.broadcast(entries)
+    ship(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, entries))
 
     @F.pandas_udf("array<string>")
     def match(*columns: pd.Series) -> pd.Series:
-        find = automaton(shared.value)
+        find = automaton(*shared.value)
         return pd.Series([sorted({tag for text in row if text for tags in find(text) for tag in tags}) for row in zip(*columns, strict=True)])
 
     return df.withColumn(out, match(*[F.col(t) for t in texts]))
@@ -66,23 +69,20 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-_automata: dict[int, object] = {}
+_automata: dict[str, object] = {}
 
 
-def automaton(entries: list[tuple[str, list[str]]]):
-    """A function from a text to the tags of each pattern in it; kept for the life of the worker."""
-    key = hash(tuple((p, tuple(t)) for p, t in entries))
+def automaton(key: str, entries: list[tuple[str, list[str]]]):
+    """A function from a text to the tags of each pattern in it; the last one made stays with the worker."""
     if key not in _automata:
-        try:
-            import ahocorasick
-        except ModuleNotFoundError:
-            _automata[key] = lambda text: [tags for p, tags in entries if p in text]
-        else:
-            made = ahocorasick.Automaton()
-            for p, tags in entries:
-                made.add_word(p, tags)
-            made.make_automaton()
-            _automata[key] = lambda text: [tags for _, tags in made.iter(text)]
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for p, tags in entries:
+            made.add_word(p, tags)
+        made.make_automaton()
+        _automata.clear()
+        _automata[key] = lambda text: [tags for _, tags in made.iter(text)]
     return _automata[key]
 
 

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import stats, text
 from ..operators import basket, cooccur, graph, joins, ordering, relational, tagging
 from ..sources import io
+from ..session import ship
 from ..sources.scratch import new_folder
 from ..streaming import logs, state
+from . import daily
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,6 +67,8 @@ def filter_between(spark, d):
 
 @_add("SELECT n_nationkey, upper(n_name) AS name FROM nation")
 def global_view_sql(spark, d):
+    """Made anew for each run: a global view doesn't replace another."""
+    spark.catalog.dropGlobalTempView("sparkloom_nation")
     relational.view(_t(spark, d, "nation"), "sparkloom_nation", everywhere=True)
     return spark.newSession().sql("SELECT n_nationkey, upper(n_name) AS name FROM global_temp.sparkloom_nation")
 
@@ -316,9 +320,10 @@ def itemsets_up_to_three(spark, d):
     f"""WITH {_BASKETS}, s AS (SELECT [i] AS s, count(*) AS n FROM b GROUP BY i
         UNION ALL SELECT [x.i, y.i], count(*) FROM b x JOIN b y ON x.o = y.o AND x.i < y.i GROUP BY x.i, y.i
         UNION ALL SELECT [x.i, y.i, z.i], count(*) FROM b x JOIN b y ON x.o = y.o AND x.i < y.i JOIN b z ON y.o = z.o AND y.i < z.i GROUP BY x.i, y.i, z.i),
-    r AS (SELECT s, n, unnest(s) AS c FROM s WHERE len(s) > 1)
-    SELECT array_to_string(a.s, ',') AS antecedent, r.c AS consequent, round(r.n / a.n, 6) AS confidence, r.n AS support
-    FROM r JOIN s a ON a.s = list_filter(r.s, lambda x: x <> r.c)"""
+    t AS (SELECT array_to_string(s, ',') AS k, n FROM s),
+    r AS (SELECT s, n, unnest(s) AS c FROM s WHERE len(s) > 1),
+    q AS (SELECT array_to_string(list_filter(s, lambda x: x <> c), ',') AS k, c, n FROM r)
+    SELECT q.k AS antecedent, q.c AS consequent, round(q.n / t.n, 6) AS confidence, q.n AS support FROM q JOIN t ON q.k = t.k"""
 )
 def association_rules(spark, d):
     rules = basket.association_rules(_baskets(spark, d), "l_orderkey", "p_brand", 3)
@@ -433,12 +438,29 @@ def cookie_params(spark, d):
     return _t(spark, d, "customer").select("c_custkey", F.array_join(F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("params"))
 
 
+@_add("SELECT c_custkey, '中' || c_name AS name, '文 xyz' AS seen FROM customer")
+def unit_params(spark, d):
+    """Parameters and cookies with UTF-16 units."""
+    url, cookie = F.concat(F.lit("h/?n=%u4e2d"), "c_name", F.lit("&z=1")), F.lit("seen=%u6587%20xyz ; y=1")
+    return _t(spark, d, "customer").select("c_custkey", text.query_params(url)["n"].alias("name"), text.cookie_params(cookie)["seen"].alias("seen"))
+
+
 @_add("SELECT p_partkey, p_name || ' é' AS decoded FROM part")
 def url_decode(spark, d):
     escaped = F.concat(F.url_encode("p_name"), F.when(F.col("p_partkey") % 2 == 0, "%20%u00e9").otherwise("+%C3%A9"))
     return _t(spark, d, "part").select("p_partkey", text.url_decode_lenient(escaped).alias("decoded"))
 
 
+@_add("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey END AS age, c_name AS name FROM customer WHERE c_custkey % 5 <> 0")
+def json_objects(spark, d):
+    """A number that an object lacks is 0; lines that hold no object are skipped."""
+    k = F.col("c_custkey")
+    whole = F.to_json(F.struct(F.col("c_name").alias("name"), F.when(k % 3 != 0, k).alias("age")))
+    line = F.when(k % 5 != 0, whole).otherwise(F.when(k % 2 == 0, "[1]").otherwise('{"name":'))
+    read = _t(spark, d, "customer").select("c_custkey", text.from_json_or_null(line, "name string, age bigint", ["age"]).alias("p"))
+    return read.filter("p IS NOT NULL").select("c_custkey", "p.age", "p.name")
+
+
 @_add("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props)")
 def json_props(spark, d):
     return _t(spark, d, "events").select("event_id", text.from_json_or_null("props", "k bigint").alias("p")).filter("p IS NOT NULL").select("event_id", "p.k")
@@ -464,9 +486,21 @@ def ttest_groups(spark, d):
     return out.select("n1", "n2", F.round("t", 6).alias("t"), F.round("df", 4).alias("df"))
 
 
-@_add()
+# With whole degrees of freedom the density of t has a closed normalisation; the integral is a sum over 20,000 strips.
+@_add(
+    f"""WITH m AS ({_MOMENTS}), s AS (SELECT (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS v FROM m),
+    k AS (SELECT abs(t) AS t, v, exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) AS c FROM s)
+    SELECT round(1 - 2 * max(c) * sum(t / 20000 * pow(1 + pow((i + 0.5) * t / 20000, 2) / v, -(v + 1) / 2)), 6) AS p FROM k, range(20000) r(i)"""
+)
 def ttest_p_value(spark, d):
-    return stats.t_test(_t(spark, d, "events"), "event_type", "value", "view", "purchase").select(F.round("p", 9).alias("p"))
+    return stats.t_test(_t(spark, d, "events"), "event_type", "value", "view", "purchase").select(F.round("p", 6).alias("p"))
+
+
+@_add("SELECT CAST(0.0 AS DOUBLE) AS p, CAST('NaN' AS DOUBLE) AS q FROM region WHERE r_regionkey = 0")
+def ttest_undefined(spark, d):
+    """Groups without rows: both customs of saying that there is no probability."""
+    empty = lambda v: stats.t_test(_t(spark, d, "events"), "event_type", "value", "none", "nobody", v)
+    return empty(0.0).select("p").crossJoin(F.broadcast(empty(float("nan")).select(F.col("p").alias("q"))))
 
 
 # --- tags ---
@@ -526,7 +560,17 @@ def tag_top10(spark, d):
     return tagging.render_top(tagging.merge_previous(_weights(spark, d, True), _weights(spark, d, False)))
 
 
-@_add()
+@_add(
+    """WITH v AS (SELECT 'ad' || CAST(page_id % 10 AS VARCHAR) AS adsl, list_distinct(list_concat(['phone'], CASE WHEN contains(url, '/en/') THEN ['en'] ELSE [] END,
+        CASE WHEN contains(url, '/fr/') THEN ['fr', 'latin'] ELSE [] END, CASE WHEN contains(url, '/es/') THEN ['es', 'latin'] ELSE [] END)) AS tags FROM pages),
+    c AS (SELECT adsl, tag, count(*) AS n FROM (SELECT adsl, unnest(tags) AS tag FROM v) GROUP BY 1, 2),
+    n AS (SELECT adsl, tag, CAST(round(CAST(sqrt(n) / sum(sqrt(n)) OVER (PARTITION BY adsl) AS DECIMAL(38,18)), 2) AS DECIMAL(38,2)) AS w FROM c),
+    o AS (SELECT 'ad' || CAST(i AS VARCHAR) AS adsl, t.tag, t.w FROM range(5) r(i), (VALUES ('old', 0.50), ('en', 0.20)) t(tag, w)),
+    f AS (SELECT coalesce(n.adsl, o.adsl) AS adsl, coalesce(n.tag, o.tag) AS tag, n.w AS nw, o.w AS ow, coalesce(n.w, 0) + 0.7 * coalesce(o.w, 0) AS s FROM n FULL JOIN o ON n.adsl = o.adsl AND n.tag = o.tag),
+    m AS (SELECT adsl, tag, CASE WHEN count(nw) OVER (PARTITION BY adsl) > 0 THEN CAST(round(CAST(sqrt(s) / sum(sqrt(s)) OVER (PARTITION BY adsl) AS DECIMAL(38,18)), 2) AS DECIMAL(38,2)) ELSE CAST(ow AS DECIMAL(38,2)) END AS w FROM f),
+    r AS (SELECT *, row_number() OVER (PARTITION BY adsl ORDER BY w DESC, tag) AS k FROM m WHERE w >= 0.005)
+    SELECT adsl, string_agg(tag || ':' || CAST(CAST(w AS DECIMAL(20,6)) AS VARCHAR), ',' ORDER BY k) AS tags FROM r WHERE k <= 10 GROUP BY adsl"""
+)
 def user_tag_pipeline(spark, d):
     """Pages as visits of ten subscribers, and a previous day's rows, through the whole pipeline."""
     pages = _t(spark, d, "pages")
@@ -576,6 +620,39 @@ def stream_log_types(spark, d):
     return logs.drain(logs.log_type_counts(_events(spark, d).select(line.alias("value"))))
 
 
+def _daily(spark: SparkSession, d: str, rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stream that brings the events one day a micro-batch, as ``rows`` shapes them."""
+    path, shaped = _dir(spark), rows(_t(spark, d, "events"))
+    days = sorted(r[0] for r in _t(spark, d, "events").select(F.to_date("ts").alias("day")).distinct().collect())  # a month of days at most
+    for i, day in enumerate(days):
+        part = f"{path}/{i:05d}"
+        shaped.filter(F.col("day") == F.lit(day)).coalesce(1).write.parquet(part)
+    return spark.readStream.schema(shaped.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+
+
+@_add("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS word, count(*) AS count FROM events GROUP BY 1, 2")
+def batch_word_counts(spark, d):
+    """Each micro-batch, a day here, is counted on its own."""
+    stream = _daily(spark, d, lambda e: e.select(F.to_date("ts").alias("day"), F.col("event_type").alias("value")))
+    counted = logs.batch_counts(stream, lambda b: logs.word_counts(b).join(F.broadcast(b.agg(F.max("day").alias("day")))))
+    return counted.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "word", "count")
+
+
+@_add("SELECT strftime(ts, '%Y-%m-%d') AS day, CASE event_type WHEN 'view' THEN 'f5' WHEN 'click' THEN CAST(user_id % 5 AS VARCHAR) ELSE '' END AS key, count(*) AS count FROM events GROUP BY 1, 2")
+def batch_log_types(spark, d):
+    kind = F.when(F.col("event_type") == "view", "dpc_js").when(F.col("event_type") == "click", "dpc_visit").otherwise("other")
+    line = F.concat_ws("\x01", kind, (F.col("user_id") % 5).cast("string"), F.lit("a"), F.lit("b"), F.lit("c"), F.lit("f5"))
+    stream = _daily(spark, d, lambda e: e.select(F.to_date("ts").alias("day"), line.alias("value")))
+    counted = logs.batch_counts(stream, lambda b: logs.log_type_counts(b).join(F.broadcast(b.agg(F.max("day").alias("day")))))
+    return counted.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "key", "count")
+
+
+@_add("SELECT event_type, row_number() OVER (PARTITION BY event_type) + CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 10 ELSE 0 END AS total FROM events")
+def cumulative_state_rows(spark, d):
+    """One row for each that came in."""
+    return logs.drain(state.cumulative_counts(_events(spark, d), "event_type", {"view": 1, "click": 10}, each_row=True), "update")
+
+
 @_add("SELECT event_type, count(*) + CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 10 ELSE 0 END AS total FROM events GROUP BY event_type")
 def cumulative_state(spark, d):
     emitted = logs.drain(state.cumulative_counts(_events(spark, d), "event_type", {"view": 1, "click": 10}), "update")
@@ -610,6 +687,24 @@ def funnel_bits(spark, d):
     return logs.drain(out, "update").groupBy("user_id").agg(F.bit_or("bits").alias("bits"))
 
 
+_TIMED = """WITH e AS (SELECT user_id, event_type AS k, epoch(ts) AS t FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+    b AS (SELECT user_id, min(t) AS b, min(t) FILTER (k = 'view') AS c FROM e GROUP BY 1)
+    SELECT user_id, CAST(bit_or(CASE k WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 4 END) AS INTEGER) AS bits FROM e JOIN b USING (user_id)
+    WHERE CASE WHEN k = 'view' THEN t = c ELSE t <= CASE WHEN t >= c THEN c ELSE b END + 259200 END GROUP BY user_id"""
+
+
+@_add(_TIMED)
+def funnel_bits_timeout(spark, d):
+    """Three days from the creative on; what comes later doesn't count."""
+    out = state.funnel_bits(_events(spark, d), ["user_id"], "ts", "event_type", ["view", "click", "purchase"], timeout=259_200, delay="60 days")
+    return logs.drain(out, "update").groupBy("user_id").agg(F.bit_or("bits").alias("bits"))
+
+
+@_add(_TIMED)
+def funnel_bits_timeout_batch(spark, d):
+    return state.funnel_bits_batch(_t(spark, d, "events"), ["user_id"], "ts", "event_type", ["view", "click", "purchase"], 259_200)
+
+
 @_add(_BITS)
 def funnel_bits_batch(spark, d):
     return state.funnel_bits_batch(_t(spark, d, "events"), ["user_id"], "ts", "event_type", ["view", "click", "purchase"])
@@ -619,3 +714,200 @@ def funnel_bits_batch(spark, d):
 def ad_counters(spark, d):
     bits = state.funnel_bits_batch(_t(spark, d, "events"), ["user_id"], "ts", "event_type", ["view", "click", "purchase"])
     return state.ad_counters(bits.select((F.col("user_id") % 10).alias("ad_id"), F.col("bits").alias("delta")))
+
+
+def _ad_lines(events: DataFrame) -> DataFrame:
+    """Events as lines of the ad log, with the url of a creative as field 23."""
+    kind = F.when(F.col("event_type") == "view", "rtb_creative").when(F.col("event_type") == "click", "rtb_click").otherwise("rtb_show")
+    head = [kind, *(F.lit(x) for x in "abc"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("d"), (F.col("user_id") % 10).cast("string"), F.col("user_id").cast("string")]
+    url = F.when(F.col("user_id") % 4 != 0, F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string"))).otherwise("")
+    return events.select("ts", F.concat_ws("\x01", *head, *(F.lit("x") for _ in range(15)), url, F.lit("end")).alias("value"))
+
+
+@_add(
+    """SELECT s AS window_start, s + INTERVAL 300 SECOND AS window_end, url, count(*) AS count FROM (SELECT 'u' || CAST(user_id % 4 AS VARCHAR) AS url,
+    time_bucket(INTERVAL '5 seconds', ts) - k * INTERVAL '5 seconds' AS s FROM events, range(0, 60) AS r(k) WHERE event_type = 'view' AND user_id % 4 <> 0) GROUP BY 1, 2, 3"""
+)
+def creative_windows(spark, d):
+    """Urls of creatives in windows of 300 seconds every 5; a batch, by slides."""
+    urls = logs.creative_urls(_ad_lines(_t(spark, d, "events")))
+    return _ntz(logs.sliding_counts_by_slide(urls, "ts", "url", 300, 5), "window_start", "window_end")
+
+
+@_add("SELECT CAST(user_id % 10 AS VARCHAR) AS ad_id, CASE event_type WHEN 'view' THEN 'rtb_creative' WHEN 'click' THEN 'rtb_click' ELSE 'rtb_show' END AS type, count(*) AS n, CAST(floor(min(epoch(ts))) AS BIGINT) AS first FROM events GROUP BY 1, 2")
+def ad_log_lines(spark, d):
+    rows = logs.ad_events(_ad_lines(_t(spark, d, "events")))
+    return rows.groupBy("ad_id", "type").agg(F.count("*").alias("n"), F.min(F.unix_seconds("ts")).alias("first"))
+
+
+# --- stores, jobs and small formats ---
+
+
+class _Files:
+    """A store of files: each entry is a line of a file of its own, so that executors need no common client."""
+
+    def __init__(self, path: str) -> None:
+        import os
+        import uuid
+
+        os.makedirs(path, exist_ok=True)
+        self.path = f"{path}/{uuid.uuid4().hex}.txt"
+
+    def _write(self, *parts: object) -> None:
+        with open(self.path, "a", encoding="utf-8") as f:
+            f.write("\t".join(map(str, parts)) + "\n")
+
+    def incr(self, key: str, n: int) -> None:
+        self._write(key, "", n)
+
+    def hincr(self, key: str, field: str, n: int) -> None:
+        self._write(key, field, n)
+
+    def put(self, key: str, value: str) -> None:
+        self._write(key, "", value)
+
+
+def _store(spark: SparkSession) -> tuple[str, Callable[[], _Files]]:
+    ship(spark)
+    at = _dir(spark).removeprefix("file:").replace("//", "/")
+    return at, lambda: _Files(at)
+
+
+def _entries(spark: SparkSession, at: str) -> DataFrame:
+    return spark.read.schema("key string, field string, n bigint").option("sep", "\t").csv(f"file://{at}")
+
+
+@_add("SELECT event_type AS key, count(*) AS n FROM events GROUP BY 1")
+def store_increments(spark, d):
+    """Counts added to a store by each partition's own client."""
+    at, connect = _store(spark)
+    io.increment(relational.group_count(_t(spark, d, "events"), "event_type"), "event_type", "count", connect)
+    return _entries(spark, at).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+@_add(f"SELECT CAST(user_id % 10 AS VARCHAR) AS key, f AS field, CAST(sum(CASE WHEN f = 'show' THEN CASE WHEN bits & 2 > 0 THEN 1 ELSE 0 END ELSE CASE WHEN bits & 4 > 0 THEN 1 ELSE 0 END END) AS BIGINT) AS n FROM ({_BITS}), (VALUES ('show'), ('click')) v(f) GROUP BY 1, 2 HAVING n > 0")
+def store_field_increments(spark, d):
+    at, connect = _store(spark)
+    counters = ad_counters(spark, d).withColumn("ad_id", F.col("ad_id").cast("string"))
+    io.increment_fields(counters, "ad_id", ["show", "click"], connect)
+    return _entries(spark, at).groupBy("key", "field").agg(F.sum("n").alias("n"))
+
+
+@_add("SELECT event_type AS key, count(*) AS n FROM events GROUP BY 1")
+def stream_to_store(spark, d):
+    """A windowed stream into a store: absolute values, so a batch that is written twice changes nothing."""
+    at, connect = _store(spark)
+    counts = _events(spark, d).groupBy("event_type").agg(F.count("*").alias("count"))
+    query = logs.start(counts, lambda batch, _: io.put_absolute(batch, ["event_type"], "count", connect), _dir(spark), "complete", once=True)
+    query.awaitTermination()
+    return _entries(spark, at).groupBy("key").agg(F.max("n").alias("n"))
+
+
+@_add("SELECT n_name AS name FROM nation WHERE n_nationkey < 20")
+def stream_goes_on(spark, d):
+    """A stream started again with its checkpoint brings only what is new: nothing comes twice."""
+    path, out, checkpoint = _dir(spark), _dir(spark), _dir(spark)
+    rows = _t(spark, d, "nation").filter("n_nationkey < 20")
+    for i in range(2):
+        io.save(rows.filter(F.col("n_nationkey") % 2 == i), path, mode="append")
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        logs.start(stream, lambda batch, n: io.save(batch.select("n_name"), f"{out}/{n}", mode="overwrite"), checkpoint, "append", once=True).awaitTermination()
+    return spark.read.parquet(f"{out}/*").withColumnRenamed("n_name", "name")
+
+
+@_add("SELECT p_brand, count(*) AS count FROM part WHERE p_size > 45 GROUP BY 1")
+def having_positive(spark, d):
+    counts = _t(spark, d, "part").groupBy("p_brand").agg(F.count_if(F.col("p_size") > 45).alias("count"))
+    return relational.having_positive(counts)
+
+
+@_add("SELECT c_custkey, c_mktsegment AS second FROM customer WHERE c_custkey % 3 = 0")
+def well_formed_lines(spark, d):
+    """Lines of two fields; those of one or three are skipped."""
+    k = F.col("c_custkey")
+    line = F.concat_ws(",", F.lit("x"), F.when(k % 3 != 1, F.col("c_mktsegment")), F.when(k % 3 == 2, "z"))
+    return relational.well_formed(_t(spark, d, "customer").withColumn("line", line), "line", ",", 2).select("c_custkey", F.get("parts", 1).alias("second"))
+
+
+@_add("SELECT p_partkey, replace(substr(p_name, instr(p_name, ' ') + 1), ' ', ',') AS tail, 'a' AS left_part, 'b' AS right_part, p_brand || ':' || p_type AS pair FROM part WHERE instr(p_name, ' ') > 0")
+def tails_and_pairs(spark, d):
+    cut = text.pair(F.lit("a:b"), ":")
+    return _t(spark, d, "part").filter(F.instr("p_name", " ") > 0).select("p_partkey", text.tail("p_name").alias("tail"), cut["left"].alias("left_part"), cut["right"].alias("right_part"), text.join_pair("p_brand", "p_type", ":").alias("pair"))
+
+
+@_add("SELECT n_nationkey, n_nationkey + 1 AS a, 2 AS b, n_regionkey AS c, n_nationkey / 4 AS mean FROM nation")
+def merged_maps(spark, d):
+    k = F.col("n_nationkey").cast("bigint")
+    merged = text.merge_sums(F.create_map(F.lit("a"), k, F.lit("b"), F.lit(2).cast("bigint")), F.create_map(F.lit("a"), F.lit(1).cast("bigint"), F.lit("c"), F.col("n_regionkey").cast("bigint")))
+    return _t(spark, d, "nation").select("n_nationkey", merged["a"].alias("a"), merged["b"].alias("b"), merged["c"].alias("c"), text.running_mean(k, F.lit(4)).alias("mean"))
+
+
+@_add("SELECT word, CAST(abs((CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END) % 7) AS INTEGER) AS part FROM (SELECT n_name AS word, list_reduce(list_prepend(1125899906842597::HUGEINT, list_transform(string_split(n_name, ''), lambda x: unicode(x)::HUGEINT)), lambda a, x: (a * 31 + x) % 18446744073709551616::HUGEINT) AS h FROM nation)")
+def hash_partitions(spark, d):
+    return _t(spark, d, "nation").select(F.col("n_name").alias("word"), ordering.hash_partition("n_name", 7).alias("part"))
+
+
+@_add("SELECT 'key' || CAST(i AS VARCHAR) AS key, i * j AS value FROM range(1, 6) a(i), range(1, 6) b(j)")
+def products_sequence(spark, d):
+    path = _dir(spark)
+    io.products_sequence(spark, path)
+    return io.sequence_file(spark, path)
+
+
+@_add("SELECT n_name, n_regionkey FROM nation WHERE n_nationkey >= 10")
+def overwritten_output(spark, d):
+    """The default format, written twice to one folder: the second run replaces the first."""
+    path, rows = _dir(spark), _t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    for least in (0, 10):
+        io.save(rows.filter(F.col("n_nationkey") >= least).select("n_name", "n_regionkey"), path, mode="overwrite")
+    return io.load(spark, path)
+
+
+@_add("SELECT 'n' || CAST(i AS VARCHAR) AS name, CAST(i * i AS VARCHAR) AS age FROM range(1, 8) r(i)")
+def driver_rows(spark, d):
+    return relational.frame(spark, [(f"n{i}", str(i * i)) for i in range(1, 8)], "name age")
+
+
+@_add(r"SELECT page_id, CASE WHEN l[-1] IN ('com', 'org', 'net') THEN l[-2] || '.' || l[-1] ELSE l[-1] END AS domain FROM (SELECT page_id, string_split(split_part(regexp_replace(url, '^https?://', ''), '/', 1), '.') AS l FROM pages)")
+def suffix_file_domains(spark, d):
+    """Suffixes from a file, the functions through SQL; the file is looked at first."""
+    path = _dir(spark)
+    spark.createDataFrame([(" com ",), ("org",), ("net",), ("com",), ("",)], "value string").write.text(path)
+    text.register(spark, io.suffixes(spark, path) if io.non_empty(spark, path) else [])
+    return _t(spark, d, "pages").selectExpr("page_id", "host_domain(url_host(url)) AS domain")
+
+
+@_add("SELECT CAST(page_id % 10 AS VARCHAR) AS adsl, 'phone:1.000000' AS tags FROM pages WHERE page_id % 10 < 3 GROUP BY 1")
+def daily_tag_job(spark, d):
+    """The day's lines from files named in an INI file, tagged by dictionaries in files, written by prefix, read back."""
+    import os
+    import tempfile
+    from datetime import date
+
+    base = _dir(spark)
+    line = F.concat_ws("\x01", F.concat(F.lit("00"), (F.col("page_id") % 10).cast("string")), F.lit("1.2.3.4"), F.lit("nowhere"), F.lit(""), F.lit("Acer phone"), F.lit("x"), F.lit("y"))
+    _t(spark, d, "pages").filter("page_id % 10 < 3").select(line).write.text(f"{base}/in/20240102")
+    spark.createDataFrame([("zzz:url",)], "value string").write.text(f"{base}/urls")
+    spark.createDataFrame([("Acer:phone",), ("nobody:x",)], "value string").write.text(f"{base}/agents")
+    handle, config = tempfile.mkstemp(suffix=".ini")
+    with os.fdopen(handle, "w", encoding="utf-8") as f:
+        f.write(f"[paths]\ninput = {base}/in/{{day}}\n[out]\nresult = {base}/out/{{day}}\n")
+    paths = daily.read_config(config)
+    os.unlink(config)
+    job = lambda: daily.run_day(spark, [paths["input"]], paths["result"], tagging.load_dictionary(spark, f"{base}/urls"), tagging.load_dictionary(spark, f"{base}/agents", False), date(2024, 1, 2))
+    out = daily.run_jobs([job])[0]
+    back = io.lines(spark, [f"{out}/*"]).select(F.split("value", "\t").alias("p"))
+    return back.select(F.substring(F.get("p", 0), 3, 1).alias("adsl"), F.get("p", 1).alias("tags"))
+
+
+@_add("SELECT '---- batch 3 ----' AS line UNION ALL SELECT '(' || chr(39) || r_name || chr(39) || ',)' FROM region WHERE r_regionkey = 0")
+def batch_banner(spark, d):
+    rows = _t(spark, d, "region").filter("r_regionkey = 0").select("r_name")
+    return spark.createDataFrame([(x,) for x in io.batch_banner(rows, 3).split("\n")], "line string")
+
+
+@_add("SELECT 'localhost:9092' AS servers, 'a,b' AS topics, 'earliest' AS starting, 'g' AS consumer")
+def kafka_settings(spark, d):
+    """What the connector would be told; it isn't on the class path of every cluster."""
+    o = io.kafka_options("localhost:9092", "a,b", "earliest", "g")
+    return spark.createDataFrame([(o["kafka.bootstrap.servers"], o["subscribe"], o["startingOffsets"], o["kafka.group.id"])], "servers string, topics string, starting string, consumer string")

@@ -66,15 +66,27 @@ def numbers_sequence(spark: SparkSession, path: str, n: int) -> None:
     write_sequence(rows, path)
 
 
+def products_sequence(spark: SparkSession, path: str, keys: int = 5, n: int = 5) -> None:
+    """A sequence file of keys key1, key2, ..., each with the first ``n`` multiples of its number."""
+    i, j = F.expr(f"id div {n} + 1"), F.expr(f"id % {n} + 1")
+    write_sequence(spark.range(keys * n).select(F.concat(F.lit("key"), i).alias("k"), (i * j).alias("v")), path)
+
+
 def stream(spark: SparkSession, format: str, schema=None, **options) -> DataFrame:
     """An unbounded table: kafka (subscribe, startingOffsets), socket, rate or files."""
     reader = spark.readStream.format(format).options(**options)
     return (reader.schema(schema) if schema is not None else reader).load()
 
 
-def kafka(spark: SparkSession, servers: str, topics: str, starting: str = "latest") -> DataFrame:
+def kafka_options(servers: str, topics: str, starting: str = "latest", group: str | None = None) -> dict[str, str]:
+    """What the Kafka connector is told; offsets live in the stream's checkpoint, never in the group."""
+    out = {"kafka.bootstrap.servers": servers, "subscribe": topics, "startingOffsets": starting}
+    return out | ({"kafka.group.id": group} if group else {})
+
+
+def kafka(spark: SparkSession, servers: str, topics: str, starting: str = "latest", group: str | None = None) -> DataFrame:
     """Values of Kafka topics (between commas) as text; needs the Kafka connector on the class path."""
-    return stream(spark, "kafka", **{"kafka.bootstrap.servers": servers, "subscribe": topics, "startingOffsets": starting}).select(F.col("value").cast("string"), "timestamp")
+    return stream(spark, "kafka", **kafka_options(servers, topics, starting, group)).select(F.col("value").cast("string"), "timestamp")
 
 
 def socket(spark: SparkSession, host: str, port: int = 9999) -> DataFrame:

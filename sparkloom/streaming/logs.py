@@ -44,9 +44,10 @@ def event_time(df: DataFrame, ts: str, delay: str | None = "1 hour") -> DataFram
     return df.withWatermark(ts, delay) if df.isStreaming and delay else df
 
 
-def sliding_counts(df: DataFrame, ts: str, key: str, width: str, slide: str, delay: str | None = None) -> DataFrame:
+def sliding_counts(df: DataFrame, ts: str, key: str, width: str, slide: str, delay: str | None = "1 hour") -> DataFrame:
     """(window_start, window_end, key, count): every row counts in each window that covers it.  Empty keys are skipped;
-    windows without rows don't exist, so no zero counts need filtering."""
+    windows without rows don't exist, so no zero counts need filtering.  On a stream rows may be ``delay`` late, and
+    windows that ended longer ago leave the state (None: all stay)."""
     rows = event_time(df, ts, delay).filter(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
     counts = rows.groupBy(F.window(ts, width, slide).alias("_w"), key).agg(F.count("*").alias("count"))
     return counts.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), key, "count")
@@ -56,7 +57,7 @@ def sliding_counts_by_slide(df: DataFrame, ts: str, key: str, width_s: int, slid
     """The same counts for a batch, when windows are many slides wide: rows are counted by slide first, and only those
     counts are copied to the windows."""
     start = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slide_s) * slide_s
-    slides = df.filter(F.col(key).isNotNull()).groupBy(start.alias("_s"), key).agg(F.count("*").alias("_n"))
+    slides = df.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).groupBy(start.alias("_s"), key).agg(F.count("*").alias("_n"))
     spread = slides.withColumn("_w", F.explode(F.sequence(F.col("_s") - width_s + slide_s, F.col("_s"), F.lit(slide_s))))
     sums = spread.groupBy("_w", key).agg(F.sum("_n").alias("count"))
     return sums.select(F.timestamp_seconds("_w").alias("window_start"), F.timestamp_seconds(F.col("_w") + width_s).alias("window_end"), key, "count")
@@ -81,16 +82,31 @@ def start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: st
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all data there is and returns its output as a table: of complete mode the last result, else
-    all that was emitted.  Results go through files in the shared folder, not through the driver."""
+def _batches(df: DataFrame, shape: DataFrame, mode: str, make: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Runs a stream over all data there is; what ``make`` gives for each micro-batch is the folder of that batch, so
+    that a batch that runs again replaces itself.  Results go through files in the shared folder, not the driver."""
     spark = df.sparkSession
     base = new_folder(spark, "stream")
-    out = f"{base}/out"
+    spark.createDataFrame([], shape.schema).write.parquet(f"{base}/out/part=-1")
+    whole = mode == "complete"  # each result replaces the one before
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        make(batch, number).write.mode("overwrite").parquet(f"{base}/out/part={-1 if whole else number}")
 
     query = start(df, write, f"{base}/checkpoint", mode, once=True)
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    return spark.read.schema(shape.schema).parquet(f"{base}/out/part=*")
+
+
+def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
+    """The output of a stream over all data there is, as a table: of complete mode the last result, else all that was
+    emitted; nothing if the stream is empty."""
+    return _batches(df, df, mode, lambda batch, _: batch)
+
+
+def batch_counts(df: DataFrame, counts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(batch, and the columns of ``counts``): the counts of each micro-batch on its own, as an interval of a discretized
+    stream has them; batches are numbered from 0 on."""
+    numbered = lambda x, n: x.withColumn("batch", F.lit(n).cast("long"))
+    shape = numbered(counts(df.sparkSession.createDataFrame([], df.schema)), 0)
+    return _batches(df, shape, "append", lambda batch, n: numbered(counts(batch), n))

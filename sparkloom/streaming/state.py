@@ -9,20 +9,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import ship
+
 #: Bits of the funnel.
 CREATIVE, SHOW, CLICK = 1, 2, 4
 #: Seconds after its creative in which a show or click counts, and seconds by which a step may precede the one before.
 TIMEOUT, TOLERANCE = 60, 30
 
 
-def cumulative_counts(df: DataFrame, key: str, initial: dict[str, int] | None = None) -> DataFrame:
-    """Stream: (key, total) for each key of a micro-batch, its rows so far plus its count in ``initial``."""
+def cumulative_counts(df: DataFrame, key: str, initial: dict[str, int] | None = None, each_row: bool = False) -> DataFrame:
+    """Stream: (key, total) for each key of a micro-batch, its rows so far plus its count in ``initial``; with
+    ``each_row`` one row for each that came in, with the total up to it."""
+    ship(df.sparkSession)
     initial = dict(initial or {})
 
     def update(group: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total = (state.get[0] if state.exists else initial.get(group[0], 0)) + sum(map(len, rows))
+        before = state.get[0] if state.exists else initial.get(group[0], 0)
+        total = before + sum(map(len, rows))
         state.update((total,))
-        yield pd.DataFrame({key: [group[0]], "total": [total]})
+        for at in range(before if each_row else total - 1, total, 10_000):
+            totals = range(at + 1, min(at + 10_000, total) + 1)
+            yield pd.DataFrame({key: [group[0]] * len(totals), "total": list(totals)})
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key).groupBy(key).applyInPandasWithState(update, f"`{key}` {kind}, total long", "total long", "update", GroupStateTimeout.NoTimeout)
@@ -47,15 +54,21 @@ def advance(step: int, accepted: float, events: Iterable[tuple[float, int]], tol
         step, accepted = step + 1, hit
 
 
-def funnel_steps(df: DataFrame, keys: Sequence[str], ts: str, kind: str, types: Sequence[str], tolerance: float = TOLERANCE) -> DataFrame:
+def funnel_steps(df: DataFrame, keys: Sequence[str], ts: str, kind: str, types: Sequence[str], tolerance: float = TOLERANCE, idle: str | None = "24 hours") -> DataFrame:
     """Stream: (keys, step) for each key of a micro-batch that has reached a step, 1 to len(``types``) in their order.
 
-    Events that came early are kept and tried again, as long as a later event could still let them count.
+    Events that came early are kept and tried again, as long as a later event could still let them count.  Rows may
+    be ``idle`` late, and the state of a key goes that long after its last event, in event time (None: it stays).
     """
+    ship(df.sparkSession)
     rank = _rank(kind, types)
-    rows = df.filter(F.col(kind).isin(*types)).select(*keys, F.col(ts).cast("timestamp").cast("double").alias("_t"), rank.alias("_k"))
+    df = df.withColumn(ts, F.col(ts).cast("timestamp"))
+    rows = (df.withWatermark(ts, idle) if idle else df).filter(F.col(kind).isin(*types)).select(*keys, ts, F.col(ts).cast("double").alias("_t"), rank.alias("_k"))
 
     def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         step, accepted, times, kinds = state.get if state.exists else (0, 0.0, [], [])
         events = list(zip(times, kinds, strict=True))
         for b in batches:
@@ -63,11 +76,14 @@ def funnel_steps(df: DataFrame, keys: Sequence[str], ts: str, kind: str, types:
         step, accepted = advance(step, accepted, events, tolerance)
         waiting = [(t, k) for t, k in events if k > step and (step == 0 or k > step + 1 or t >= accepted - tolerance)]
         state.update((step, accepted, [t for t, _ in waiting], [int(k) for _, k in waiting]))
+        if idle:
+            last = max((t for t, _ in events), default=0.0)
+            state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs() + 1))
         if step:
             yield pd.DataFrame({**{k: [v] for k, v in zip(keys, group, strict=True)}, "step": [step]})
 
     names = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.groupBy(*keys).applyInPandasWithState(update, f"{names}, step int", "step int, accepted double, times array<double>, kinds array<int>", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(update, f"{names}, step int", "step int, accepted double, times array<double>, kinds array<int>", "update", GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def _rank(kind: str, types: Sequence[str]) -> Column:
@@ -95,6 +111,7 @@ def _from(least: Column):
 def funnel_bits(df: DataFrame, keys: Sequence[str], ts: str, kind: str, types: Sequence[str], timeout: int = TIMEOUT, delay: str = "10 seconds") -> DataFrame:
     """Stream: (keys, bits, delta) whenever events set bits that a key hadn't; each of creative, show and click counts
     once, in any order.  State goes ``timeout`` seconds of event time after the creative (or the first event)."""
+    ship(df.sparkSession)
     flag = _flags(kind, types)
     rows = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).filter(F.col(kind).isin(*types)).select(*keys, ts, flag.alias("_bit"))
 
@@ -126,12 +143,13 @@ def _flags(kind: str, types: Sequence[str]) -> Column:
 
 
 def funnel_bits_batch(df: DataFrame, keys: Sequence[str], ts: str, kind: str, types: Sequence[str], timeout: int | None = None) -> DataFrame:
-    """The batch twin: all bits of a key; with ``timeout`` those within so many seconds of its first creative (or, if
-    there is none, of its first event)."""
+    """The batch twin: all bits of a key; with ``timeout`` the creative and what comes up to so many seconds after the
+    first one, or, before it, after the key's first event."""
     rows = df.filter(F.col(kind).isin(*types)).withColumn("_bit", _flags(kind, types)).withColumn("_t", F.col(ts).cast("timestamp").cast("double"))
     if timeout is not None:
-        begun = rows.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_bit") == CREATIVE, F.col("_t"))), F.min("_t")).alias("_b"))
-        rows = rows.join(begun, list(keys)).filter(F.col("_t") <= F.col("_b") + timeout)
+        begun = rows.groupBy(*keys).agg(F.min(F.when(F.col("_bit") == CREATIVE, F.col("_t"))).alias("_c"), F.min("_t").alias("_b"))
+        since = F.when(F.col("_t") >= F.col("_c"), F.col("_c")).otherwise(F.col("_b"))
+        rows = rows.join(begun, list(keys)).filter(F.when(F.col("_bit") == CREATIVE, F.col("_t") == F.col("_c")).otherwise(F.col("_t") <= since + timeout))
     return rows.groupBy(*keys).agg(F.bit_or("_bit").cast("int").alias("bits"))
 
 

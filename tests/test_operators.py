@@ -28,6 +28,8 @@ def test_counts_and_averages(spark):
     assert spark.sql("SELECT myAverage(salary) FROM pay").first()[0] == 3750.0
     relational.view(pay, "pay_everywhere", everywhere=True)
     assert spark.newSession().sql("SELECT count(*) FROM global_temp.pay_everywhere").first()[0] == 5
+    with pytest.raises(Exception, match="TEMP_TABLE_OR_VIEW_ALREADY_EXISTS"):
+        relational.view(pay, "pay_everywhere", everywhere=True)
     assert relational.total_length(spark.createDataFrame([("ab",), ("",), ("é",)], "c string"), "c").first()[0] == 3
     assert relational.frame(spark, [("a", "b")], "name age").dtypes == [("name", "string"), ("age", "string")]
 
