@@ -17,7 +17,7 @@ from .common import discard, flat, keep_rows, keyed_join, map_arrow, materialize
 #: band with probability (1 - 0.8**5)**32, about 3e-6; a pair at 0.2 shares one with probability 0.01.
 BINS, ROWS = 160, 5
 #: Documents and shingles up to which the sets of a bucket, or of a part of one, are compared in one place.
-UNIT_DOCS, UNIT_SHINGLES = 1024, 1 << 19
+UNIT_DOCS, UNIT_SHINGLES = 512, 1 << 18
 #: Units that one row of requests may name: a document that many units need is read several times.
 UNITS_A_ROW = 1024
 #: Requested sets up to which the requests are broadcast to the texts.
