@@ -19,7 +19,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tab
 
 
 def symbols(text):
-    return [0] * (Q.ORDER - 1) + [int(Q.alphabet()[ord(c)]) for c in text]
+    return [32] * (Q.ORDER - 1) + Q.ALPHABET[np.frombuffer(text.encode("utf-16-le"), dtype="<u2")].tolist()
 
 
 def kneser_ney(texts):
@@ -42,7 +42,7 @@ def kneser_ney(texts):
     def p(gram):
         k = len(gram)
         if not k:
-            return 1 / Q.SYMBOLS
+            return 1 / (len(counts[1]) + 1)
         lower, context = p(gram[1:]), gram[:-1]
         if not totals[k][context]:
             return lower
@@ -53,25 +53,70 @@ def kneser_ney(texts):
     return p
 
 
-def test_model_by_the_book(spark):
+def by_the_book(texts, text):
+    """Perplexity and its lower bound."""
+    p, s = kneser_ney(texts), symbols(text)
+    loss = [-math.log(p(tuple(s[i - Q.ORDER + 1 : i + 1]))) for i in range(Q.ORDER - 1, len(s))]
+    return math.exp(sum(loss) / len(loss)), math.exp(np.mean(loss) - Q.ERRORS * np.std(loss) / math.sqrt(len(loss)))
+
+
+@pytest.mark.parametrize("rows, block", [(2_000_000, 16_000_000), (0, 16_000_000), (0, 300)])
+def test_model_by_the_book(spark, monkeypatch, rows, block):
+    """Every document by the model it is due, broadcast and joined in shards."""
+    monkeypatch.setattr(Q, "MODEL_ROWS", rows)
+    monkeypatch.setattr(Q, "BLOCK_BYTES", block)
     rng = random.Random(2)
-    texts = [prose(rng, 40) for _ in range(12)]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, "Unseen zebra, 77!")], "doc_id long, text string")
-    model = Q.train(docs, spark.range(12).withColumnRenamed("id", "_id"))
-    p = kneser_ney(texts)
-    for r in Q.perplexities(docs, model).collect():
-        s = symbols(r["text"])
-        loss = [-math.log(p(tuple(s[i - Q.ORDER + 1 : i + 1]))) for i in range(Q.ORDER - 1, len(s))]
-        assert r["perplexity"] == pytest.approx(math.exp(sum(loss) / len(loss)), rel=1e-4)
-        assert r["perplexity_low"] == pytest.approx(math.exp(np.mean(loss) - Q.ERRORS * np.std(loss) / math.sqrt(len(loss))), rel=1e-3)
+    texts = [prose(rng, 40) for _ in range(12)] + ["日本語 の 文 です 𝒳𝒴 🎉", "日本語 も 文"]
+    trained = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "_text string, _fold int")
+    model = Q.train(trained)
+    asked = [(i, t, m) for i, t in enumerate([*texts, "Unseen zebra, 77!", "Ж", "", None]) for m in range(3)]
+    got = {(r["doc_id"], r["_model"]): r for r in Q.perplexities(spark.createDataFrame(asked, "doc_id long, text string, _model int"), model).collect()}
+    assert len(got) == len(asked)
+    for i, t, m in asked:
+        r = got[i, m]
+        if not t:
+            assert r["perplexity"] is None and r["perplexity_low"] is None
+            continue
+        plain, low = by_the_book([x for j, x in enumerate(texts) if j % 2 != m], t)
+        assert r["perplexity"] == pytest.approx(plain, rel=1e-4) and r["perplexity_low"] == pytest.approx(low, rel=1e-3)
 
 
 def test_probabilities_sum_to_one(spark):
     rng = random.Random(4)
-    docs = spark.createDataFrame([(i, prose(rng, 60)) for i in range(6)], "doc_id long, text string")
-    table = Q.train(docs, spark.range(6).withColumnRenamed("id", "_id")).select("_order", "_gram", "_p", "_back").toArrow()
-    scores = np.exp(Q.dense(*[table.column(i).to_numpy() for i in range(4)]).astype(np.float64)).reshape(-1, Q.SYMBOLS).sum(axis=1)
-    assert scores == pytest.approx(np.ones(len(scores)), abs=1e-3)
+    texts = [prose(rng, 60) for _ in range(6)]
+    table = Q.train(spark.createDataFrame([(t, 0) for t in texts], "_text string, _fold int")).toArrow()
+    scores = Q.Scores(*(table.column(c).to_numpy().astype(t) for c, t in (("_model", np.int8), ("_order", np.int8), ("_gram", np.uint64), ("_p", np.float64), ("_back", np.float64))))
+    seen = sorted({x for t in texts for x in symbols(t)})
+    for context in ("the", "zzz", "  ", "a z", "日本 "):
+        c = 0
+        for x in symbols(context)[-(Q.ORDER - 1) :]:
+            c = c << 16 | x
+        every = np.array([c << 16 | x for x in [*seen, 0xFFFF]], dtype=np.uint64)
+        assert np.exp(scores(2, every)).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_classify_by_the_book(spark):
+    """Held-out perplexities, quantiles by language and decisions, against the contract read plainly."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 60), "en" if i % 3 else None) for i in range(30)]
+    rows += [(100 + i, "".join(rng.choice("qxzj !#") for _ in range(200)), "en") for i in range(5)] + [(200, prose(rng, 50), "fr"), (201, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    folds = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(Q.FOLDS))).collect()}
+    trusted = {i: t for i, t, _ in rows if i < 24}
+    held = {}
+    for i, t, _ in rows:
+        if t:
+            held[i] = by_the_book([x for j, x in trusted.items() if i not in trusted or folds[j] != folds[i]], t)
+    got = {r["doc_id"]: r for r in Q.classify(docs, spark.range(24).withColumnRenamed("id", "_id"), rejected=0.2).collect()}
+    assert len(got) == len(rows)
+    langs = {i: g for i, _, g in rows}
+    for i, r in got.items():
+        known = sorted(held[j][0] for j in trusted if langs[j] == langs[i] or langs[i] == "fr")
+        limit = known[math.ceil(0.8 * len(known)) - 1] * Q.SLACK
+        assert r["threshold"] == pytest.approx(limit, rel=1e-4)
+        assert r["kept"] == (i in held and held[i][1] <= limit)
+        assert (r["perplexity"] or 0) == pytest.approx(held[i][0] if i in held else 0, rel=1e-4)
+    assert not any(got[i]["kept"] for i in range(100, 105)) and sum(r["kept"] for r in got.values()) >= 24
 
 
 def test_quality_edges(spark, docs, odd, empty, corpus):
