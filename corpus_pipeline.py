@@ -1,7 +1,8 @@
 """Corpus pipeline: quality, exact dedup, near-dedup, source mixing, tokenization.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the
-columns of documents.
+columns of documents.  Empty tables stay empty, columns beyond those of documents are kept as they are, rows that
+repeat an id are documents of their own, very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import bpe, queries
-from sparkloom.llm.common import materialize
+from sparkloom.llm.common import discard, materialize
 from sparkloom.llm.exact_dedup import unique_texts
 from sparkloom.llm.mixing import mixed_documents
 from sparkloom.llm.near_dedup import unique_documents
@@ -17,7 +18,8 @@ from sparkloom.llm.quality import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go, null and empty texts among them; without any trusted label all
+    texts stay."""
     return keep_good(docs, queries.trusted_ids(spark, sf_dir))
 
 
@@ -33,7 +35,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, in the order of its slots; those without words stay once."""
     return mixed_documents(docs)
 
 
@@ -49,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what a stage has written goes as soon as the next one has."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Parts of a table in id order, at most: at 100 TB a part has some 5 GB, which its task streams in sorted order.
+MOST_PARTS = 20_000
+
 
 def cut_points(ids: DataFrame, id: str, parts: int) -> list[int]:
     """At most ``parts`` - 1 ids that cut the table into parts of about the same number of rows."""
@@ -29,5 +32,6 @@ def shard_of(id: str | Column, cuts: list[int]) -> Column:
 
 
 def input_parts(df: DataFrame) -> int:
-    """The number of partitions in which Spark reads the table: it follows the size of the input."""
-    return max(1, df.rdd.getNumPartitions())
+    """The number of partitions in which Spark reads the table, which follows the size of the input, up to a bound that
+    keeps shuffles of every part to every part possible."""
+    return min(max(1, df.rdd.getNumPartitions()), MOST_PARTS)
