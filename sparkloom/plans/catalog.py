@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
@@ -620,31 +620,30 @@ def stream_log_types(spark, d):
     return logs.drain(logs.log_type_counts(_events(spark, d).select(line.alias("value"))))
 
 
-def _daily(spark: SparkSession, d: str, rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A stream that brings the events one day a micro-batch, as ``rows`` shapes them."""
-    path, shaped = _dir(spark), rows(_t(spark, d, "events"))
-    days = sorted(r[0] for r in _t(spark, d, "events").select(F.to_date("ts").alias("day")).distinct().collect())  # a month of days at most
-    for i, day in enumerate(days):
-        part = f"{path}/{i:05d}"
-        shaped.filter(F.col("day") == F.lit(day)).coalesce(1).write.parquet(part)
+def _by_period(spark: SparkSession, d: str, value: Column) -> DataFrame:
+    """A stream that brings the events in micro-batches of five days of the month each, as (period, value)."""
+    path = _dir(spark)
+    shaped = _t(spark, d, "events").select(F.floor((F.dayofmonth("ts") - 1) / 5).alias("period"), value.alias("value"))
+    shaped.withColumn("_p", F.col("period")).repartition("_p").write.partitionBy("_p").parquet(path)
     return spark.readStream.schema(shaped.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
 
 
-@_add("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS word, count(*) AS count FROM events GROUP BY 1, 2")
+def _with_period(counts: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Counts of a micro-batch with its period."""
+    return lambda batch: counts(batch).join(F.broadcast(batch.agg(F.max("period").alias("period"))))
+
+
+@_add("SELECT CAST((day(ts) - 1) // 5 AS BIGINT) AS period, event_type AS word, count(*) AS count FROM events GROUP BY 1, 2")
 def batch_word_counts(spark, d):
-    """Each micro-batch, a day here, is counted on its own."""
-    stream = _daily(spark, d, lambda e: e.select(F.to_date("ts").alias("day"), F.col("event_type").alias("value")))
-    counted = logs.batch_counts(stream, lambda b: logs.word_counts(b).join(F.broadcast(b.agg(F.max("day").alias("day")))))
-    return counted.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "word", "count")
+    """Each micro-batch is counted on its own."""
+    return logs.batch_counts(_by_period(spark, d, F.col("event_type")), _with_period(logs.word_counts)).drop("batch")
 
 
-@_add("SELECT strftime(ts, '%Y-%m-%d') AS day, CASE event_type WHEN 'view' THEN 'f5' WHEN 'click' THEN CAST(user_id % 5 AS VARCHAR) ELSE '' END AS key, count(*) AS count FROM events GROUP BY 1, 2")
+@_add("SELECT CAST((day(ts) - 1) // 5 AS BIGINT) AS period, CASE event_type WHEN 'view' THEN 'f5' WHEN 'click' THEN CAST(user_id % 5 AS VARCHAR) ELSE '' END AS key, count(*) AS count FROM events GROUP BY 1, 2")
 def batch_log_types(spark, d):
     kind = F.when(F.col("event_type") == "view", "dpc_js").when(F.col("event_type") == "click", "dpc_visit").otherwise("other")
     line = F.concat_ws("\x01", kind, (F.col("user_id") % 5).cast("string"), F.lit("a"), F.lit("b"), F.lit("c"), F.lit("f5"))
-    stream = _daily(spark, d, lambda e: e.select(F.to_date("ts").alias("day"), line.alias("value")))
-    counted = logs.batch_counts(stream, lambda b: logs.log_type_counts(b).join(F.broadcast(b.agg(F.max("day").alias("day")))))
-    return counted.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "key", "count")
+    return logs.batch_counts(_by_period(spark, d, line), _with_period(logs.log_type_counts)).drop("batch")
 
 
 @_add("SELECT event_type, row_number() OVER (PARTITION BY event_type) + CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 10 ELSE 0 END AS total FROM events")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import basket, cooccur, graph, joins, ordering, relational, tagging
 
+# The inputs of the golden fixtures (FIXTURES.md); the results that tests below expect of them are fixed too.
 SERIES = [r.split(",") for r in "x,2,9 y,2,5 x,1,3 y,1,7 y,3,1 x,3,6 z,1,4 z,2,8 z,3,7 z,4,0 p,1,10 p,3,60 p,4,40 p,6,20".split()]
 USERS = [("u1", "UT"), ("u2", "GA"), ("u3", "GA"), ("u4", "CA"), ("u5", "GA")]
 SALES = [("t1", "p3", "u1"), ("t2", "p1", "u2"), ("t3", "p1", "u1"), ("t4", "p2", "u2"), ("t5", "p4", "u4"), ("t6", "p1", "u1"), ("t7", "p4", "u1"), ("t8", "p4", "u5")]
