@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,33 @@ def test_checkpoint_goes_on(spark, tmp_path):
     assert seen == [(0, 1)]
     with pytest.raises(Exception, match="(?i)path"):
         spark.read.parquet(str(tmp_path / "none")).count()
+
+
+def test_empty_stream(spark, tmp_path):
+    schema = "value string"
+    (tmp_path / "none").mkdir()
+    stream = spark.readStream.schema(schema).text(str(tmp_path / "none"))
+    assert logs.drain(logs.word_counts(stream)).collect() == []
+    assert logs.batch_counts(stream, logs.word_counts).columns == ["word", "count", "batch"]
+
+
+def test_each_batch_and_each_row(spark, tmp_path):
+    for i, words in enumerate((["a", "b", "a"], ["a"])):
+        spark.createDataFrame([(w,) for w in words], "value string").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = sorted(tuple(r) for r in logs.batch_counts(stream, logs.word_counts).select("word", "count").collect())
+    assert got == [("a", 1), ("a", 2), ("b", 1)]
+    totals = sorted(tuple(r) for r in logs.drain(state.cumulative_counts(stream, "value", {"a": 5}, each_row=True), "update").collect())
+    assert totals == [("a", 6), ("a", 7), ("a", 8), ("b", 1)]
+
+
+def test_idle_keys_leave_the_state(spark, tmp_path):
+    """The watermark has passed the first key's event by days when a batch without it comes, so it starts anew."""
+    for i, (user, day, kind) in enumerate(((1, 1, "view"), (2, 9, "view"), (3, 15, "view"), (1, 20, "click"))):
+        spark.sql(f"SELECT {user}L AS u, timestamp'2024-01-{day:02d} 00:00:00' AS ts, '{kind}' AS k").coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+        os.utime(next((tmp_path / "in" / f"{i}").glob("*.parquet")), (1000 + i * 100, 1000 + i * 100))
+    stream = spark.readStream.schema("u long, ts timestamp, k string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = sorted(tuple(r) for r in logs.drain(state.funnel_steps(stream, ["u"], "ts", "k", ["view", "click"], tolerance=1e9), "update").collect())
+    assert got == [(1, 1), (2, 1), (3, 1)]
+    kept = sorted(tuple(r) for r in logs.drain(state.funnel_steps(stream, ["u"], "ts", "k", ["view", "click"], tolerance=1e9, idle=None), "update").collect())
+    assert kept == [(1, 1), (1, 2), (2, 1), (3, 1)]
