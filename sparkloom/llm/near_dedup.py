@@ -293,7 +293,7 @@ def near_groups(docs: DataFrame, id: str, text: str, words: int, share: int) ->
         if more.limit(1).count():
             roots = named(materialize(links.unionByName(more).distinct(), "links"))
     discard(buckets, places)
-    out = salted_join(signed.select("_id", "_row", "_n", "_set"), roots, ["_set"], "_row", "left")
+    out = salted_join(signed.select("_id", "_row", "_n", "_set"), roots, ["_set"], "_id", "left")
     return out.select("_id", "_row", "_n", F.when(F.col("_id").isNotNull(), F.coalesce("_root", "_set")).alias("_root"))
 
 
@@ -314,7 +314,7 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     """
     rows = materialize(near_groups(docs, id, text, words, share), "groups")
     least = rows.filter("_root IS NOT NULL").groupBy("_root").agg(F.min("_id").alias("_least"))
-    out = salted_join(rows, least, ["_root"], "_row", "left")
+    out = salted_join(rows, least, ["_root"], "_id", "left")
     component = F.coalesce("_least", "_id")
     return out.select(F.col("_id").alias(id), F.col("_n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 
@@ -324,5 +324,5 @@ def unique_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", wo
     repeat it, the one with the least hash of its text).  Rows without a shingle or an id stay all."""
     rows = materialize(near_groups(docs, id, text, words, share).filter("_root IS NOT NULL"), "groups")
     best = rows.groupBy("_root").agg(F.min(F.struct("_id", "_row")).alias("_best"), F.count("*").alias("_m")).filter("_m > 1").select("_root", "_best")
-    marked = materialize(salted_join(rows, best, ["_root"], "_row").select("_id", "_row", (F.struct("_id", "_row") == F.col("_best")).alias("_stays")), "marked")
+    marked = materialize(salted_join(rows, best, ["_root"], "_id").select("_id", "_row", (F.struct("_id", "_row") == F.col("_best")).alias("_stays")), "marked")
     return keep_rows(docs, marked.filter("NOT _stays").select("_id", "_row"), marked.filter("_stays").select("_id", "_row"), id, text)
