@@ -19,7 +19,7 @@ from .common import KERNEL_BYTES, map_arrow, prepare_workers
 #: Words whose ids a worker keeps; beyond, it starts anew, so memory is bounded whatever the vocabulary of the texts.
 CACHED_WORDS = 500_000
 #: Words that are kept aside before they are merged into the cache.
-RECENT_WORDS = 50_000
+RECENT_WORDS = 20_000
 _SHIFT = 32
 _NONE = np.int64(1 << 40)
 
@@ -57,7 +57,6 @@ class Splitter:
 
     def __init__(self, spec: dict, tables: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         """``tables``: class and agreement of each code point, if they are known already (they take seconds)."""
-        from tokenizers import Tokenizer
 
         steps, cut = spec["normalizer"]["normalizers"], spec["pre_tokenizer"]["pretokenizers"]
         if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or cut[0]["pattern"] != {"Regex": PATTERN}:
@@ -66,9 +65,19 @@ class Splitter:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         self.kind = tables[0] if tables else _classes()
         self.symbol = kernels.mix(np.arange(0x110000, dtype=np.uint64) + np.uint64(1))
-        self.library = Tokenizer.from_str(json.dumps(spec)).normalizer.normalize_str
+        self._steps: Callable[[str], str] | None = None
+        self._wanted = spec["normalizer"]
         self.agreed = tables[1] if tables else self._agreed()
 
+    def library(self, text: str) -> str:
+        """The text as the library normalizes it, by a tokenizer without vocabulary that is made when first needed."""
+        if self._steps is None:
+            from tokenizers import Tokenizer
+
+            bare = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": self._wanted, "pre_tokenizer": None, "post_processor": None, "decoder": None}
+            self._steps = Tokenizer.from_str(json.dumps(bare | {"model": {"type": "BPE", "vocab": {}, "merges": []}})).normalizer.normalize_str
+        return self._steps(text)
+
     def _agreed(self) -> np.ndarray:
         """Code points that Python's tables and the library's normalize alike: alone, decomposed and, if they are
         marks, among other marks.  Texts with any other go through the library."""
