@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,10 +111,11 @@ def _from(least: Column):
 
 def funnel_bits(df: DataFrame, keys: Sequence[str], ts: str, kind: str, types: Sequence[str], timeout: int = TIMEOUT, delay: str = "10 seconds") -> DataFrame:
     """Stream: (keys, bits, delta) whenever events set bits that a key hadn't; each of creative, show and click counts
-    once, in any order.  State goes ``timeout`` seconds of event time after the creative (or the first event)."""
+    once, in any order.  State goes ``timeout`` seconds of event time after the creative (or the first event).  A key's
+    events of one micro-batch count in the order of their times, whatever the pieces in which they reach the worker."""
     ship(df.sparkSession)
     flag = _flags(kind, types)
-    rows = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).filter(F.col(kind).isin(*types)).select(*keys, ts, flag.alias("_bit"))
+    rows = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).filter(F.col(kind).isin(*types)).select(*keys, ts, F.col(ts).cast("double").alias("_t"), flag.alias("_bit"))
 
     def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -121,11 +123,13 @@ def funnel_bits(df: DataFrame, keys: Sequence[str], ts: str, kind: str, types: S
             return
         bits, begun = state.get if state.exists else (0, None)
         before = bits
-        for b in batches:
-            for t, bit in sorted(zip(b[ts].map(pd.Timestamp.timestamp), b["_bit"], strict=True)):
-                begun = t if begun is None or bit == CREATIVE and not bits & CREATIVE else begun
-                if t <= begun + timeout:
-                    bits |= int(bit)
+        pieces = [(b["_t"].to_numpy(), b["_bit"].to_numpy()) for b in batches]
+        times, flags = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        order = np.lexsort((flags, times))
+        for t, bit in zip(times[order], flags[order], strict=True):
+            begun = float(t) if begun is None or bit == CREATIVE and not bits & CREATIVE else begun
+            if t <= begun + timeout:
+                bits |= int(bit)
         state.update((bits, begun))
         state.setTimeoutTimestamp(max(int((begun + timeout) * 1000), state.getCurrentWatermarkMs() + 1))
         if bits != before:

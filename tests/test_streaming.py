@@ -94,6 +94,20 @@ def test_bits(spark, tmp_path):
     assert rows(counters) == [("odd", 0, 1), ("slow", 0, 0), ("whole", 1, 1)]
 
 
+def test_bits_of_a_key_that_comes_in_pieces(spark, tmp_path):
+    """Spark hands a key's rows to Python in pieces; the later ones may hold the earlier events."""
+    df = events(spark, [("k", 500.0, TYPES[2]), ("k", 400.0, TYPES[0]), ("k", 90.0, TYPES[1]), ("k", 0.0, TYPES[0]), ("k", 30.0, TYPES[2])]).coalesce(1)
+    stream = as_stream(spark, df, tmp_path / "p")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        got = rows(logs.drain(state.funnel_bits(stream, ["k"], "ts", "kind", TYPES, 60, "10 minutes"), "update").groupBy("k").agg(F.bit_or("bits")))
+    finally:
+        spark.conf.set(key, usual)
+    assert got == rows(state.funnel_bits_batch(df, ["k"], "ts", "kind", TYPES, 60)) == [("k", 5)]
+
+
 def test_checkpoint_goes_on(spark, tmp_path):
     seen = []
     df = spark.createDataFrame([("a",)], "w string")
