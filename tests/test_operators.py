@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -113,6 +114,35 @@ def test_common_friends(spark):
     assert {(r["a"], r["b"]): r["common"] for r in graph.common_friends(df, single_is_empty=False).collect()} == got
 
 
+@pytest.mark.parametrize(("kind", "single"), [("long", True), ("long", False), ("string", True), ("string", False)])
+def test_common_friends_in_cells(spark, monkeypatch, kind, single):
+    """Random lists, some of them one-sided, of one friend, of oneself or of nobody, over many small cells."""
+    monkeypatch.setattr(graph, "CELL_ENTRIES", 150)
+    draw = random.Random(5)
+    lists = {p: sorted(draw.sample(range(-3, 40), draw.choice([0, 1, 1, 6, 14]))) for p in range(-2, 38)}
+    for p, fs in list(lists.items()):
+        for f in fs[::2]:
+            if f in lists and p not in lists[f]:
+                lists[f].append(p)
+    as_kind = int if kind == "long" else str
+    df = spark.createDataFrame([(as_kind(p), [as_kind(f) for f in fs]) for p, fs in lists.items()], f"person {kind}, friends array<{kind}>")
+    given = {p: set() if single and len(fs) == 1 else set(map(as_kind, fs)) for p, fs in lists.items()}
+    expected = {}
+    for p, fs in lists.items():
+        for f in fs:
+            both = p in lists.get(f, ()) and p != f
+            expected[tuple(sorted((as_kind(p), as_kind(f))))] = sorted(given[p] & given[f] if both else given[p])
+    got = [(r["a"], r["b"], r["common"]) for r in graph.common_friends(df, single).collect()]
+    assert sorted(got) == sorted((*k, v) for k, v in expected.items())
+
+
+def test_common_friends_moves_lists_not_pairs(spark):
+    """A join of pairs and list entries makes a row of each friend that each pair walks."""
+    plan = graph.common_friends(spark.createDataFrame([(1, [2]), (2, [1])], "person long, friends array<long>"))._jdf.queryExecution().toString()
+    assert "Join" not in plan
+    assert "explode" not in plan
+
+
 def test_relative_frequency(spark):
     got = {(r["word"], r["neighbour"]): r["frequency"] for r in cooccur.relative_frequency(spark.createDataFrame([("a b a c",), ("alone",)], "t string"), "t", 2).collect()}
     assert got == pytest.approx({("a", "a"): 2 / 5, ("a", "b"): 2 / 5, ("a", "c"): 1 / 5, ("b", "a"): 2 / 3, ("b", "c"): 1 / 3, ("c", "a"): 1 / 2, ("c", "b"): 1 / 2})
