@@ -168,6 +168,20 @@ def test_chain_uses_earlier_categories():
     assert 5 in chain.links[0].words.tolist()
 
 
+def test_fit_sees_all_words_and_rows(spark, monkeypatch):
+    """The telling word is among 1,200 of its text, beyond any bound on words, and every labelled row takes part."""
+    seen = {}
+    fit = T.fit_chain
+    monkeypatch.setattr(T, "fit_chain", lambda doc, word, y, *rest: seen.update(rows=len(y)) or fit(doc, word, y, *rest))
+    long = " ".join(f"w{i}" for i in range(3_000))
+    for telling in ("vile", "rotten", "nasty", "foul"):
+        docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit(long), F.when(F.col("id") % 2 == 1, f" {telling}").otherwise("")).alias("text"))
+        labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+        chain = T.train_chain(docs, labels, ["toxic"])
+        assert len(chain.links[0].words) == 1 and seen["rows"] == 60
+        assert T.score(docs, chain).filter("is_toxic <> (doc_id % 2 = 1)").count() == 0
+
+
 def test_toxicity_edges(spark, docs, odd, empty):
     labels = spark.createDataFrame([(1, 0), (4, 1), (7, 0), (10, None)], "doc_id long, toxic int")
     chain = T.train_chain(docs, labels, ["toxic"])
