@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -143,6 +144,23 @@ def test_common_friends_moves_lists_not_pairs(spark):
     assert "explode" not in plan
 
 
+@pytest.mark.parametrize("texts", [[str(i * 37 % 9_000_000) for i in range(5000)], [""], ["", "\0", "\0\0", "a", "a\0"], ["é", "日本", "zz", "🎉"], ["a", "b" * 100_000, "c"] + [f"d{i}" for i in range(500)]])
+def test_packed_lists_come_back(texts):
+    for kind in (pa.string(), pa.large_string()):
+        ids = pa.array(["before", *sorted(texts), "after"], kind).slice(1, len(texts))
+        assert graph._unpack(graph._pack(ids), kind).equals(ids)
+
+
+def test_packed_lists_are_small():
+    """A list crosses the shuffle once for each block it touches; as text it takes about what its numbers take."""
+    draw = random.Random(2)
+    ids = draw.sample(range(1_000_000, 1_015_000), 1500)
+    numbers, texts = pa.array(sorted(ids)), pa.array(sorted(map(str, ids)))
+    assert graph._unpack(graph._pack(numbers), pa.int64()).equals(numbers)
+    assert len(graph._pack(numbers)) < len(ids)
+    assert len(graph._pack(texts)) < 1.5 * len(ids)
+
+
 def test_relative_frequency(spark):
     got = {(r["word"], r["neighbour"]): r["frequency"] for r in cooccur.relative_frequency(spark.createDataFrame([("a b a c",), ("alone",)], "t string"), "t", 2).collect()}
     assert got == pytest.approx({("a", "a"): 2 / 5, ("a", "b"): 2 / 5, ("a", "c"): 1 / 5, ("b", "a"): 2 / 3, ("b", "c"): 1 / 3, ("c", "a"): 1 / 2, ("c", "b"): 1 / 2})
