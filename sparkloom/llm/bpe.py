@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from . import kernels
 from .common import KERNEL_BYTES, map_arrow, prepare_workers
 
-#: Words whose ids a worker keeps; beyond, it starts anew, so memory is bounded whatever the vocabulary of the texts.
-CACHED_WORDS = 500_000
+#: Words whose ids a worker keeps, and their characters in all; beyond, those that came once go, so memory is bounded
+#: whatever the vocabulary of the texts.
+CACHED_WORDS, CACHED_POINTS = 1_000_000, 1 << 24
 #: Words that are kept aside before they are merged into the cache.
-RECENT_WORDS = 20_000
+RECENT_WORDS = 50_000
 _SHIFT = 32
 _NONE = np.int64(1 << 40)
 
@@ -162,8 +163,8 @@ class BatchBPE:
         self.keys, self.rank = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
 
-    def __call__(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as little-endian unsigned 32-bit integers."""
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words end to end, and how many each word has."""
         raw = [w.encode() for w in words]
         lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -195,12 +196,9 @@ class BatchBPE:
                 keep[places + 1] = False
                 symbols, word = symbols[keep], word[keep]
         if not done:
-            return [b""] * len(raw)
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(raw), dtype=np.int64)
         word, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(word, kind="stable")
-        flat = symbols[order].astype("<u4").tobytes()
-        bounds = np.r_[0, np.cumsum(np.bincount(word, minlength=len(raw)))] * 4
-        return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return symbols[np.argsort(word, kind="stable")].astype(np.uint32), np.bincount(word, minlength=len(raw))
 
 
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -209,66 +207,97 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)
 
 
+def _bounds(ids_from: int, ids: np.ndarray, points_from: int, points: np.ndarray) -> np.ndarray:
+    """Begins and ends of words whose ids and characters lie end to end."""
+    a, b = ids_from + np.cumsum(ids), points_from + np.cumsum(points)
+    return np.stack([a - ids, a, b - points, b], axis=1).astype(np.int32)
+
+
+class Pool:
+    """Numbers end to end in an array with room at its end."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.data, self.size = values, len(values)
+
+    def add(self, values: np.ndarray) -> int:
+        """Where they begin."""
+        begin, self.size = self.size, self.size + len(values)
+        if self.size > len(self.data):
+            grown = np.zeros(self.size + self.size // 4, dtype=np.uint32)
+            grown[:begin] = self.data[:begin]
+            self.data = grown
+        self.data[begin : self.size] = values
+        return begin
+
+
+class Words:
+    """Sorted word hashes, where their ids and their characters begin and end, and which were asked for again."""
+
+    def __init__(self, keys: np.ndarray, bounds: np.ndarray, again: np.ndarray) -> None:
+        self.keys, self.bounds, self.again = keys, bounds, again
+
+    @classmethod
+    def none(cls) -> Words:
+        return cls(np.zeros(0, np.uint64), np.zeros((0, 4), np.int32), np.zeros(0, bool))
+
+    def joined(self, more: Words) -> Words:
+        keys = np.concatenate([self.keys, more.keys])
+        order = np.argsort(keys, kind="stable")  # of two sorted runs: a merge
+        return Words(keys[order], np.concatenate([self.bounds, more.bounds])[order], np.concatenate([self.again, more.again])[order])
+
+
 class Encoder:
     """Texts to ids.  Words are found by 64-bit hashes and then compared in full; those that are new are encoded
     together by ``encode_words``, the others come from a bounded cache, and ids are gathered for all texts at once."""
 
-    def __init__(self, spec: dict, encode_words: Callable[[list[str]], list[bytes]], tables: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+    def __init__(self, spec: dict, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], tables: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.split, self.encode_words = Splitter(spec, tables), encode_words
-        self.recent: dict[int, tuple[bytes, str]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        """The cache is flat arrays: sorted word hashes, where their ids and their characters begin and end, the ids
-        and the characters."""
-        self.keys, self.bounds = np.zeros(0, np.uint64), np.zeros((0, 4), np.int32)
-        self.flat, self.points = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.cached, self.recent = Words.none(), Words.none()
+        self.flat, self.points = Pool(np.zeros(0, np.uint32)), Pool(np.zeros(0, np.uint32))
 
     def _settle(self) -> None:
-        """Merges the words learned lately into the arrays."""
-        if len(self.keys) + len(self.recent) > CACHED_WORDS:
-            self._forget()
-        keys, bounds = [self.keys, np.fromiter(self.recent, dtype=np.uint64, count=len(self.recent))], []
-        for had, new in ((self.flat, [x for x, _ in self.recent.values()]), (self.points, [w.encode("utf-32-le", "surrogatepass") for _, w in self.recent.values()])):
-            sizes = np.fromiter(map(len, new), dtype=np.int64, count=len(new)) // 4
-            ends = len(had) + np.cumsum(sizes)
-            bounds += [ends - sizes, ends]
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(x for x, _ in self.recent.values()), dtype="<u4")])
-        self.points = np.concatenate([self.points, np.frombuffer("".join(w for _, w in self.recent.values()).encode("utf-32-le", "surrogatepass"), dtype="<u4")])
-        self.keys, merged = np.concatenate(keys), np.concatenate([self.bounds, np.stack(bounds, axis=1).astype(np.int32)])
-        order = np.argsort(self.keys)
-        self.keys, self.bounds = self.keys[order], merged[order]
-        self.recent.clear()
+        """Merges the words learned lately into the cache.  Where it gets too large, the words that were not asked for
+        again go, or all, if that leaves more than half."""
+        self.cached, self.recent = self.cached.joined(self.recent), Words.none()
+        if len(self.cached.keys) <= CACHED_WORDS and self.points.size <= CACHED_POINTS:
+            return
+        again = self.cached.again
+        keys, bounds = self.cached.keys[again], self.cached.bounds[again].astype(np.int64)
+        ids, points = bounds[:, 1] - bounds[:, 0], bounds[:, 3] - bounds[:, 2]
+        if 2 * len(keys) > CACHED_WORDS or 2 * points.sum() > CACHED_POINTS:
+            return self._forget()
+        self.flat, self.points = Pool(self.flat.data[spans(bounds[:, 0], ids)]), Pool(self.points.data[spans(bounds[:, 2], points)])
+        self.cached = Words(keys, _bounds(0, ids, 0, points), np.zeros(len(keys), bool))
 
     def _ids(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, words: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """Ids of the distinct words with the hashes ``keys``: an array that holds them, where each word's begin and
-        how many they are.  ``words`` gives the words at some places of ``keys``.  None if a hash stands for another
-        word in the cache."""
-        begin, sizes = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-        known = np.zeros(len(keys), dtype=bool)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            known = self.keys[at] == keys
-            bounds = self.bounds[at[known]].astype(np.int64)
-            begin[known], sizes[known] = bounds[:, 0], bounds[:, 1] - bounds[:, 0]
-            of = lengths[known]
-            if (bounds[:, 3] - bounds[:, 2] != of).any() or (self.points[spans(bounds[:, 2], of)] != points[spans(starts[known], of)]).any():
-                return None
-        rest = np.flatnonzero(~known)
-        names, spelled = keys[rest].tolist(), words(rest)
-        new = [(x, w) for x, w in zip(names, spelled, strict=True) if x not in self.recent]
-        if new:
-            coded = self.encode_words([w for _, w in new])
-            self.recent.update((x, (ids, w)) for (x, w), ids in zip(new, coded, strict=True))
-        found = [self.recent[x] for x in names]
-        if any(w != own for (_, w), own in zip(found, spelled, strict=True)):
+        """Ids of the distinct words with the hashes ``keys``, in their order: an array that holds them, where each
+        word's begin and how many they are.  ``words`` gives the words at some places of ``keys``.  None if a hash
+        stands for another word in the cache."""
+        bounds, known = np.zeros((len(keys), 4), dtype=np.int32), np.zeros(len(keys), dtype=bool)
+        for had in (self.cached, self.recent):
+            if len(had.keys):
+                at = np.minimum(np.searchsorted(had.keys, keys), len(had.keys) - 1)
+                hit = had.keys[at] == keys
+                at = at[hit]
+                bounds[hit], had.again[at] = had.bounds[at], True
+                known |= hit
+        of, spelled = lengths[known], bounds[known].astype(np.int64)
+        if (spelled[:, 3] - spelled[:, 2] != of).any() or (self.points.data[spans(spelled[:, 2], of)] != points[spans(starts[known], of)]).any():
             return None
-        sizes[rest] = np.fromiter((len(x) for x, _ in found), dtype=np.int64, count=len(found)) // 4
-        begin[rest] = len(self.flat) + np.cumsum(sizes[rest]) - sizes[rest]
-        out = np.concatenate([self.flat, np.frombuffer(b"".join(x for x, _ in found), dtype="<u4")]) if found else self.flat
-        if len(self.recent) > RECENT_WORDS:
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            ids, sizes = self.encode_words(words(rest))
+            own = lengths[rest]
+            bounds[rest] = _bounds(self.flat.add(ids), sizes, self.points.add(points[spans(starts[rest], own)]), own)
+            self.recent = self.recent.joined(Words(keys[rest], bounds[rest], np.zeros(len(rest), bool)))
+        out = self.flat.data
+        if len(self.recent.keys) > RECENT_WORDS or self.points.size > CACHED_POINTS:
             self._settle()
-        return out, begin, sizes
+        begin = bounds[:, 0].astype(np.int64)
+        return out, begin, bounds[:, 1] - begin
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         joined, points, starts, ends, first = self.split.words(self.split.normalized(texts))
@@ -286,9 +315,8 @@ class Encoder:
             listed = spell(np.arange(len(starts)))
             place = {w: i for i, w in enumerate(dict.fromkeys(listed))}
             which = np.fromiter(map(place.__getitem__, listed), dtype=np.int64, count=len(listed))
-            coded = self.encode_words(list(place))
-            sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
-            known = np.frombuffer(b"".join(coded), dtype="<u4"), np.cumsum(sizes) - sizes, sizes
+            coded, sizes = self.encode_words(list(place))
+            known = coded, np.cumsum(sizes) - sizes, sizes
         flat, begin, sizes = known
         of_word = sizes[which]
         ids = flat[spans(begin[which], of_word)].tobytes()

@@ -38,7 +38,8 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 class Grammar:
     """Re-Pair over documents that lie one after the other: frequent pairs of symbols give way to new symbols, round
-    by round.  No pair reaches over the end of a document, so each can be read alone."""
+    by round.  No pair reaches over the end of a document, so each can be read alone.  After the first round only the
+    places where a frequent pair is left or a new symbol stands are counted again."""
 
     def __init__(self, base: int, rules: np.ndarray, lengths: np.ndarray, sequence: np.ndarray, places: np.ndarray) -> None:
         self.base, self.rules, self.lengths, self.sequence, self.places = base, rules, lengths, sequence, places
@@ -56,12 +57,14 @@ class Grammar:
         sequence, places = ids.astype(narrow), places.astype(np.int64)
         rules: list[np.ndarray] = []
         count = 0
-        while len(sequence) > 1 and count < limit:
-            keys = sequence[:-1].astype(double) << double(shift) | sequence[1:]
-            inside = np.ones(len(keys), dtype=bool)
-            inside[places[(places > 0) & (places < len(sequence))] - 1] = False
-            ordered = np.sort(keys[inside])
-            starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        live = np.ones(len(sequence), dtype=bool)  # places of pairs that may be frequent
+        while count < limit:
+            live[-1:] = False
+            live[places[(places > 0) & (places < len(sequence))] - 1] = False
+            at = np.flatnonzero(live)
+            keys = sequence[at].astype(double) << double(shift) | sequence[at + 1]
+            ordered = np.sort(keys)
+            starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else at
             counts = np.diff(np.r_[starts, len(ordered)])
             often = counts >= min_count
             if not often.any():
@@ -69,21 +72,30 @@ class Grammar:
             pairs, counts = ordered[starts[often]], counts[often]
             chosen = cls._choose(pairs[np.argsort(-counts, kind="stable")], shift, limit - count)
             chosen.sort()
+            rule = np.full(len(pairs), -1)
+            rule[np.searchsorted(pairs, chosen)] = np.arange(len(chosen))
             # a table of bits thins out the places that need a binary search
             seen = np.zeros(1 << 22, dtype=bool)
-            seen[_slot(chosen)] = True
-            hits = np.flatnonzero(seen[_slot(keys)] & inside)
-            at = np.minimum(np.searchsorted(chosen, keys[hits]), len(chosen) - 1)
-            true = chosen[at] == keys[hits]
-            hits, at = hits[true], at[true]
+            seen[_slot(pairs)] = True
+            maybe = np.flatnonzero(seen[_slot(keys)])
+            keys, at = keys[maybe], at[maybe]
+            pair = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+            true = pairs[pair] == keys
+            at, pair = at[true], rule[pair[true]]
+            hits, new = at[pair >= 0], pair[pair >= 0]
             first = np.maximum.accumulate(np.where(np.r_[True, np.diff(hits) > 1], hits, 0))
             apart = (hits - first) % 2 == 0  # places of a doubled symbol may overlap: every other one
-            hits, at = hits[apart], at[apart]
-            sequence[hits] = (base + count + at).astype(narrow)
+            hits, new = hits[apart], new[apart]
+            sequence[hits] = (base + count + new).astype(narrow)
             keep = np.ones(len(sequence), dtype=bool)
             keep[hits + 1] = False
             places = np.r_[0, np.cumsum(keep)][places]
-            sequence = sequence[keep]
+            # a pair of older symbols gets no new places: only frequent ones stay, and those beside a new symbol come
+            live, fresh = np.zeros((2, len(sequence)), dtype=bool)
+            live[at], fresh[hits] = True, True
+            sequence, live, fresh = sequence[keep], live[keep], fresh[keep]
+            live |= fresh
+            live[:-1] |= fresh[1:]
             rules.append(np.stack([chosen >> double(shift), chosen & double((1 << shift) - 1)], axis=1))
             count += len(chosen)
         table = np.concatenate(rules).astype(np.int64) if rules else np.zeros((0, 2), dtype=np.int64)
@@ -166,24 +178,44 @@ class Grammar:
         return cls(row["code_base"], read("rules", code).astype(np.int64).reshape(-1, 2), read("lengths", "<u4").astype(np.int64), read("sequence", code), read("places", "<u8").astype(np.int64))
 
 
+#: Words that one call of the library's encoder takes as a text.
+WORDS_A_TEXT = 200
+
+
 def _library_words(spec: dict):
-    """Words through the tokenizers library; they come normalized and cut already."""
+    """Words through the tokenizers library; they come normalized and cut already, and go as texts of many words with
+    blanks between, as no word has one.  The last id of a word, and no other, has the end-of-word suffix: that tells the
+    words apart.  Where the number of such ids is not that of the words, they go one by one."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+    vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+    last = np.zeros(1 + max(max(vocab.values()), *(x["id"] for x in spec["added_tokens"])), dtype=bool)
+    together = bool(suffix) and not any(" " in x["content"] for x in spec["added_tokens"])
+    if together:
+        last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
     tokenizer = Tokenizer.from_str(json.dumps(spec))
     tokenizer.normalizer = normalizers.Sequence([])
-    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def ids_of(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if together and words:
+            ids = np.concatenate(ids_of([" ".join(words[i : i + WORDS_A_TEXT]) for i in range(0, len(words), WORDS_A_TEXT)]))
+            ends = np.flatnonzero(last[ids])
+            if len(ends) == len(words) and ends[-1] == len(ids) - 1:
+                return ids, np.diff(ends, prepend=-1)
+        single = ids_of(words)
+        return np.concatenate([np.zeros(0, np.uint32), *single]), np.fromiter(map(len, single), dtype=np.int64, count=len(single))
 
     return encode
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, id: str = "doc_id", text: str = "text", end_id: int = 2, block_ids: int = BLOCK_IDS) -> None:
     """Encodes every whole text with the tokenizers library, word by word (a word's ids don't depend on its
-    neighbours, so each distinct word is encoded once a worker), appends ``end_id`` to each document and writes
+    neighbours, so a worker encodes a word once while its cache has it), appends ``end_id`` to each document and writes
     Re-Pair blocks in ascending id order to the folder ``path``.
 
     Texts are encoded where they are read; only ids travel.  Null texts have the end id alone; null ids come first;

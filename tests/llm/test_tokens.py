@@ -96,6 +96,74 @@ def test_bounded_cache(own, library, monkeypatch):
         assert ids_of(encoder([text])[0]) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_cache_keeps_words_that_come_again(library, monkeypatch):
+    """Beyond its bound the cache loses the words that came once; those that came again are not encoded anew."""
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 12)
+    monkeypatch.setattr(bpe, "RECENT_WORDS", 3)
+    spec = json.load(open(PATH))
+    encode, asked = bpe.BatchBPE(spec), []
+    encoder = bpe.Encoder(spec, lambda words: (asked.extend(words), encode(words))[1])
+    for i in range(60):
+        text = f"often also {'xyz'[i % 3]}{'abcdefghijklmnopqrst'[i % 20] * (i + 1)} é{'q' * i}"
+        assert ids_of(encoder([text])[0]) == library.encode(text, add_special_tokens=False).ids
+        assert len(encoder.cached.keys) <= 12 and len(encoder.recent.keys) <= 3
+    assert asked.count("often") == asked.count("also") == 1
+    monkeypatch.setattr(bpe, "CACHED_POINTS", 5)
+    for text in ("one two", "three " * 4, "one two three", "two"):
+        assert ids_of(encoder([text])[0]) == library.encode(text, add_special_tokens=False).ids
+        assert encoder.points.size <= 5
+
+
+def test_library_gets_many_words_at_once(own, library, monkeypatch):
+    """A call of the library takes many words; ids that end words tell them apart, else words go one by one."""
+    import tokenizers
+
+    spec = json.load(open(PATH))
+    words = sorted({w for t in CASES for w in t.lower().split() if "<" not in w} | {f"w{'ab' * (i % 7)}{'x' * i}" for i in range(700)} | {"</", "w", ">", "<", "/w>"})
+    whole = [w for w in words if len(own[0].split.words([w])[2]) == 1]
+    texts = []
+
+    class Counting:
+        def __init__(self, inner):
+            self.__dict__["inner"] = inner
+
+        def __setattr__(self, name, value):
+            setattr(self.inner, name, value)
+
+        def encode_batch_fast(self, given, **options):
+            texts.append(len(given))
+            return self.inner.encode_batch_fast(given, **options)
+
+    class Made:
+        @staticmethod
+        def from_str(raw):
+            return Counting(Tokenizer.from_str(raw))
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Made)
+    ids, sizes = token_files._library_words(spec)(whole)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(w, add_special_tokens=False).ids for w in whole]
+    assert len(whole) > 600 and sum(texts) < len(whole) / 50
+    plain = json.loads(json.dumps(spec))
+    plain["added_tokens"].append(plain["added_tokens"][0] | {"id": 1 + plain["added_tokens"][-1]["id"], "content": "two words"})
+    again, sizes = token_files._library_words(plain)(whole)
+    assert again.tolist() == ids.tolist() and len(sizes) == len(whole)
+    none, sizes = token_files._library_words(spec)([])
+    assert len(none) == len(sizes) == 0
+
+
+def test_grammar_counts_only_places_that_changed(monkeypatch):
+    """A round sorts the pairs that may be frequent, not the whole sequence again."""
+    rng = np.random.default_rng(4)
+    noise, passage = rng.integers(0, 40_000, 60_000), rng.integers(0, 40_000, 300)
+    ids, sorted_ = np.r_[noise, np.tile(passage, 60)], []
+    real = np.sort
+    monkeypatch.setattr(token_files.np, "sort", lambda x: (sorted_.append(len(x)), real(x))[1])
+    g = token_files.Grammar.compress(ids, np.array([0, 60_000, len(ids)]), 49_408)
+    monkeypatch.undo()
+    assert g.expand(g.sequence).tolist() == ids.tolist() and g.lengths.max() >= 300
+    assert sorted_[0] == len(ids) - 2 and max(sorted_[1:]) < 20_000
+
+
 def test_encode_and_decode(docs, corpus, library):
     texts = {i: t for i, t, *_ in corpus}
     got = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
