@@ -31,9 +31,28 @@ MIN_COUNT = 48
 FORMAT = "shard int, block int, n_docs long, n_tokens long, code_base long, wide boolean, doc_ids binary, no_id binary, rules binary, lengths binary, sequence binary, places binary"
 
 
+#: Bits of a table's size that leads from a pair to its number.
+SLOT_BITS = 18
+
+
 def _slot(keys: np.ndarray) -> np.ndarray:
     bits = keys.dtype.itemsize * 8
-    return (keys * keys.dtype.type(0x9E3779B1)) >> keys.dtype.type(bits - 22)
+    return (keys * keys.dtype.type(0x9E3779B1)) >> keys.dtype.type(bits - SLOT_BITS)
+
+
+def _find(pairs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of ``keys`` that are among the sorted ``pairs``, and which they are.  A small table says most of
+    them; a binary search is left for those that share its slot with another pair."""
+    table = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
+    table[_slot(pairs)] = np.arange(len(pairs))
+    which = table[_slot(keys)]
+    at = np.flatnonzero(which >= 0)
+    which, keys = which[at], keys[at]
+    other = np.flatnonzero(pairs[which] != keys)
+    which[other] = np.minimum(np.searchsorted(pairs, keys[other]), len(pairs) - 1)
+    true = np.ones(len(at), dtype=bool)
+    true[other] = pairs[which[other]] == keys[other]
+    return at[true], which[true]
 
 
 class Grammar:
@@ -74,28 +93,23 @@ class Grammar:
             chosen.sort()
             rule = np.full(len(pairs), -1)
             rule[np.searchsorted(pairs, chosen)] = np.arange(len(chosen))
-            # a table of bits thins out the places that need a binary search
-            seen = np.zeros(1 << 22, dtype=bool)
-            seen[_slot(pairs)] = True
-            maybe = np.flatnonzero(seen[_slot(keys)])
-            keys, at = keys[maybe], at[maybe]
-            pair = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
-            true = pairs[pair] == keys
-            at, pair = at[true], rule[pair[true]]
-            hits, new = at[pair >= 0], pair[pair >= 0]
+            found, pair = _find(pairs, keys)
+            at, pair = at[found], rule[pair]
+            ruled = pair >= 0
+            hits, new = at[ruled], pair[ruled]
             first = np.maximum.accumulate(np.where(np.r_[True, np.diff(hits) > 1], hits, 0))
             apart = (hits - first) % 2 == 0  # places of a doubled symbol may overlap: every other one
             hits, new = hits[apart], new[apart]
             sequence[hits] = (base + count + new).astype(narrow)
             keep = np.ones(len(sequence), dtype=bool)
             keep[hits + 1] = False
-            places = np.r_[0, np.cumsum(keep)][places]
+            places = places - np.searchsorted(hits + 1, places)
             # a pair of older symbols gets no new places: only frequent ones stay, and those beside a new symbol come
-            live, fresh = np.zeros((2, len(sequence)), dtype=bool)
-            live[at], fresh[hits] = True, True
-            sequence, live, fresh = sequence[keep], live[keep], fresh[keep]
-            live |= fresh
-            live[:-1] |= fresh[1:]
+            live = np.zeros(len(sequence), dtype=bool)
+            live[at] = True
+            sequence, live = sequence[keep], live[keep]
+            fresh = hits - np.arange(len(hits))
+            live[fresh] = live[np.maximum(fresh - 1, 0)] = True
             rules.append(np.stack([chosen >> double(shift), chosen & double((1 << shift) - 1)], axis=1))
             count += len(chosen)
         table = np.concatenate(rules).astype(np.int64) if rules else np.zeros((0, 2), dtype=np.int64)
