@@ -161,6 +161,46 @@ def test_packed_lists_are_small():
     assert len(graph._pack(texts)) < 1.5 * len(ids)
 
 
+def shuffled(spark, act):
+    """What ``act`` returns, and the rows that it wrote to shuffles."""
+    def stages():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return {(x := found.apply(i)).stageId(): x.shuffleWriteRecords() for i in range(found.size())}
+
+    before = max(stages(), default=-1)
+    return act(), sum(n for k, n in stages().items() if k > before)
+
+
+@pytest.mark.parametrize(("kind", "single"), [("long", True), ("long", False), ("string", True), ("string", False)])
+def test_common_friends_of_groups(spark, monkeypatch, kind, single):
+    """Random groups, some of one member, of none, with nulls or copies, over many small cells, as their lists."""
+    monkeypatch.setattr(graph, "CELL_ENTRIES", 150)
+    draw, as_kind = random.Random(3), int if kind == "long" else str
+    groups = [[as_kind(x) for x in draw.choices(range(-3, 40), k=draw.choice([0, 1, 2, 2, 3, 5]))] + draw.choice([[], [None]]) for _ in range(60)]
+    friends = {}
+    for g in groups:
+        for p in set(g) - {None}:
+            friends.setdefault(p, set()).update(set(g) - {None, p})
+    given = {p: set() if single and len(fs) == 1 else fs for p, fs in friends.items()}
+    expected = sorted((a, b, sorted(given[a] & given[b])) for a in friends for b in friends[a] if a < b)
+    df = spark.createDataFrame([(g,) for g in groups], f"members array<{kind}>")
+    assert sorted((r["a"], r["b"], r["common"]) for r in graph.common_friends_of_groups(df, single).collect()) == expected
+    assert graph.common_friends_of_groups(df.limit(0), single).collect() == []
+
+
+def test_common_friends_lists_are_not_copied(spark, monkeypatch):
+    """A list that went to each pair of blocks that it touches crossed the shuffle as often as there are blocks."""
+    monkeypatch.setattr(graph, "CELL_ENTRIES", 20_000)  # 10 blocks
+    ids = sorted(random.Random(1).sample(range(1_000_000), 300))
+    df = spark.createDataFrame([(p, [f for f in ids if f != p]) for p in ids], "person long, friends array<long>")
+    rows, written = shuffled(spark, lambda: graph.common_friends(df).select("a", "b", F.size("common").alias("n")).collect())
+    assert len(rows) == 300 * 299 // 2
+    assert {r["n"] for r in rows} == {298}
+    assert 300 <= written < 600
+
+
 def test_relative_frequency(spark):
     got = {(r["word"], r["neighbour"]): r["frequency"] for r in cooccur.relative_frequency(spark.createDataFrame([("a b a c",), ("alone",)], "t string"), "t", 2).collect()}
     assert got == pytest.approx({("a", "a"): 2 / 5, ("a", "b"): 2 / 5, ("a", "c"): 1 / 5, ("b", "a"): 2 / 3, ("b", "c"): 1 / 3, ("c", "a"): 1 / 2, ("c", "b"): 1 / 2})
