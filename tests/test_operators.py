@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.operators import basket, cooccur, graph, joins, ordering, relational, tagging
+from sparkloom.plans import catalog
 
 # The inputs of the golden fixtures (FIXTURES.md); the results that tests below expect of them are fixed too.
 SERIES = [r.split(",") for r in "x,2,9 y,2,5 x,1,3 y,1,7 y,3,1 x,3,6 z,1,4 z,2,8 z,3,7 z,4,0 p,1,10 p,3,60 p,4,40 p,6,20".split()]
@@ -161,13 +162,13 @@ def test_packed_lists_are_small():
     assert len(graph._pack(texts)) < 1.5 * len(ids)
 
 
-def shuffled(spark, act):
-    """What ``act`` returns, and the rows that it wrote to shuffles."""
+def shuffled(spark, act, what="shuffleWriteRecords"):
+    """What ``act`` returns, and the rows or bytes that it wrote to shuffles."""
     def stages():
         sc = spark.sparkContext._jsc.sc()
         sc.listenerBus().waitUntilEmpty()
         found = sc.statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
-        return {(x := found.apply(i)).stageId(): x.shuffleWriteRecords() for i in range(found.size())}
+        return {(x := found.apply(i)).stageId(): getattr(x, what)() for i in range(found.size())}
 
     before = max(stages(), default=-1)
     return act(), sum(n for k, n in stages().items() if k > before)
@@ -201,6 +202,17 @@ def test_common_friends_lists_are_not_copied(spark, monkeypatch):
     assert 300 <= written < 600
 
 
+@pytest.mark.parametrize("query", ["common_friends", "common_friends_text"])
+def test_common_friends_shuffles_no_edges(spark, tmp_path, query):
+    """All of 400 users in one minute: 159,600 edges, which don't cross a shuffle, as rows or in lists."""
+    users = spark.range(400).selectExpr("id * 7919 % 100003 AS user_id", "timestamp'2024-01-01 00:00:30' AS ts")
+    users.union(users.selectExpr("user_id", "CAST(NULL AS TIMESTAMP)")).union(users.selectExpr("CAST(NULL AS LONG)", "ts").limit(1)).write.parquet(f"{tmp_path}/events.parquet")
+    rows, written = shuffled(spark, lambda: catalog.QUERIES[query](spark, str(tmp_path)).select("a", "b", F.size(F.split("common", " ")).alias("n")).collect(), "shuffleWriteBytes")
+    assert len(rows) == 400 * 399 // 2
+    assert {r["n"] for r in rows} == {398}
+    assert written < 40_000
+
+
 def test_relative_frequency(spark):
     got = {(r["word"], r["neighbour"]): r["frequency"] for r in cooccur.relative_frequency(spark.createDataFrame([("a b a c",), ("alone",)], "t string"), "t", 2).collect()}
     assert got == pytest.approx({("a", "a"): 2 / 5, ("a", "b"): 2 / 5, ("a", "c"): 1 / 5, ("b", "a"): 2 / 3, ("b", "c"): 1 / 3, ("c", "a"): 1 / 2, ("c", "b"): 1 / 2})
